@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipsift.llm import simhash
+from clipsift.llm import bpe_counts, chunkprint, packing, simhash
+
+
+def _vocabulary(name: str) -> str:
+    """Place of a public vocabulary file, as this session's environment has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +26,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_chunkprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkprint.edit_resistance(_documents(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_counts.token_counts(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_chunkprint": op3_chunkprint,
+    "op4_packing": op4_packing,
+    "op7_token_counts": op7_token_counts,
 }
 
 #: None of these operators can be expressed in SQL; tests hold them against brute force, round trips or held-out accuracy.
