@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipsift.llm import bpe_counts, chunkprint, packing, simhash
+from clipsift.llm import bpe_counts, chunkprint, langid, packing, quality, simhash, vamana
 
 
 def _vocabulary(name: str) -> str:
@@ -38,11 +38,27 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.token_counts(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir), folds=4, held_out=2)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=4, held_out=2, threshold=0.7)
+
+
+def op10_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vamana.nearest(rows, F.pmod(F.col("vec_id"), F.lit(20)) == 0, answers=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_chunkprint": op3_chunkprint,
     "op4_packing": op4_packing,
+    "op6_langid": op6_langid,
     "op7_token_counts": op7_token_counts,
+    "op9_quality": op9_quality,
+    "op10_vamana": op10_vamana,
 }
 
 #: None of these operators can be expressed in SQL; tests hold them against brute force, round trips or held-out accuracy.
