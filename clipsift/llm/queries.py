@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipsift.llm import bpe_counts, chunkprint, langid, packing, quality, simhash, vamana
+from clipsift.llm import bpe_counts, chunkprint, langid, maxent, packing, quality, simhash, vamana
 
 
 def _vocabulary(name: str) -> str:
@@ -42,6 +42,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir), folds=4, held_out=2)
 
 
+def op8_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_folds(_documents(spark, sf_dir), folds=5, held_out=1)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=4, held_out=2, threshold=0.7)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_langid": op6_langid,
     "op7_token_counts": op7_token_counts,
+    "op8_maxent": op8_maxent,
     "op9_quality": op9_quality,
     "op10_vamana": op10_vamana,
 }
