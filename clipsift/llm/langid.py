@@ -160,3 +160,22 @@ def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, id_col: str = "
     fold = fold_of(F.col(f"`{id_col}`"), folds)
     model = learn(docs, fold != held_out, id_col, text_col, lang_col)
     return predict(docs, model, id_col, text_col).select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "lang_pred", "score")
+
+
+def keep(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], share: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text is predicted to be in a learned language with at least ``share``."""
+    names, own, intercepts = model
+    used = np.flatnonzero(own.any(axis=1)) if len(names) else np.zeros(0, dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((used, own[used], intercepts))
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        at, rows, cut_off = shared.value
+        weights = np.zeros((CODES, rows.shape[1]), dtype=np.float32)
+        weights[at] = rows
+        for batch in batches:
+            best, found = score([grams(t or "") for t in batch.column(at_text).to_pylist()], weights, cut_off)
+            yield batch.filter(pa.array((best >= 0) & (found >= share)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -163,3 +163,18 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     """(doc_id, held_out, score, predicted): learned from the labels of all folds of the ids but one, predicted for every row."""
     model = learn(docs, labels, fold_of(F.col("doc_id"), folds) != held_out, id_col, text_col)
     return predict(docs, model, threshold, id_col, text_col).select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", "predicted")
+
+
+def keep(docs: DataFrame, model: Latent, score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores at least ``score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                found = shared.value.scores([term_counts(t or "") for t in part.column(at_text).to_pylist()])
+                yield part.filter(pa.array(found >= score))
+
+    return docs.mapInArrow(run, docs.schema)

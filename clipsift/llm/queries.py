@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipsift.llm import bpe_counts, chunkprint, langid, maxent, packing, quality, simhash, vamana
+from clipsift.llm import bpe_counts, chunkprint, langid, maxent, packing, quality, simhash, vamana, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -38,6 +38,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.token_counts(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.derive(warc.response_records(pages, date="2024-01-01T00:00:00Z"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir), folds=4, held_out=2)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_chunkprint": op3_chunkprint,
     "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
     "op6_langid": op6_langid,
     "op7_token_counts": op7_token_counts,
     "op8_maxent": op8_maxent,

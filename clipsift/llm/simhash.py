@@ -387,3 +387,19 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One row of ``docs`` for each group, all columns as they are: the one with the smallest id (of repeated rows with that id, one).
+
+    Only the ids of rows that go are joined; where a group has null ids alone, all of its rows stay, as no id tells them apart.
+    """
+    groups = cut(near_duplicate_groups(docs, id_col, text_col, shingle, radius), "groups")
+    own = F.col(f"`{id_col}`").cast("long")
+    gone = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, own.eqNullSafe(F.col("_gone")), "left_anti")
+    repeated = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    again = repeated.select(F.col("doc_id").alias("_again"))
+    return kept.join(again, own == F.col("_again"), "left_anti").unionByName(kept.join(again, own == F.col("_again"), "left_semi").dropDuplicates([id_col]))
