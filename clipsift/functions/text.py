@@ -106,17 +106,17 @@ def gate_adjustment(reasons: Column, cap: float = 0.35) -> Column:
 
 
 def with_next(words: Column) -> Column:
-    """Words and their neighbouring pairs."""
+    """Words and their neighbouring pairs. ``words`` should be a column of its own: it is read many times."""
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     return F.concat(words, pairs)
 
 
-def topic_terms(text: Column) -> Column:
-    """Words of three characters or more without stop words, and neighbouring pairs; repeats stay."""
-    return with_next(F.filter(tokens(text), lambda t: (F.length(t) >= 3) & ~among(t, TOPIC_STOPWORDS)))
+def topic_words(text: Column) -> Column:
+    """Words of three characters or more without stop words; repeats stay."""
+    return F.filter(tokens(text), lambda t: (F.length(t) >= 3) & ~among(t, TOPIC_STOPWORDS))
 
 
-def trend_terms(text: Column) -> Column:
-    """The distinct words (inner hyphens and apostrophes kept) and pairs that audience trends are learned on."""
+def trend_words(text: Column) -> Column:
+    """Words (inner hyphens and apostrophes kept) that audience trends are learned on."""
     found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9][a-z0-9'-]{2,})"))
-    return F.array_distinct(with_next(F.filter(found, lambda t: ~among(t, TREND_STOPWORDS))))
+    return F.filter(found, lambda t: ~among(t, TREND_STOPWORDS))

@@ -1 +1,206 @@
+"""Queries over texts: tokens, transcript features, publishing rules, topics, trends, parsing."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from clipsift.functions import text as T
+from clipsift.functions.scalars import six
+from clipsift.operators import topics
+from clipsift.plans import bridges as b
+from clipsift.plans.registry import query
+
+
+def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with their features as columns; tokens are found once."""
+    c = b.candidates(spark, sf_dir).withColumn("tok", T.tokens(F.col("text")))
+    return c.withColumns(T.transcript_features(F.col("text"), F.col("tok"), F.col("duration"), F.col("word_count"), F.col("sentence_count")))
+
+
+def _features() -> dict:
+    return {f: F.col(f) for f in T.FEATURES}
+
+
+@query("mth03_text_features", "SELECT doc_id, " + ", ".join(f"round({f}, 6) AS {f}" for f in T.FEATURES) + " FROM {features}")
+def mth03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return featured(spark, sf_dir).select("doc_id", *[six(F.col(f)).alias(f) for f in T.FEATURES])
+
+
+@query("mth04_heuristic", "SELECT doc_id, round(heuristic, 6) AS score FROM {heuristic}")
+def mth04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return featured(spark, sf_dir).select("doc_id", six(T.heuristic_score(_features())).alias("score"))
+
+
+@query("mth05_prefilter_score", "SELECT doc_id, round(clean_start + complete_end + hook_signal + duration_fit + density_fit + structure_fit + lexical_fit + filler_control + 1e0 - intro_outro, 6) AS score FROM {features}")
+def mth05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return featured(spark, sf_dir).select("doc_id", six(T.prefilter_score(_features(), F.lit(1.0))).alias("score"))
+
+
+@query("win06_score_bands", "SELECT doc_id, source, ntile(3) OVER (PARTITION BY source ORDER BY round(heuristic, 6), doc_id)::INT AS band FROM {heuristic}")
+def win06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = featured(spark, sf_dir).select("doc_id", "source", six(T.heuristic_score(_features())).alias("score"))
+    return scored.select("doc_id", "source", F.ntile(3).over(Window.partitionBy("source").orderBy("score", "doc_id")).alias("band"))
+
+
+def _re(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+MUSIC_ONLY = f"len(regexp_extract_all(text, '(?i){_re(T.MUSIC)}')) > 0 AND len(regexp_extract_all(regexp_replace(text, '(?i){_re(T.MUSIC)}', ' ', 'g'), '[a-zA-Z0-9'']+')) < 8"
+GATE = f"""WITH r AS (SELECT doc_id, source, duration, regexp_matches(text, '(?i){_re("|".join(T.ADVERTISEMENTS))}') AS ad, ({MUSIC_ONLY}) AS music, clean_start < 0.5 AS ctx, complete_end < 0.5 AS inc, intro_outro >= 0.5 AS intro,
+    duration > 55 AS long_, words_per_second < 1e0 AS sparse, words_per_second > 4.2e0 AS dense, filler_ratio > 0.1e0 AS filler FROM {{features}}),
+  g AS (SELECT *, NOT (ad OR music) AS eligible, ad::INT + music::INT + ctx::INT + inc::INT + intro::INT + long_::INT + sparse::INT + dense::INT + filler::INT AS n_reasons,
+    ctx::INT * 0.18e0 + inc::INT * 0.2e0 + intro::INT * 0.28e0 + CASE WHEN long_ THEN least(0.15e0, 0.05e0 + (duration - 55e0) / 100e0) ELSE 0 END + sparse::INT * 0.15e0 + dense::INT * 0.1e0 + filler::INT * 0.1e0 AS penalty FROM r)"""
+
+
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = featured(spark, sf_dir)
+    return f.withColumn("reasons", T.gate_reasons(F.col("text"), _features(), F.col("duration")))
+
+
+@query("flt13_gate", GATE + " SELECT doc_id, eligible, round(CASE WHEN eligible THEN greatest(0e0, 1e0 - penalty) ELSE 0e0 END, 6) AS score, n_reasons::INT AS n_reasons FROM g")
+def flt13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.col("reasons")
+    return gated(spark, sf_dir).select("doc_id", T.gate_eligible(r).alias("eligible"), six(T.gate_score(r)).alias("score"), F.size(r).alias("n_reasons"))
+
+
+@query("flt14_gate_adjustment", GATE + " SELECT doc_id, round(CASE WHEN eligible THEN -0.35e0 * (1e0 - greatest(0e0, 1e0 - penalty)) ELSE -0.35e0 END, 6) + 0e0 AS adjustment FROM g")
+def flt14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated(spark, sf_dir).select("doc_id", six(T.gate_adjustment(F.col("reasons"))).alias("adjustment"))
+
+
+@query("agg31_gate_counts", GATE + " SELECT code, severity, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN ad THEN 'advertisement_language' END, CASE WHEN music THEN 'music_only' END, CASE WHEN ctx THEN 'context_dependent_start' END, CASE WHEN inc THEN 'incomplete_ending' END, CASE WHEN intro THEN 'intro_or_outro_language' END, CASE WHEN long_ THEN 'long_interval' END, CASE WHEN sparse THEN 'sparse_speech' END, CASE WHEN dense THEN 'dense_speech' END, CASE WHEN filler THEN 'high_filler_ratio' END], lambda x: x IS NOT NULL)) AS code, 'x' AS y FROM g) JOIN (VALUES ('advertisement_language', 'block'), ('music_only', 'block'), ('context_dependent_start', 'review'), ('incomplete_ending', 'review'), ('intro_or_outro_language', 'review'), ('long_interval', 'review'), ('sparse_speech', 'review'), ('dense_speech', 'review'), ('high_filler_ratio', 'review')) AS s(code, severity) USING (code) GROUP BY 1, 2")
+def agg31(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated(spark, sf_dir).select(F.explode("reasons").alias("r")).groupBy(F.col("r.code").alias("code"), F.col("r.severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("agg32_gate_shadow", GATE + " SELECT source, count(*) AS n, count(*) FILTER (eligible) AS eligible, bool_and(NOT eligible) FILTER (duration = mx) AS every_longest_blocked FROM (SELECT *, max(duration) OVER (PARTITION BY source) AS mx FROM g) GROUP BY 1")
+def agg32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = gated(spark, sf_dir).select("source", "duration", T.gate_eligible(F.col("reasons")).alias("ok")).withColumn("mx", F.max("duration").over(Window.partitionBy("source")))
+    blocked = F.bool_and(F.when(F.col("duration") == F.col("mx"), ~F.col("ok")))
+    return g.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("eligible"), blocked.alias("every_longest_blocked"))
+
+
+@query("agg33_queue_coverage", "SELECT source, count(*) AS clips, count(DISTINCT lang) AS langs, round(min(duration), 6) AS shortest, round(max(duration), 6) AS longest FROM {candidates} GROUP BY 1")
+def agg33(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.candidates(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("clips"), F.count_distinct("lang").alias("langs"), six(F.min("duration")).alias("shortest"), six(F.max("duration")).alias("longest"))
+
+
+@query("str01_tokens", "SELECT doc_id, len(tok) AS n_tokens, len(list_distinct(tok)) AS n_distinct, tok[1] AS first_token, tok[-1] AS last_token FROM {features}")
+def str01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = b.candidates(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return c.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.get("t", F.lit(0)).alias("first_token"), F.when(F.size("t") > 0, F.element_at("t", -1)).alias("last_token"))
+
+
+@query("str02_sentence_ends", "SELECT doc_id, regexp_matches(text, '{sentence_end!}') AS complete, len(regexp_extract_all(text, '[.!?]+')) AS stops FROM {candidates}")
+def str02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.candidates(spark, sf_dir).select("doc_id", F.col("text").rlike(T.SENTENCE_END).alias("complete"), F.regexp_count("text", F.lit("[.!?]+")).cast("long").alias("stops"))
+
+
+@query("str04_sentences", r"""SELECT doc_id, count(*) AS sentences, max(length(s))::DOUBLE AS longest FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\x0B]+', '\1' || chr(1), 'g'), chr(1))) AS s FROM {candidates}) GROUP BY 1""")
+def str04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.split("text", r"(?<=[.!?])\s+")
+    longest = F.array_max(F.transform(parts, lambda s: F.length(s)))
+    return b.candidates(spark, sf_dir).select("doc_id", F.size(parts).cast("long").alias("sentences"), six(longest).alias("longest"))
+
+
+@query("str06_phrases", "SELECT doc_id, regexp_matches(lower(text), '" + _re("|".join(T.REFINEMENT_PHRASES)) + "') AS intro_or_ad FROM {candidates}")
+def str06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.candidates(spark, sf_dir).select("doc_id", F.lower("text").rlike("|".join(T.REFINEMENT_PHRASES)).alias("intro_or_ad"))
+
+
+@query("str08_header_normalize", r"""SELECT raw, trim(regexp_replace(lower(regexp_replace(replace(raw, '%', ' percentage '), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g')) AS header FROM (SELECT DISTINCT c_mktsegment || 'ViewsPct % (' || c_nationkey || ')' AS raw FROM customer)""")
+def str08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipsift.sources.analytics import normalized_header
+
+    raw = F.concat("c_mktsegment", F.lit("ViewsPct % ("), "c_nationkey", F.lit(")"))
+    return b.table(spark, sf_dir, "customer").select(raw.alias("raw")).distinct().withColumn("header", normalized_header(F.col("raw")))
+
+
+@query("str10_number_parse", r"""SELECT raw, CASE WHEN raw IN ('—', '-', 'n/a', '') THEN NULL ELSE round(TRY_CAST(replace(regexp_replace(raw, '%$', ''), ',', '') AS DOUBLE), 6) END AS number FROM (SELECT DISTINCT CASE o_orderkey % 5 WHEN 0 THEN '—' WHEN 1 THEN 'n/a' WHEN 2 THEN (o_custkey % 100) || '%' WHEN 3 THEN '1,' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') ELSE (o_custkey % 977) || '.5' END AS raw FROM orders)""")
+def str10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipsift.sources.analytics import parsed_number
+
+    c, k = F.col("o_custkey"), F.col("o_orderkey") % 5
+    raw = F.when(k == 0, "—").when(k == 1, "n/a").when(k == 2, F.concat(c % 100, F.lit("%"))).when(k == 3, F.concat(F.lit("1,"), F.lpad((c % 1000).cast("string"), 3, "0"))).otherwise(F.concat(c % 977, F.lit(".5")))
+    return b.table(spark, sf_dir, "orders").select(raw.alias("raw")).distinct().withColumn("number", six(parsed_number(F.col("raw"))))
+
+
+@query("str11_duration_parse", r"""SELECT raw, round(CASE WHEN contains(raw, ':') THEN list_reduce(list_transform(string_split(raw, ':'), lambda x: x::DOUBLE), lambda a, x: a * 60e0 + x)
+    ELSE coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+)h', 1) AS DOUBLE), 0) * 3600e0 + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+)m', 1) AS DOUBLE), 0) * 60e0 + coalesce(TRY_CAST(regexp_extract(raw, '([0-9]+)s', 1) AS DOUBLE), 0) END, 6) AS seconds
+    FROM (SELECT DISTINCT CASE o_orderkey % 3 WHEN 0 THEN lpad((o_custkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_custkey % 60)::VARCHAR, 2, '0') || ':30' WHEN 1 THEN (o_custkey % 90) || ':05' ELSE (o_custkey % 5) || 'h ' || (o_custkey % 60) || 'm 7s' END AS raw FROM orders)""")
+def str11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipsift.sources.analytics import parsed_seconds
+
+    c, k = F.col("o_custkey"), F.col("o_orderkey") % 3
+    two = lambda n: F.lpad((c % n).cast("string"), 2, "0")
+    raw = F.when(k == 0, F.concat(two(24), F.lit(":"), two(60), F.lit(":30"))).when(k == 1, F.concat(c % 90, F.lit(":05"))).otherwise(F.concat(c % 5, F.lit("h "), c % 60, F.lit("m 7s")))
+    return b.table(spark, sf_dir, "orders").select(raw.alias("raw")).distinct().withColumn("seconds", six(parsed_seconds(F.col("raw"))))
+
+
+@query("str12_compact_count", r"""SELECT raw, round(regexp_extract(raw, '^([0-9.]+)', 1)::DOUBLE * CASE right(raw, 1) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 ELSE 1 END)::BIGINT AS n FROM (SELECT DISTINCT (o_custkey % 1000) / 4e0 || CASE o_custkey % 3 WHEN 0 THEN 'K' WHEN 1 THEN 'M' ELSE '' END AS raw FROM orders WHERE o_custkey % 4 = 0)""")
+def str12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clipsift.sources.analytics import compact_count
+
+    c = F.col("o_custkey")
+    raw = F.concat((c % 1000) / 4.0, F.when(c % 3 == 0, "K").when(c % 3 == 1, "M").otherwise(""))
+    return b.table(spark, sf_dir, "orders").where("o_custkey % 4 = 0").select(raw.alias("raw")).distinct().withColumn("n", compact_count(F.col("raw")))
+
+
+@query("str21_suffix", r"""SELECT suffix, count(*) AS n FROM (SELECT coalesce(nullif(lower(regexp_extract(split_part(url, '?', 1), '\.([A-Za-z0-9]{1,5})$', 1)), ''), 'no_extension') AS suffix FROM pages) GROUP BY 1""")
+def str21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.lower(F.regexp_extract(F.split_part("url", F.lit("?"), F.lit(1)), r"\.([A-Za-z0-9]{1,5})$", 1))
+    return b.table(spark, sf_dir, "pages").groupBy(F.coalesce(F.nullif(found, F.lit("")), F.lit("no_extension")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+TOPIC_TOKENS = "list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z0-9'']+'), lambda x: lower(x)), lambda x: length(x) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.TOPIC_STOPWORDS) + "], x))"
+TOPICS = f"""WITH t AS (SELECT doc_id, source, {TOPIC_TOKENS} AS w FROM {{candidates}}),
+  e AS (SELECT doc_id, source, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(list_zip(w[1:len(w)-1], w[2:]), lambda x: x[1] || ' ' || x[2]) ELSE [] END)) AS term FROM t),
+  tf AS (SELECT source, doc_id, term, count(*) AS tf FROM e GROUP BY ALL), df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT source, count(*) AS n FROM {{candidates}} GROUP BY 1),
+  s AS (SELECT source, doc_id, term, round(tf * (ln((n + 1) / (df + 1)::DOUBLE) + 1e0) * CASE WHEN contains(term, ' ') THEN 1.15e0 ELSE 1e0 END, 6) AS score FROM tf JOIN df USING (source, term) JOIN n USING (source)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(term) DESC, term) AS i FROM s)"""
+
+
+@query("seq11_tfidf_topics", TOPICS.replace("WITH t AS", "WITH RECURSIVE t AS") + """, top AS (SELECT * FROM r WHERE i <= 40),
+  walk AS (SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS used, []::STRUCT(term VARCHAR, score DOUBLE)[] AS taken FROM (SELECT DISTINCT doc_id FROM top)
+    UNION ALL SELECT w.doc_id, t.i, CASE WHEN len(taken) < 6 AND NOT list_has_all(used, string_split(t.term, ' ')) THEN list_concat(used, string_split(t.term, ' ')) ELSE used END,
+      CASE WHEN len(taken) < 6 AND NOT list_has_all(used, string_split(t.term, ' ')) THEN list_append(taken, {'term': t.term, 'score': t.score}) ELSE taken END FROM walk w JOIN top t ON t.doc_id = w.doc_id AND t.i = w.i + 1),
+  fin AS (SELECT doc_id, arg_max(taken, i) AS taken FROM walk GROUP BY 1)
+  SELECT doc_id, x.term AS term, round(x.score, 6) AS score, k::INT AS rank FROM (SELECT doc_id, unnest(taken) AS x, unnest(range(1, len(taken) + 1)) AS k FROM fin)""")
+def seq11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.topics(b.candidates(spark, sf_dir), group="source", key="doc_id", text="text", pool=40, limit=6)
+
+
+@query("agg40_term_trends", f"""WITH t AS (SELECT doc_id, source, list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''-]{{2,}}'), lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in T.TREND_STOPWORDS)}], x)) AS w FROM {{candidates}}),
+  e AS (SELECT DISTINCT doc_id, source, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(list_zip(w[1:len(w)-1], w[2:]), lambda x: x[1] || ' ' || x[2]) ELSE [] END)) AS term FROM t),
+  a AS (SELECT source, term, sum(quality * 2 - 1 - doc_id % 3)::BIGINT AS association, count(*) AS support FROM e JOIN labels USING (doc_id) GROUP BY 1, 2)
+  SELECT source, term, support, association, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY association DESC, support DESC, term) AS rank FROM a WHERE support >= 2 AND association > 0) WHERE rank <= 6""")
+def agg40(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = b.table(spark, sf_dir, "labels")
+    examples = b.candidates(spark, sf_dir).join(l, "doc_id").withColumn("outcome", F.col("quality") * 2 - 1 - F.col("doc_id") % 3)
+    return topics.term_trends(examples, "source", "text", "outcome", limit=6)
+
+
+@query("str23_ngram_repeats", """WITH t AS (SELECT doc_id, tok FROM {features}), n AS (SELECT doc_id, unnest(range(1, greatest(len(tok) - 2, 1))) AS i, tok FROM t), g AS (SELECT doc_id, array_to_string(tok[i:i+3], ' ') AS gram, count(*) AS k FROM n WHERE len(tok) >= 4 GROUP BY 1, 2)
+  SELECT doc_id, count(*) FILTER (k >= 8) AS repeated_4grams, max(k) AS max_repeat FROM g GROUP BY 1""")
+def str23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = b.candidates(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
+    g = c.select("doc_id", F.explode(topics.ngrams(F.col("t"), 4)).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("k"))
+    return g.groupBy("doc_id").agg(F.count_if(F.col("k") >= 8).alias("repeated_4grams"), F.max("k").alias("max_repeat"))
+
+
+@query("str15_truncate", r"SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(left(text, 79), '[ \t\n\r\f\x0B][^ \t\n\r\f\x0B]*$', '') || '…' END AS title FROM {candidates}")
+def str15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.candidates(spark, sf_dir).select("doc_id", topics.truncated(F.col("text"), 80).alias("title"))
+
+
+@query("str16_hashtags", "SELECT doc_id, '#' || left(array_to_string(list_transform(tok[1:3], lambda x: upper(left(x, 1)) || substr(x, 2)), ''), 40) AS tag FROM {features} WHERE len(tok) > 0")
+def str16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = b.candidates(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    return c.select("doc_id", topics.hashtag(F.slice("t", 1, 3)).alias("tag"))
+
+
+@query("prj06_key_normalize", r"SELECT doc_id, left(regexp_replace(lower(trim(text)), '[ \t\n\r\f\x0B]+', ' ', 'g'), 60) AS key FROM {candidates}")
+def prj06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.candidates(spark, sf_dir).select("doc_id", F.substring(F.regexp_replace(F.lower(F.trim("text")), r"\s+", " "), 1, 60).alias("key"))
