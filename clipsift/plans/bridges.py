@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PLATFORM_NAMES = ("youtube", "instagram", "tiktok")
@@ -72,6 +72,29 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("video"), split.alias("w"))
 
 
+def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video, pos, start, end, word): a word each 0.4 s, 1.2 s more after a sentence end."""
+    from clipsift.functions.text import SENTENCE_END
+
+    rows = words(spark, sf_dir).select("video", F.posexplode("w").alias("pos", "word"))
+    before = Window.partitionBy("video").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.coalesce(F.sum(F.col("word").rlike(SENTENCE_END).cast("int")).over(before), F.lit(0))
+    start = F.col("pos") * 0.4 + ends * 1.2
+    return rows.withColumn("start", start).withColumn("end", F.col("start") + 0.35)
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An interval and a time of each document that queries ask about."""
+    s = (F.col("doc_id") % 20).cast("double")
+    return table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("video"), s.alias("s"), (s + 15.0).alias("e"), (s + 7.3).alias("t"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed segments of conversations."""
+    start = F.col("turn") * 5.0 + F.col("conv_id") % 3
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", start.alias("start"), (start + F.length("text") % 4 + 1.0).alias("end"))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to score: documents with a duration by their number of words."""
     docs = table(spark, sf_dir, "documents").where("text is not null")

@@ -32,6 +32,10 @@ BRIDGES = {
     "judged": """SELECT source AS grp, doc_id, 1e0 + 2e0 * quality + doc_id % 3 AS actual, n_chars % 97 / 10e0 AS predicted,
         (n_chars % 13)::DOUBLE AS challenger FROM documents JOIN labels USING (doc_id)""",
     "vectors": """SELECT vec_id, label AS grp, list_transform(embedding, lambda x: x::DOUBLE) AS v, ((vec_id * 7) % 21 - 10) / 10e0 AS outcome FROM embeddings""",
+    "word_rows": """SELECT *, "start" + 0.35e0 AS "end" FROM (SELECT video, pos, word, pos * 0.4e0 + coalesce(sum(regexp_matches(word, '{sentence_end!}')::INT) OVER (PARTITION BY video ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT * 1.2e0 AS "start"
+        FROM (SELECT video, unnest(w) AS word, unnest(range(len(w)))::INT AS pos FROM {words}))""",
+    "asked": """SELECT doc_id AS video, (doc_id % 20)::DOUBLE AS s, (doc_id % 20)::DOUBLE + 15e0 AS e, (doc_id % 20)::DOUBLE + 7.3e0 AS t FROM documents WHERE text IS NOT NULL""",
+    "segments": """SELECT conv_id, turn, role, text, turn * 5e0 + conv_id % 3 AS "start", turn * 5e0 + conv_id % 3 + length(text) % 4 + 1e0 AS "end" FROM conversations""",
     # the ones below build on those above
     "platformed": """SELECT *, greatest(-0.18e0, least(0.18e0,
           w1 * greatest(-1e0, 1e0 - abs(duration - pref) / 25e0) + w2 * ((hook - 3e0) / 2e0) + w3 * ((completeness - 3e0) / 2e0)

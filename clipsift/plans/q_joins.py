@@ -1 +1,252 @@
+"""Queries that join: intervals, nearest times, dimensions, sets, and the checks that they rest on."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from clipsift.functions.scalars import iou, six
+from clipsift.operators import joins, quality, ranking, sets
+from clipsift.plans import bridges as b
+from clipsift.plans.registry import query
+
+IOU = """greatest(0e0, least(c."end", l."end") - greatest(c."start", l."start")) / (greatest(c."end", l."end") - least(c."start", l."start"))"""
+
+
+@query("jon01_interval_text", """SELECT a.video, count(w.pos) AS word_count, string_agg(w.word, ' ' ORDER BY w.pos) AS text FROM {asked} a JOIN {word_rows} w ON w.video = a.video AND w."end" > a.s AND w."start" < a.e GROUP BY 1""")
+def jon01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = joins.overlap_join(b.word_rows(spark, sf_dir), b.asked(spark, sf_dir).select("video", "s", "e"), ["video"], ("start", "end"), ("s", "e"), 15.0)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    return met.groupBy("video").agg(F.count(F.lit(1)).alias("word_count"), text.alias("text"))
+
+
+@query("flt01_overlap_count", """SELECT a.video, count(*) AS n FROM {asked} a JOIN {word_rows} w ON w.video = a.video AND w."end" > a.s AND w."start" < a.e GROUP BY 1""")
+def flt01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = joins.overlap_join(b.word_rows(spark, sf_dir).select("video", "start", "end"), b.asked(spark, sf_dir).select("video", "s", "e"), ["video"], ("start", "end"), ("s", "e"), 15.0)
+    return met.groupBy("video").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = b.labels_iv(spark, sf_dir).select("video", "label_id", "priority", F.col("start").alias("ls"), F.col("end").alias("le"))
+    return b.clips(spark, sf_dir).select("video", "clip", "start", "end", "score").join(l, "video").withColumn("iou", iou(F.col("start"), F.col("end"), F.col("ls"), F.col("le")))
+
+
+@query("jon02_best_iou", f"""SELECT label_id, arg_max(clip, (iou, -st, clip)) AS clip, round(max(iou), 6) AS best_iou FROM (SELECT label_id, clip, c."start" AS st, {IOU} AS iou FROM {{clips}} c JOIN {{labels_iv}} l USING (video)) GROUP BY 1""")
+def jon02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _met(spark, sf_dir).groupBy("label_id").agg(F.max_by("clip", F.struct(F.col("iou"), -F.col("start"), F.col("clip"))).alias("clip"), six(F.max("iou")).alias("best_iou"))
+
+
+@query("agg17_recall_at_iou", f"SELECT round(avg((m >= 0.5e0)::INT), 6) AS recall_50, round(avg((m >= 0.7e0)::INT), 6) AS recall_70, count(*) AS labels FROM (SELECT label_id, max({IOU}) AS m FROM {{clips}} c JOIN {{labels_iv}} l USING (video) GROUP BY 1)")
+def agg17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = _met(spark, sf_dir).groupBy("label_id").agg(F.max("iou").alias("m"))
+    at = lambda t: six(F.avg((F.col("m") >= t).cast("int")))
+    return best.agg(at(0.5).alias("recall_50"), at(0.7).alias("recall_70"), F.count(F.lit(1)).alias("labels"))
+
+
+@query("jon03_hit_at_k", f"""WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY score DESC, clip) AS r FROM {{clips}}) WHERE r <= 3)
+    SELECT k::INT AS k, round(avg(hit), 6) AS recall FROM (SELECT l.label_id, k, max(CASE WHEN c.r <= k AND {IOU} >= 0.5e0 THEN 1 ELSE 0 END) AS hit FROM {{labels_iv}} l JOIN t c USING (video), (SELECT unnest([1, 2, 3]) AS k) WHERE l.priority <= 2 GROUP BY 1, 2) GROUP BY 1""")
+def jon03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of strongly rated labels that one of the k best clips hits; one pass serves every k."""
+    top = ranking.top_k(_met(spark, sf_dir).where("priority <= 2"), ["video"], [F.desc("score"), F.col("clip")], 3)
+    first = top.groupBy("label_id").agg(F.min(F.when(F.col("iou") >= 0.5, F.col("rank"))).alias("r"))
+    hits = first.agg(F.array(*[F.struct(F.lit(k).alias("k"), F.avg(F.coalesce(F.col("r") <= k, F.lit(False)).cast("int")).alias("recall")) for k in (1, 2, 3)]).alias("h"))
+    return hits.select(F.explode("h").alias("h")).select("h.k", six(F.col("h.recall")).alias("recall"))
+
+
+@query("jon12_choice_set", """SELECT a.video, count(*) AS options, round(min(abs(w."start" - a.t)), 6) AS nearest FROM {asked} a JOIN {word_rows} w ON w.video = a.video AND w."start" - a.t BETWEEN -3.5e0 AND 3.5e0 GROUP BY 1""")
+def jon12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = joins.distance_join(b.asked(spark, sf_dir).select("video", "t"), b.word_rows(spark, sf_dir).select("video", "start"), ["video"], "t", "start", -3.5, 3.5)
+    return met.groupBy("video").agg(F.count(F.lit(1)).alias("options"), six(F.min(F.abs(F.col("start") - F.col("t")))).alias("nearest"))
+
+
+@query("jon13_nearest_word", """SELECT a.video, arg_min(w.pos, (abs(w."start" - a.t), w.pos)) AS pos, round(min(abs(w."start" - a.t)), 6) AS distance FROM {asked} a JOIN {word_rows} w USING (video) GROUP BY 1""")
+def jon13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = F.abs(F.col("start") - F.col("t"))
+    met = b.word_rows(spark, sf_dir).join(b.asked(spark, sf_dir).select("video", "t"), "video")
+    return met.groupBy("video").agg(F.min_by("pos", F.struct(gap, F.col("pos"))).alias("pos"), six(F.min(gap)).alias("distance"))
+
+
+@query("jon14_asof_speech", """SELECT q.conv_id, q.turn, round(max(CASE WHEN s."end" <= q."start" + 2e0 + 0.05e0 THEN s."end" END), 6) AS prev_end, round(min(CASE WHEN s."start" >= q."start" + 2e0 - 0.05e0 THEN s."start" END), 6) AS next_start FROM {segments} q JOIN {segments} s USING (conv_id) GROUP BY 1, 2""")
+def jon14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = b.segments(spark, sf_dir)
+    q = s.select("conv_id", "turn", (F.col("start") + 2.0).alias("t"))
+    found = joins.latest_before(q, s, ["conv_id"], "t", "end", "end", "prev_end", 0.05)
+    found = joins.earliest_after(found, s, ["conv_id"], "t", "start", "start", "next_start", 0.05)
+    return found.select("conv_id", "turn", six(F.col("prev_end")).alias("prev_end"), six(F.col("next_start")).alias("next_start"))
+
+
+@query("jon15_band_average", """SELECT a.video, round(avg(length(w.word)), 6) AS mean_length FROM {asked} a JOIN {word_rows} w ON w.video = a.video AND w."start" >= a.s AND w."start" <= a.e GROUP BY 1""")
+def jon15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = joins.distance_join(b.asked(spark, sf_dir).select("video", "s"), b.word_rows(spark, sf_dir).select("video", "start", "word"), ["video"], "s", "start", 0.0, 15.0)
+    return met.groupBy("video").agg(six(F.avg(F.length("word"))).alias("mean_length"))
+
+
+@query("jon16_window_or_nearest", """SELECT a.video, round(coalesce(avg(CASE WHEN w."start" >= a.s + 14e0 AND w."start" < a.s + 14.5e0 THEN length(w.word) END), arg_min(length(w.word), (abs(w."start" - a.s - 14.25e0), w.pos))), 6) AS v FROM {asked} a JOIN {word_rows} w USING (video) GROUP BY 1""")
+def jon16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean within a window, else the value nearest to its middle: both are aggregates of one join."""
+    met = b.word_rows(spark, sf_dir).join(b.asked(spark, sf_dir).select("video", "s"), "video")
+    inside = (F.col("start") >= F.col("s") + 14.0) & (F.col("start") < F.col("s") + 14.5)
+    near = F.min_by(F.length("word"), F.struct(F.abs(F.col("start") - F.col("s") - 14.25), F.col("pos")))
+    return met.groupBy("video").agg(six(F.coalesce(F.avg(F.when(inside, F.length("word"))), near)).alias("v"))
+
+
+PAIRS = """SELECT c.video, c.clip AS pred, k AS act, greatest(0e0, least(c."end", l.s + 30e0) - greatest(c."start", l.s)) / (greatest(c."end", l.s + 30e0) - least(c."start", l.s)) AS iou FROM {clips} c JOIN (SELECT video, k, "start" + 40e0 * k AS s FROM {labels_iv}, (SELECT unnest([0, 1])::INT AS k)) l USING (video)"""
+
+
+@query("seq05_greedy_match", f"""WITH RECURSIVE p AS (SELECT * FROM ({PAIRS}) WHERE iou >= 0.1e0), o AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY iou DESC, pred DESC, act DESC) AS i FROM p),
+    walk AS (SELECT video, 0::BIGINT AS i, []::STRUCT(p VARCHAR, a INT, iou DOUBLE)[] AS m FROM o GROUP BY 1 UNION ALL SELECT w.video, o.i, CASE WHEN len(list_filter(m, lambda x: x.p = o.pred OR x.a = o.act)) = 0 THEN list_append(m, {{'p': o.pred, 'a': o.act, 'iou': o.iou}}) ELSE m END FROM walk w JOIN o ON o.video = w.video AND o.i = w.i + 1)
+    SELECT video, x.p AS prediction, x.a AS actual, round(x.iou, 6) AS iou FROM (SELECT video, unnest(arg_max(m, i)) AS x FROM walk GROUP BY 1)""")
+def seq05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acts = b.labels_iv(spark, sf_dir).select("video", F.explode(F.array(F.lit(0), F.lit(1))).alias("act"), "start").select("video", "act", (F.col("start") + 40.0 * F.col("act")).alias("s"))
+    met = b.clips(spark, sf_dir).select("video", F.col("clip").alias("pred"), "start", "end").join(acts, "video")
+    pairs = met.select("video", "pred", "act", iou(F.col("start"), F.col("end"), F.col("s"), F.col("s") + 30.0).alias("iou")).where("iou >= 0.1")
+    return joins.greedy_matches(pairs, "video", "pred", "act", "iou").select("video", F.col("pred").alias("prediction"), F.col("act").alias("actual"), six(F.col("iou")).alias("iou"))
+
+
+@query("jon18_prefix_children", "SELECT s.key, count(*) AS children, count(*) = 1 AS exactly_one FROM (SELECT 'S' || n_nationkey AS key FROM nation) s JOIN (SELECT 'S' || c_nationkey || '_clip' || c_custkey AS child FROM customer) c ON starts_with(child, key || '_clip') GROUP BY 1")
+def jon18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A child's prefix is its key, so the match on a prefix becomes an equi-join."""
+    s = b.table(spark, sf_dir, "nation").select(F.concat(F.lit("S"), "n_nationkey").alias("key"))
+    c = b.table(spark, sf_dir, "customer").select(F.concat(F.lit("S"), "c_nationkey", F.lit("_clip"), "c_custkey").alias("child")).withColumn("key", F.regexp_extract("child", "^(.*?)_clip", 1))
+    return s.join(c, "key").groupBy("key").agg(F.count(F.lit(1)).alias("children"), (F.count(F.lit(1)) == 1).alias("exactly_one"))
+
+
+@query("jon19_owner_attribution", "SELECT n_name AS owner, count(*) AS clips, round(avg(o_totalprice), 4) AS mean_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def jon19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c, n = (b.table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    met = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return met.groupBy(F.col("n_name").alias("owner")).agg(F.count(F.lit(1)).alias("clips"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+
+
+@query("jon20_events_with_owner", "SELECT f.event_type, c_mktsegment AS segment, count(*) AS n FROM {feedback} f JOIN customer ON f.creator = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 3 GROUP BY 1, 2")
+def jon20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = b.table(spark, sf_dir, "customer"), b.table(spark, sf_dir, "nation").where("n_regionkey < 3")
+    met = b.feedback(spark, sf_dir).join(c, F.col("creator") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return met.groupBy("event_type", F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("jon21_others_performance", "SELECT p.creator, count(*) AS clips, sum(views)::BIGINT AS views FROM {performance} p JOIN customer ON p.creator = c_custkey WHERE p.creator <> 7 AND c_acctbal > 0 GROUP BY 1")
+def jon21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = b.table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    met = b.performance(spark, sf_dir).where("creator <> 7").join(c, F.col("creator") == F.col("c_custkey"))
+    return met.groupBy("creator").agg(F.count(F.lit(1)).alias("clips"), F.sum("views").alias("views"))
+
+
+@query("jon22_actuals_chain", "SELECT l.video, count(*) AS clips, round(max(p.average_view_percentage), 6) AS best FROM {labels_iv} l JOIN {clips} c USING (video) JOIN {performance} p ON p.clip = c.video GROUP BY 1")
+def jon22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, p = b.labels_iv(spark, sf_dir).select("video"), b.performance(spark, sf_dir).select(F.col("clip").alias("video"), "average_view_percentage")
+    met = b.clips(spark, sf_dir).select("video").join(l, "video").join(p, "video")
+    return met.groupBy("video").agg(F.count(F.lit(1)).alias("clips"), six(F.max("average_view_percentage")).alias("best"))
+
+
+@query("jon23_composite_key", "SELECT a.l_orderkey AS k1, a.l_linenumber AS k2, count(*) AS n FROM lineitem a JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R') r ON a.l_orderkey = r.l_orderkey AND a.l_linenumber = r.l_linenumber GROUP BY 1, 2")
+def jon23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = b.table(spark, sf_dir, "lineitem")
+    returned = l.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber")
+    return l.join(returned, ["l_orderkey", "l_linenumber"], "left_semi").groupBy(F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("jon27_semi", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def jon27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.table(spark, sf_dir, "documents").select("doc_id", "source").join(b.table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")
+
+
+@query("jon29_left_defaults", "SELECT c_custkey AS creator, coalesce(n, 0) AS events, coalesce(performance_enabled, false) AS enabled FROM customer LEFT JOIN (SELECT creator, count(*) AS n, bool_or(event_type = 'download_edited') AS performance_enabled FROM {feedback} GROUP BY 1) ON creator = c_custkey")
+def jon29(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = b.feedback(spark, sf_dir).groupBy("creator").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("event_type") == "download_edited").alias("on"))
+    c = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("creator"))
+    return c.join(f, "creator", "left").select("creator", F.coalesce("n", F.lit(0)).alias("events"), F.coalesce("on", F.lit(False)).alias("enabled"))
+
+
+@query("jon07_unlabeled", "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def jon07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.table(spark, sf_dir, "documents").select("doc_id").join(b.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("set01_id_parity", "SELECT 'missing' AS side, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'extra', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def set01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.id_differences(b.table(spark, sf_dir, "documents"), b.table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("set02_intersection", "SELECT doc_id AS id FROM documents INTERSECT SELECT item_id FROM benchmark")
+def set02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).intersect(b.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")))
+
+
+@query("set03_cohorts", "SELECT cohort, count(*) AS n, round(avg(target), 6) AS target FROM (SELECT 'original' AS cohort, quality * 1e0 AS target FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT 'promoted', CASE WHEN toxic = 1 THEN 5e0 ELSE quality END FROM labels WHERE doc_id % 2 = 1) GROUP BY 1")
+def set03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = b.table(spark, sf_dir, "labels")
+    original = l.where("doc_id % 2 = 0").select(F.lit("original").alias("cohort"), F.col("quality").cast("double").alias("target"))
+    promoted = l.where("doc_id % 2 = 1").select(F.lit("promoted").alias("cohort"), F.when(F.col("toxic") == 1, 5.0).otherwise(F.col("quality")).alias("target"))
+    return original.unionByName(promoted).groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), six(F.avg("target")).alias("target"))
+
+
+@query("set05_excluded_union", "SELECT doc_id FROM labels WHERE quality = 0 UNION SELECT doc_id FROM labels WHERE toxic = 1")
+def set05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = b.table(spark, sf_dir, "labels")
+    return l.where("quality = 0").select("doc_id").union(l.where("toxic = 1").select("doc_id")).distinct()
+
+
+@query("set07_sorted_distinct", "SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM documents GROUP BY 1")
+def set07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.table(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"))
+
+
+@query("flt02_label_qa", """SELECT 'duplicate_id' AS check_name, count(*) AS violations FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'unknown_document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+    UNION ALL SELECT 'score_range', count(*) FROM labels WHERE quality NOT IN (0, 1) OR toxic NOT IN (0, 1) UNION ALL SELECT 'no_variance', (count(DISTINCT quality) <= 1)::BIGINT FROM labels""")
+def flt02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = b.table(spark, sf_dir, "labels")
+    return quality.label_report(l, b.table(spark, sf_dir, "documents"), "doc_id", ["quality", "toxic"], 0, 1)
+
+
+@query("flt03_transcript_qa", """SELECT conv_id, count(*) FILTER (prev IS NOT NULL AND "start" < prev) AS order_errors, count(*) FILTER ("end" <= "start") AS bound_errors, round(avg((length(text) % 10 < 4)::INT), 6) AS low_confidence FROM (SELECT *, lag("start") OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS prev FROM {segments}) GROUP BY 1""")
+def flt03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prev = F.lag("start").over(Window.partitionBy("conv_id").orderBy(F.length("text"), "turn"))
+    s = b.segments(spark, sf_dir).withColumn("prev", prev)
+    return s.groupBy("conv_id").agg(F.count_if(F.col("start") < F.col("prev")).alias("order_errors"), F.count_if(F.col("end") <= F.col("start")).alias("bound_errors"), six(F.avg((F.length("text") % 10 < 4).cast("int"))).alias("low_confidence"))
+
+
+@query("flt04_corpus_rollup", "SELECT role, count(*) AS segments, count(DISTINCT conv_id) AS conversations, sum(length(text))::BIGINT AS chars FROM {segments} GROUP BY 1")
+def flt04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.segments(spark, sf_dir).groupBy("role").agg(F.count(F.lit(1)).alias("segments"), F.count_distinct("conv_id").alias("conversations"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("flt05_agreement", """SELECT c.clip FROM {clips} c JOIN {labels_iv} l USING (video) WHERE abs(c."start" - l."start") > 1e-6 AND abs(c."start" - l."start") < 5e0""")
+def flt05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = F.abs(F.col("start") - F.col("ls"))
+    return _met(spark, sf_dir).where((gap > 1e-6) & (gap < 5.0)).select("clip")
+
+
+@query("flt06_unique_key", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def flt06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repeated_keys(b.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("flt07_interval_rules", """SELECT event_id, abs("start" - event_id % 290) <= 15 AND "end" - "start" BETWEEN 5 AND 90 AS valid FROM {feedback}""")
+def flt07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.feedback(spark, sf_dir).select("event_id", quality.export_interval_ok(F.col("event_id") % 290, F.col("start"), F.col("end")).alias("valid"))
+
+
+@query("flt11_report_rules", "SELECT clip, views >= 0 AND likes >= 0 AND coalesce(shares >= 0, true) AND average_view_percentage BETWEEN 0 AND 100 AND coalesce(completion_rate_percentage BETWEEN 0 AND 100, true) AS valid FROM {performance}")
+def flt11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.performance(spark, sf_dir).select("clip", quality.report_ok(["views", "likes", "comments", "shares"], ["average_view_percentage", "completion_rate_percentage"]).alias("valid"))
+
+
+@query("oth01_relevance", "SELECT clip, round((hook + completeness + payoff + clarity) / 4e0, 6) AS relevance FROM {clips}")
+def oth01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.clips(spark, sf_dir).select("clip", six((F.col("hook") + F.col("completeness") + F.col("payoff") + F.col("clarity")) / 4.0).alias("relevance"))
+
+
+@query("oth08_consent_changes", "SELECT creator, event_id, enabled FROM (SELECT creator, event_id, enabled, lag(enabled) OVER (PARTITION BY creator ORDER BY event_id) AS prev FROM (SELECT creator, event_id, event_type IN ('download_original', 'download_edited') AS enabled FROM {feedback})) WHERE prev IS NULL OR prev <> enabled")
+def oth08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.feedback(spark, sf_dir).select("creator", "event_id", F.col("event_type").startswith("download").alias("enabled"))
+    prev = F.lag("enabled").over(Window.partitionBy("creator").orderBy("event_id"))
+    return e.withColumn("prev", prev).where(F.col("prev").isNull() | (F.col("prev") != F.col("enabled"))).drop("prev")
+
+
+@query("oth21_edited_exports", """SELECT event_id, CASE WHEN abs(ds) >= 0.05e0 OR abs(de) >= 0.05e0 THEN 'edited' ELSE 'original' END AS kind, round(ds, 3) AS start_delta, round(de, 3) AS end_delta FROM (SELECT event_id, ("start" - event_id % 300)::DOUBLE AS ds, ("end" - "start" - 60e0)::DOUBLE AS de FROM {feedback} WHERE event_type LIKE 'download%')""")
+def oth21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.feedback(spark, sf_dir).where(F.col("event_type").startswith("download"))
+    ds, de = F.col("start") - F.col("event_id") % 300, F.col("end") - F.col("start") - 60.0
+    kind = F.when((F.abs(ds) >= 0.05) | (F.abs(de) >= 0.05), "edited").otherwise("original")
+    return e.select("event_id", kind.alias("kind"), (F.round(ds, 3) + F.lit(0.0)).alias("start_delta"), (F.round(de, 3) + F.lit(0.0)).alias("end_delta"))
