@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipsift.llm import bpe_counts, chunkprint, langid, maxent, packing, quality, simhash, vamana, warc
+from clipsift.llm import bpe_counts, chunkprint, langid, maxent, nbest, packing, quality, simhash, vamana, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -26,6 +26,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.segmentations(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"), n=2)
+
+
 def op3_chunkprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkprint.edit_resistance(_documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ def op10_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_nbest": op2_nbest,
     "op3_chunkprint": op3_chunkprint,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
