@@ -99,14 +99,14 @@ def payload_text(payload: bytes, http: list[tuple[str, str]]) -> str:
 
 def plain_text(page: str) -> str:
     """What a page shows: no scripts, styles or comments, a line for each block, entities resolved, white space in lines collapsed."""
-    page = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", page)))
+    page = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub("", page)))
     lines = (" ".join(x.split()) for x in html.unescape(page).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def page_links(page: str, base: str) -> list[dict[str, str]]:
     out = []
-    for tag, attribute, *values in _LINK.findall(_HIDDEN.sub(" ", page)):
+    for tag, attribute, *values in _LINK.findall(_HIDDEN.sub("", page)):
         raw = html.unescape(next((v for v in values if v), "")).strip()
         try:
             url = urljoin(base, raw)
@@ -133,7 +133,7 @@ def derivatives(record: bytes) -> list[tuple[str, list[tuple[str, str]], bytes]]
     url, number, date = (header(source, k) or "" for k in ("WARC-Target-URI", "WARC-Record-ID", "WARC-Date"))
     own = header(source, "WARC-Payload-Digest") or digest(payload)
     page = payload_text(payload, http)
-    title = _TITLE.search(_HIDDEN.sub(" ", page))
+    title = _TITLE.search(_HIDDEN.sub("", page))
     known = {
         "source-warc-headers": [list(h) for h in source],
         "source-http-status": status,
