@@ -123,3 +123,38 @@ def cluster_bootstrap(stats: DataFrame, group: str, iterations: int, seed: int)
     own = F.when(F.col("iteration") > 0, F.col("d"))
     found = delta.agg(F.max(F.when(F.col("iteration") == 0, F.col("d"))).alias("estimate"), F.percentile(own, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((own > 0).cast("int")).alias("improved"))
     return found.select(F.round("estimate", 6).alias("estimate"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"), F.round("improved", 6).alias("improved"))
+
+
+def balanced_ridge(df: DataFrame, source: str, x: str, target: str, prior: float) -> DataFrame:
+    """(feature, coefficient): a ridge in which every source weighs the same, on features standardised without weights."""
+    counts = df.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
+    width = len(df.select(x).head()[0])
+    shape = df.agg(F.count(F.lit(1)), *[F.avg(F.get(x, F.lit(i))) for i in range(width)], *[F.stddev_pop(F.get(x, F.lit(i))) for i in range(width)]).first()
+    n, means, scales = shape[0], shape[1 : width + 1], [s if s >= 1e-6 else 1.0 for s in shape[width + 1 :]]
+    weight = F.lit(float(n)) / (F.lit(float(counts.count())) * F.col("_n"))
+    z = [(F.get(x, F.lit(i)) - means[i]) / scales[i] for i in range(width)]
+    sums = [F.sum(weight * z[i] * z[j]) for i in range(width) for j in range(width)] + [F.sum(weight * z[i] * F.col(target)) for i in range(width)]
+    row = np.array(df.join(counts, source).agg(*sums).first(), dtype=float)
+    w = np.linalg.solve(row[: width * width].reshape(width, width) + prior * np.eye(width), row[width * width :])
+    return df.sparkSession.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(w)], "feature int, coefficient double")
+
+
+def logistic_gate(df: DataFrame, x: str, label: str, l2: float, steps: int = 25) -> DataFrame:
+    """(feature, coefficient) of a logistic model whose classes weigh the same; feature -1 is the intercept, which is not shrunk."""
+    width = len(df.head()[x])
+    n, positive = df.agg(F.count(F.lit(1)), F.sum(label)).first()
+    weight = F.when(F.col(label) > 0.5, n / (2.0 * max(positive, 1))).otherwise(n / (2.0 * max(n - positive, 1)))
+    every = [F.lit(1.0), *[F.get(x, F.lit(i)) for i in range(width)]]
+    shrink = l2 * np.diag([0.0, *[1.0] * width])
+    beta = np.zeros(width + 1)
+    for _ in range(steps):
+        z = sum((every[i] * float(beta[i]) for i in range(width + 1)), F.lit(0.0))
+        p = 1.0 / (1.0 + F.exp(-z))
+        g = [F.sum(weight * (F.col(label) - p) * e) for e in every]
+        h = [F.sum(weight * p * (1.0 - p) * a * b) for a in every for b in every]
+        row = np.array(df.agg(*g, *h).first(), dtype=float) / n
+        step = np.linalg.solve(row[width + 1 :].reshape(width + 1, width + 1) + shrink, row[: width + 1] - shrink @ beta)
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return df.sparkSession.createDataFrame([(i - 1, round(float(v), 6)) for i, v in enumerate(beta)], "feature int, coefficient double")

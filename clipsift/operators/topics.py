@@ -57,3 +57,14 @@ def truncated(text: Column, limit: int) -> Column:
 def hashtag(words: Column) -> Column:
     camel = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), "")
     return F.concat(F.lit("#"), F.substring(camel, 1, 40))
+
+
+def community_trends(examples: DataFrame, group: str, owner: str, text: str, outcome: str, limit: int, least: int = 2) -> DataFrame:
+    """(group, term, creator_support, clip_support, association, rank): like ``term_trends``, but support counts distinct owners.
+
+    Texts are first summed by owner and term, so no count of distinct owners needs all rows of a term.
+    """
+    terms = examples.withColumn("_w", trend_words(F.col(text))).select(group, owner, outcome, F.explode(F.array_distinct(with_next(F.col("_w")))).alias("term"))
+    per = terms.groupBy(group, "term", owner).agg(F.sum(outcome).alias("o"), F.count(F.lit(1)).alias("n"))
+    found = per.groupBy(group, "term").agg(F.sum("o").alias("association"), F.count(F.lit(1)).alias("creator_support"), F.sum("n").alias("clip_support")).where((F.col("creator_support") >= least) & (F.col("association") > 0))
+    return top_k(found, [group], [F.desc("association"), F.desc("creator_support"), F.col("term")], limit).select(group, "term", "creator_support", "clip_support", "association", "rank")
