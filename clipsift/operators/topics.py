@@ -29,13 +29,13 @@ def topics(docs: DataFrame, group: str, key: str, text: str, pool: int, limit: i
     bonus = F.when(F.contains("term", F.lit(" ")), 1.15).otherwise(1.0)
     scored = tf.join(df, [group, "term"]).join(n, group).select(key, "term", six(F.col("tf") * idf * bonus).alias("score"))
     best = top_k(scored, [key], [F.desc("score"), F.desc(F.length("term")), F.col("term")], pool, "i")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "term", "score"))), lambda x: F.struct(x["term"].alias("term"), x["score"].alias("score")))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "term", "score", F.split("term", " ").alias("own"))))
     start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<term:string,score:double>>").alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
-        own = F.split(x["term"], " ")
-        fits = (F.size(acc["taken"]) < limit) & (F.size(F.array_except(own, acc["used"])) > 0)
-        return F.struct(F.when(fits, F.concat(acc["used"], own)).otherwise(acc["used"]).alias("used"), F.when(fits, F.array_append(acc["taken"], x)).otherwise(acc["taken"]).alias("taken"))
+        fits = (F.size(acc["taken"]) < limit) & (F.size(F.array_except(x["own"], acc["used"])) > 0)
+        picked = F.struct(x["term"].alias("term"), x["score"].alias("score"))
+        return F.when(fits, F.struct(F.concat(acc["used"], x["own"]).alias("used"), F.array_append(acc["taken"], picked).alias("taken"))).otherwise(acc)
 
     chosen = best.groupBy(key).agg(F.aggregate(ordered, start, step)["taken"].alias("taken"))
     return chosen.select(key, F.posexplode("taken").alias("p", "x")).select(key, F.col("x.term").alias("term"), F.col("x.score").alias("score"), (F.col("p") + 1).alias("rank"))
