@@ -34,13 +34,17 @@ class WordStore:
         fresh = list(set().union(*texts) - self._at.keys())
         if not fresh:
             return
-        got = self._encode([self._prefix + w[1:] if w[:1] == FIRST else f" {w}" for w in fresh])
+        self._store([self._prefix + w[1:] if w[:1] == FIRST else f" {w}" for w in fresh])
         odd = [not w or w[-1].isspace() or (w[0].isspace() and w[0] != FIRST) or (w[0] == FIRST and w[1:2].isspace()) for w in fresh]
         self._at.update(zip(fresh, range(len(self._at), len(self._at) + len(fresh))))
+        self._odd = np.concatenate([self._odd, np.array(odd, dtype=bool)])
+
+    def _store(self, words: list[str]) -> None:
+        """Keep what the words encode to: ``_len`` ids from ``_start`` on in ``_flat`` for each."""
+        got = self._encode(words)
         lens = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         self._flat = np.concatenate([self._flat, np.fromiter((i for g in got for i in g), dtype=np.uint32, count=int(lens.sum()))])
         self._len = np.concatenate([self._len, lens])
-        self._odd = np.concatenate([self._odd, np.array(odd, dtype=bool)])
         self._start = np.cumsum(self._len) - self._len
 
     def words(self, texts: list[str]) -> list[np.ndarray]:

@@ -71,8 +71,8 @@ class Pieces:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
-def best_paths(pieces: Pieces, words: list[str], n: int) -> tuple[np.ndarray, list[list[list[int]]]]:
-    """scores[word, rank] (-inf where there are fewer) and the ids of each word's ``n`` best segmentations."""
+def best_paths(pieces: Pieces, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """scores[word, rank] (-inf where there are fewer), lengths[word, rank], and the ids of all of these one after another."""
     chars = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
     lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     begin = np.cumsum(lens) - lens
@@ -158,54 +158,61 @@ def best_paths(pieces: Pieces, words: list[str], n: int) -> tuple[np.ndarray, li
         place[rows], done[rows], record[rows] = new
     edges, parents = np.concatenate(edge_of), np.concatenate(parent_of)
     found = place >= 0
-    paths: list[list[list[int]]] = [[] for _ in words]
-    w, k = np.nonzero(found)
-    current, chains = record[w, k], [[] for _ in w]
-    alive = np.flatnonzero(current >= 0)
-    while len(alive):
-        for i, x in zip(alive.tolist(), name[edges[current[alive]]].tolist()):
-            chains[i].append(x)
+    current = record[found]
+    paths, names, alive = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.flatnonzero(current >= 0)
+    while len(alive):  # a record's parents are the pieces to its right
+        paths.append(alive)
+        names.append(name[edges[current[alive]]])
         current[alive] = parents[current[alive]]
         alive = alive[current[alive] >= 0]
-    for i, word in enumerate(w.tolist()):
-        chain = chains[i]
-        if chain and min(chain) < 0:
-            chain = [y for x in chain for y in ([x] if x >= 0 else pieces.byte_ids[list(chr(-1 - x).encode())].tolist())]
-        paths[word].append(chain)
-    return np.where(found, done, -np.inf), paths
+    path, flat = np.concatenate(paths), np.concatenate(names)
+    order = np.argsort(path, kind="stable")
+    path, flat = path[order], flat[order]
+    if (bare := flat < 0).any():
+        points = -1 - flat[bare]
+        times = np.ones(len(flat), dtype=np.int64)
+        times[bare] = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        path, flat = np.repeat(path, times), np.repeat(flat, times)
+        flat[np.repeat(bare, times)] = pieces.byte_ids[np.frombuffer("".join(map(chr, points.tolist())).encode(), dtype=np.uint8)]
+    lengths = np.zeros(found.shape, dtype=np.int64)
+    lengths[found] = np.bincount(path, minlength=int(found.sum()))
+    return np.where(found, done, -np.inf), lengths, flat
 
 
 class _Store(WordStore):
-    """The best segmentation of each word as its ids, the others beside."""
+    """The best segmentations of each word: ``starts`` and ``lengths`` of each rank in the ids held."""
 
     def __init__(self, pieces: Pieces, n: int):
         self._pieces, self._n = pieces, n
-        super().__init__(self._search, prefix=" ")
+        super().__init__(lambda words: [], prefix=" ")
 
     def _clear(self) -> None:
         super()._clear()
-        self.scores = np.zeros((0, self._n))
-        self.others: list[list[list[int]]] = []
+        self.scores, self.lengths, self.starts = np.zeros((0, self._n)), np.zeros((0, self._n), np.int64), np.zeros((0, self._n), np.int64)
 
-    def _search(self, words: list[str]) -> list[list[int]]:
+    def _store(self, words: list[str]) -> None:
         marked = [w.replace(" ", SPACE) for w in words]
-        order = sorted(range(len(words)), key=lambda i: len(marked[i]))  # words of like length search in step
-        out: list[list[list[int]]] = [[] for _ in words]
-        scores = np.empty((len(words), self._n))
+        sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+        order = np.argsort(sizes, kind="stable")  # words of like length search in step
+        scores, lengths, starts = np.empty((len(words), self._n)), np.empty((len(words), self._n), np.int64), np.empty((len(words), self._n), np.int64)
+        total, flats, held = np.cumsum(sizes[order]), [self._flat], len(self._flat)
         a = 0
         while a < len(order):
-            b, held = a, 0
-            while b < len(order) and (b == a or held + len(marked[order[b]]) <= CHARACTERS):
-                held += len(marked[order[b]])
-                b += 1
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CHARACTERS, side="right")))
             some = order[a:b]
-            scores[some], found = best_paths(self._pieces, [marked[i] for i in some], self._n)
-            for i, f in zip(some, found):
-                out[i] = f
+            own_scores, own, flat = best_paths(self._pieces, [marked[i] for i in some.tolist()], self._n)
+            scores[some], lengths[some] = own_scores, own
+            starts[some] = held + (np.cumsum(own.ravel()) - own.ravel()).reshape(own.shape)
+            flats.append(flat.astype(np.uint32))
+            held += len(flat)
             a = b
-        self.scores = np.concatenate([self.scores, scores])
-        self.others += [f[1:] for f in out]
-        return [f[0] for f in out]
+        self._flat = np.concatenate(flats)
+        self.scores, self.lengths, self.starts = (np.concatenate(x) for x in ((self.scores, scores), (self.lengths, lengths), (self.starts, starts)))
+        self._len, self._start = self.lengths[:, 0], self.starts[:, 0]
+
+    def other(self, word: int, rank: int) -> np.ndarray:
+        start = self.starts[word, rank]
+        return self._flat[start : start + self.lengths[word, rank]]
 
     def first(self, at: np.ndarray) -> np.ndarray:
         lens = self._len[at]
@@ -252,7 +259,7 @@ class Segmenter:
             for i, j in reversed(list(zip(free.tolist(), pick))):
                 if j:
                     a, b = s.offset(at, i)
-                    ids = np.concatenate([ids[:a], np.array(s.others[at[i]][j - 1], dtype=np.uint32), ids[b:]])
+                    ids = np.concatenate([ids[:a], s.other(at[i], j), ids[b:]])
             out.append((float(total - lost), ids))
         return out
 
