@@ -68,3 +68,14 @@ def community_trends(examples: DataFrame, group: str, owner: str, text: str, out
     per = terms.groupBy(group, "term", owner).agg(F.sum(outcome).alias("o"), F.count(F.lit(1)).alias("n"))
     found = per.groupBy(group, "term").agg(F.sum("o").alias("association"), F.count(F.lit(1)).alias("creator_support"), F.sum("n").alias("clip_support")).where((F.col("creator_support") >= least) & (F.col("association") > 0))
     return top_k(found, [group], [F.desc("association"), F.desc("creator_support"), F.col("term")], limit).select(group, "term", "creator_support", "clip_support", "association", "rank")
+
+
+def best_excerpts(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
+    """(key, excerpt): the sentence that shares most topic words, is complete and of a fit length; the first gets a little more."""
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    s = docs.select(key, F.posexplode(parts).alias("i", "s"))
+    found = F.array_distinct(F.transform(F.regexp_extract_all("s", F.lit("([a-zA-Z0-9']+)")), lambda t: F.lower(t)))
+    shared = F.size(F.array_intersect(found, F.array(*map(F.lit, words))))
+    fit = F.greatest(F.lit(0.0), 1.0 - F.abs(F.length("s") - 120) / 160.0)
+    score = F.round(shared + 0.4 * F.substring("s", -1, 1).isin(".", "?", "!").cast("int") + 0.2 * fit + 0.15 * (F.col("i") == 0).cast("int"), 9)
+    return s.groupBy(key).agg(F.max_by("s", F.struct(score, -F.col("i"))).alias("excerpt"))

@@ -132,3 +132,37 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= FILE_BYTES).select("path", "content")
     return files.mapInPandas(run, "file string, table string, row long, header string, value string")
+
+
+#: What exports call the fields that results are made of (a normalised header is looked up here).
+ALIASES: dict[str, tuple[str, ...]] = {
+    "date": ("date", "day"),
+    "video_id": ("video id", "post id", "media id", "reel id", "item id"),
+    "traffic_source_type": ("traffic source type",),
+    "device_type": ("device type",),
+    "operating_system": ("operating system",),
+    "age_group": ("age group",),
+    "gender": ("gender",),
+    "views": ("views", "video views", "post views", "reel views", "reels views"),
+    "likes": ("likes",),
+    "comments": ("comments",),
+    "shares": ("shares",),
+    "watch_time_hours": ("watch time hours",),
+}
+
+
+def canonical_field(header: Column) -> Column:
+    """The field that a normalised header names; null for an unknown one."""
+    out = F.lit(None).cast("string")
+    for name, aliases in ALIASES.items():
+        out = F.when(header.isin(list(aliases)), F.lit(name)).otherwise(out)
+    return out
+
+
+def report_type(fields: Column) -> Column:
+    """What a report is about, by the first telling field that it has."""
+    has = lambda *names: F.arrays_overlap(fields, F.array(*map(F.lit, names)))
+    return (
+        F.when(has("elapsed_video_time_ratio"), "audience_retention").when(has("traffic_source_type"), "traffic_sources").when(has("device_type", "operating_system"), "device_and_os")
+        .when(has("age_group", "gender"), "demographics").when(has("thumbnail_impressions"), "reach").when(has("date"), "daily_performance").otherwise("summary")
+    )
