@@ -122,8 +122,14 @@ def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
     """A model of the rows where ``learnable`` holds; of each language the ``per_language`` whose ids hash lowest."""
     rows = ids_and_texts(docs, id_col, text_col, F.col(f"`{lang_col}`").cast("string").alias("lang"), learnable.alias("learnable"))
     rows = rows.where("learnable and lang is not null and text is not null").drop("learnable")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r["doc_id"] for r in rows.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("doc_id").distinct().collect()]
+    keyed = rows.select("doc_id", "lang", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)).alias("h"))
+    share = {r["lang"]: 4.0 * per_language / r["n"] for r in keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not share:
+        return fit([])
+    # four times as many as are needed lie below a language's share: only these are ranked, so a language of any size ranks a fixed number
+    low = keyed.where(F.col("h") <= F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang")))
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = [r["doc_id"] for r in low.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("doc_id").distinct().collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
