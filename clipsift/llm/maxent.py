@@ -2,7 +2,7 @@
 
 p(word | history) = p(class | history) * p(word | class, history). The class factor has a hashed feature row for the last word, for
 the one before it (skip), and for the pair; the word factor has a feature for each word with the class of the last word. The most
-frequent words (``VOCABULARY``, a fixed bound) are outcomes of their own, clustered into classes by their spelling; the end of a
+frequent words (at most ``VOCABULARY``) are outcomes of their own, clustered into classes by their spelling; the end of a
 text is one too, and all other words share the outcome *rare*, within which a word has the probability of its smoothed count, one
 unseen word included, so that the probabilities of all texts sum to 1.
 
@@ -197,6 +197,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most ``most``: all from the lowest count at which they fit.
+
+    Only numbers of words by count (by sixty-fourths of a doubling beyond 1024) and the words themselves reach the driver, however
+    many tasks hold the counts. Of words at one count all or none are taken.
+    """
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 1024).cast("long")
+    sizes = sorted(((r["step"], r["w"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("w")).collect()), reverse=True)
+    least, held = None, 0
+    for at, words in sizes:
+        if held + words > most:
+            break
+        least, held = at, held + words
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["n"]) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def start_model(words: list[bytes], counts: np.ndarray, ends: int, rare: int) -> Model:
     """No features yet: class bias and words by their counts."""
     k = CLASSES - 2
@@ -258,7 +276,7 @@ def score_documents(docs: DataFrame, learnable: Column, id_col: str = "doc_id",
     counts = cut(count_words(train), "words")
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = train.count()
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    top = frequent(counts, vocabulary)
     kept = sum(n for _, n in top)
     model = start_model([w for w, _ in top], np.array([n for _, n in top], dtype=np.float64), ends, n_words - kept)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
