@@ -170,7 +170,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFra
             yield packed()
 
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int")
-    dealt = short.withColumn("bucket", bucket).repartition(groups, "bucket").sortWithinPartitions("bucket", F.desc("length"), "doc_id", "piece")
+    dealt = short.withColumn("bucket", bucket).repartitionById(groups, F.col("bucket")).sortWithinPartitions("bucket", F.desc("length"), "doc_id", "piece")
     return full.unionByName(dealt.mapInArrow(run, f"{PIECES}, sequence_id long, offset long"))
 
 
