@@ -390,16 +390,16 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One row of ``docs`` for each group, all columns as they are: the one with the smallest id (of repeated rows with that id, one).
+    """One row of ``docs`` for each group, all columns as they are: the one with the smallest id (null after all others), of several such rows one.
 
-    Only the ids of rows that go are joined; where a group has null ids alone, all of its rows stay, as no id tells them apart.
+    Rows are told apart by a key that is written with them, as ids may be null or repeated; only the keys of rows that go meet the texts.
     """
-    groups = cut(near_duplicate_groups(docs, id_col, text_col, shingle, radius), "groups")
-    own = F.col(f"`{id_col}`").cast("long")
-    gone = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, own.eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = repeated.select(F.col("doc_id").alias("_again"))
-    return kept.join(again, own == F.col("_again"), "left_anti").unionByName(kept.join(again, own == F.col("_again"), "left_semi").dropDuplicates([id_col]))
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    rows = cut(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    groups = cut(near_duplicate_groups(rows, key, text_col, shingle, radius), "groups").select(F.col("doc_id").alias(key), "component_id")
+    owners = rows.select(F.col(key), F.col(f"`{id_col}`").cast("long").alias("_id"))
+    first = groups.join(owners, key).groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", key)).alias("first"))
+    gone = groups.select(key).join(first.select(F.col("first")[key].alias(key)), key, "left_anti")
+    return rows.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

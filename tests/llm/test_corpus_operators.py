@@ -90,6 +90,16 @@ def test_simhash_on_odd_rows(odd, empty):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 9, 10] and kept.columns == odd.columns
 
 
+def test_representatives_with_null_and_repeated_ids(spark):
+    """Ids say nothing of which rows are copies: each group keeps one row, whatever ids its rows and those of other groups have."""
+    text = {k: " ".join(f"{k}{i * i}" for i in range(30)) for k in "abcdef"}
+    rows = [(1, "a"), (None, "a"), (None, "b"), (None, "c"), (None, "c"), (5, "d"), (4, "d"), (5, "e"), (7, "e"), (3, "f"), (3, "a"), (3, "f")]
+    docs = spark.createDataFrame([(i, text[k], k) for i, k in rows], "doc_id long, text string, _row string").repartition(5)
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r._row, r.doc_id) for r in kept.collect()) == [("a", 1), ("b", None), ("c", None), ("d", 4), ("e", 5), ("f", 3)]
+
+
 @pytest.mark.parametrize("radius", [1, 3, 5])
 def test_links_lose_none_in_a_dense_ball(spark, radius, monkeypatch):
     """Thousands of fingerprints within a few bits of each other share every key: blocks are compared, links stay few."""
