@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def correlate(signal: np.ndarray, template: np.ndarray) -> np.ndarray:
@@ -23,20 +24,25 @@ def correlate(signal: np.ndarray, template: np.ndarray) -> np.ndarray:
     return np.where(scale > 1e-12, product / np.where(scale > 1e-12, scale, 1), 0.0)
 
 
-def align(df: DataFrame, key: str, signal: str, template: str, apart: int = 8) -> DataFrame:
-    """(key, offset, score, runner_up): the best offset and the best one at least ``apart`` away; null where the template doesn't fit."""
+def align(points: DataFrame, templates: DataFrame, key: str, longest: int, apart: int = 8, block: int = 4096) -> DataFrame:
+    """(key, offset, score, runner_up): the best offset of each key's template and the best one at least ``apart`` away; null where it doesn't fit.
+
+    ``points`` are (key, pos, value), pos from 0 without gaps; ``templates`` (key, template) of at most ``longest`` values. A signal is
+    correlated in blocks of ``block`` offsets that overlap by a template's length, so no task holds a whole one.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for k, s, t in zip(batch[key], batch[signal], batch[template]):
-                c = correlate(np.asarray(s, dtype=float), np.asarray(t, dtype=float))
-                if not len(c):
-                    rows.append((k, None, None, None))
-                    continue
-                at = int(c.argmax())
-                rest = np.delete(c, np.arange(max(0, at - apart + 1), min(len(c), at + apart)))
-                rows.append((k, at, round(float(c[at]), 6), round(float(rest.max()), 6) if len(rest) else None))
-            yield pd.DataFrame(rows, columns=[key, "offset", "score", "runner_up"]).astype({"offset": "Int64"})
-
-    return df.select(key, signal, template).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, offset long, score double, runner_up double")
+            for k, b, s, t in zip(batch[key], batch["block"], batch["signal"], batch["template"]):
+                c = correlate(np.asarray(s, dtype=float), np.asarray(t, dtype=float))[:block]  # later windows are the next block's
+                yield pd.DataFrame({key: [k] * len(c), "offset": b * block + np.arange(len(c)), "score": c})
+
+    reached = F.sequence(F.greatest(F.floor((F.col("pos") - (longest - 1)) / block), F.lit(0)), F.floor(F.col("pos") / block))
+    dealt = points.select(key, F.explode(reached).alias("block"), F.struct("pos", "value").alias("point"))
+    cells = dealt.groupBy(key, "block").agg(F.array_sort(F.collect_list("point")).alias("points"))
+    cells = cells.join(templates, key).select(key, "block", F.transform("points", lambda x: x["value"]).alias("signal"), "template")
+    scores = cells.mapInPandas(run, f"{key} {dict(points.dtypes)[key]}, offset long, score double")
+    best = scores.groupBy(key).agg(F.max(F.struct("score", (-F.col("offset")).alias("back"))).alias("best")).select(key, (-F.col("best.back")).alias("at"), F.col("best.score").alias("top"))
+    rest = scores.join(best, key).where(F.abs(F.col("offset") - F.col("at")) >= apart).groupBy(key).agg(F.max("score").alias("second"))
+    found = points.select(key).distinct().join(best, key, "left").join(rest, key, "left")
+    return found.select(key, F.col("at").alias("offset"), F.round("top", 6).alias("score"), F.round("second", 6).alias("runner_up"))

@@ -113,6 +113,8 @@ def top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ml14(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clipsift.operators.alignment import align
 
-    events = b.feedback(spark, sf_dir).where("creator < 40").groupBy("creator").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
-    signal = F.transform("s", lambda x: x["value"])
-    return align(events.select("creator", signal.alias("signal"), F.slice(signal, 11, 16).alias("template")), "creator", "signal", "template")
+    order = Window.partitionBy("creator").orderBy("event_id", "value")
+    points = b.feedback(spark, sf_dir).select("creator", (F.row_number().over(order) - 1).cast("long").alias("pos"), "value")
+    part = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    templates = points.where("pos between 10 and 25").groupBy("creator").agg(F.transform(part, lambda x: x["value"]).alias("template"))
+    return align(points, templates, "creator", longest=16)

@@ -183,6 +183,34 @@ def test_alignment_finds_a_planted_offset():
     assert c.argmax() == 1250 and c.max() > 0.99
 
 
+def test_alignment_of_every_creator(spark, sf):
+    """Each creator's whole series, blocks or not, as one correlation over all of it finds."""
+    from clipsift.plans.registry import QUERIES
+
+    sf = sf.replace("sf0.001", "sf0.01")  # the smaller tables have no creator from 40 on
+    events = spark.read.parquet(f"{sf}/events.parquet").toPandas().sort_values(["event_id", "value"])
+    series = {k: g.value.to_numpy(dtype=float) for k, g in events.groupby("user_id")}
+    got = {r.creator: r for r in QUERIES["ml14_alignment"](spark, sf).collect()}
+    assert set(got) == set(series) and max(series) >= 40
+    rng = np.random.default_rng(3)
+    signal = {1: rng.normal(size=1000), 2: rng.normal(size=30), 3: rng.normal(size=12)}
+    points = spark.createDataFrame([(k, p, float(v)) for k, s in signal.items() for p, v in enumerate(s)], "creator long, pos long, value double")
+    templates = spark.createDataFrame([(1, [float(v) for v in signal[1][250:266]]), (2, [float(v) for v in signal[2][10:26]]), (3, [float(v) for v in rng.normal(size=16)])], "creator long, template array<double>")
+    blocks = {r.creator: r for r in alignment.align(points, templates, "creator", 16, block=64).collect()}
+    template = {1: signal[1][250:266], 2: signal[2][10:26], 3: np.zeros(16)}
+    for found, of, parts in ((got, series, {k: s[10:26] for k, s in series.items()}), (blocks, signal, template)):
+        assert set(found) == set(of)
+        for k, s in of.items():
+            c = alignment.correlate(s, parts[k])
+            if not len(c):
+                assert found[k].offset is None and found[k].score is None
+                continue
+            rest = c[np.abs(np.arange(len(c)) - c.argmax()) >= 8]
+            assert found[k].score == pytest.approx(c.max(), abs=2e-6) and c[found[k].offset] == pytest.approx(c.max(), abs=1e-9)
+            assert found[k].runner_up == (pytest.approx(rest.max(), abs=2e-6) if len(rest) else None)
+    assert blocks[1].offset == 250
+
+
 def test_short_texts_have_no_ngrams(spark):
     df = spark.createDataFrame([(["a", "b"],), (["a", "b", "c", "d", "e"],)], "t array<string>")
     assert [len(r.g) for r in df.select(topics.ngrams(F.col("t"), 4).alias("g")).collect()] == [0, 2]
