@@ -5,11 +5,17 @@ its pair of lowest rank: all its occurrences from the left where no longer piece
 else the first alone, so that the result is that of merging one pair at a time. Rows without a pair left are counted: one token a
 symbol, or its UTF-8 bytes where the model has no such piece.
 
+A row of more than ``LONG`` symbols (a text without spaces) is merged in rounds of its own that touch only the places which a round
+changes: places wait in one list for each rank, and all occurrences of the lowest rank merge at once up to the first beside which a
+pair of lower rank really arises. Where that happens too often the rest is merged pair by pair. Either way time grows about in
+proportion to the row: a million characters take a few seconds.
+
 Defined results: a null text is empty and has 0 tokens; control pieces' strings inside texts are ordinary text.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -22,6 +28,10 @@ from clipsift.llm._common import ids_and_texts, slices
 
 SPACE = "▁"
 _NONE = np.int64(2**31)
+#: Symbols of a row beyond which it is merged in rounds of its own.
+LONG = 512
+#: Rounds in which pairs of lower rank arise, after which a long row is merged pair by pair.
+STOPS = 500
 _ROW = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -62,6 +72,8 @@ class MergeTable:
         self.alone = beside[: len(pieces)] < rank
         self.piece_of_rank = order
         self.n_pieces = len(pieces)
+        self.longest = max((len(p) for p, _ in pieces), default=1)
+        self._by_key: dict[int, tuple[int, int]] | None = None
         self.by_char = np.full(0x110000, self.other, dtype=np.int32)
         for c, i in number.items():
             if len(c) == 1:
@@ -74,6 +86,11 @@ class MergeTable:
 
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each word; a word is a row of its own."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            total = self.counts(["" if len(w) > LONG else w for w in words])
+            total[long] = [self.long_count(words[i]) for i in long]
+            return total
         chars = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
         lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         sym = self.by_char[chars].astype(np.int64)
@@ -118,6 +135,102 @@ class MergeTable:
             rank[changed] = ranks(changed)
         return total
 
+    def long_count(self, word: str) -> int:
+        """Tokens of one long row. Symbols keep the places of their first characters; a place merged into the one before it is dead."""
+        chars = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)
+        n = len(chars)
+        sym = self.by_char[chars].astype(np.int64)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1: no symbol
+        rank = np.append(self.rank(sym[:-1], sym[1:]), _NONE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            """Put places into the lists of their ranks."""
+            at = at[rank[at] < _NONE]
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            own = rank[at]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else own
+            for r, part in zip(own[first].tolist(), np.split(at, first[1:]) if len(own) else ()):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(part)
+
+        wait(np.arange(n))
+        alive, apart, stops = np.ones(n, dtype=bool), 3 * self.longest, 0
+        while heap and stops < STOPS:
+            low = heapq.heappop(heap)
+            every = np.unique(np.concatenate(waiting.pop(low)))
+            every = every[rank[every] == low]  # others have changed since
+            if not len(every):
+                continue
+            new_run = np.append(True, after[every[:-1]] != every[1:])  # of pairs that overlap every other merges
+            run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(every)), 0))
+            at = every[(np.arange(len(every)) - run_start) % 2 == 0]
+            merged = int(self.piece_of_rank[low])
+            right, left = after[after[at]], before[at]
+            again = every[:0]
+            if self.alone[merged]:
+                # what each meets when it merges: the one before it has merged by then, the one after it has not
+                follows = np.append(False, right[:-1] == at[1:])
+                lower = (left >= 0) & (self.rank(np.where(follows, merged, sym[left]), np.full(len(at), merged)) < low)
+                inside = right < n
+                lower[inside] |= self.rank(np.full(int(inside.sum()), merged), sym[right[inside]]) < low
+                if lower.any():
+                    # what arises there merges first and reaches no farther than pieces are long: later places of its chain wait
+                    stops += 1
+                    again = every
+                    chain = np.cumsum(np.append(True, np.diff(at) > apart))
+                    last = np.append(-1, np.maximum.accumulate(np.where(lower, np.arange(len(at)), -1))[:-1])
+                    goes = (last < 0) | (chain[last] != chain)
+                    at, right = at[goes], right[goes]
+            sym[at] = merged
+            gone = after[at]
+            alive[gone], rank[gone] = False, _NONE
+            after[at] = right
+            inside = right < n
+            before[right[inside]] = at[inside]
+            changed = np.concatenate([at, before[at]])
+            changed = np.unique(changed[changed >= 0])
+            rank[changed] = _NONE
+            ends = after[changed]
+            inside = ends < n
+            rank[changed[inside]] = self.rank(sym[changed[inside]], sym[ends[inside]])
+            wait(np.union1d(changed, again))
+        if heap:
+            self._finish(sym, alive)
+        kept = np.flatnonzero(alive)
+        weight = 1 + (chars[kept] >= 0x80).astype(np.int64) + (chars[kept] >= 0x800) + (chars[kept] >= 0x10000)
+        return int(np.where(sym[kept] < self.n_pieces, 1, weight).sum())
+
+    def _finish(self, sym: np.ndarray, alive: np.ndarray) -> None:
+        """Merge what is left one pair at a time: for rows in which lower pairs arise at every step."""
+        if self._by_key is None:
+            self._by_key = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist())))
+        get, size, places = self._by_key.get, self.size, np.flatnonzero(alive)
+        s, n = sym[places].tolist(), len(places)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(p[0], k) for k in range(n - 1) if (p := get(s[k] * size + s[k + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            low, k = heapq.heappop(heap)
+            b = after[k]
+            if s[k] < 0 or b < 0 or not (p := get(s[k] * size + s[b])) or p[0] != low:
+                continue
+            s[k], s[b] = p[1], -1
+            after[k] = after[b]
+            if after[b] >= 0:
+                before[after[b]] = k
+                if q := get(s[k] * size + s[after[k]]):
+                    heapq.heappush(heap, (q[0], k))
+            if before[k] >= 0 and (q := get(s[before[k]] * size + s[k])):
+                heapq.heappush(heap, (q[0], before[k]))
+        left = np.array(s)
+        sym[places] = left
+        alive[places[left < 0]] = False
+
 
 class Counter:
     """Token counts of texts; each distinct word is merged once."""
