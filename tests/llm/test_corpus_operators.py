@@ -364,6 +364,26 @@ def test_merges_of_awkward_strings():
     assert c.count(texts) == [len(x) for x in m.encode(texts)]
 
 
+@pytest.mark.parametrize("long, stops", [(512, 500), (2, 500), (2, 0)])
+def test_merges_of_long_rows(monkeypatch, long, stops):
+    """Short strings through the path of long rows, and a million characters without spaces."""
+    import random
+    import time
+
+    import sentencepiece
+
+    monkeypatch.setattr(bpe_counts, "LONG", long)
+    monkeypatch.setattr(bpe_counts, "STOPS", stops)
+    m, c, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), bpe_counts.Counter(PIECES), random.Random(10)
+    texts = ["".join(rng.choice(["th", "he", "e", "in", "ing", "the", "a", "t", "h", "s", "st", "▁", "é", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    assert c.count(texts) == [len(x) for x in m.encode(texts)]
+    if long == 512:
+        whole = ["th" * 500_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "=" * 1_000_000, " " * 1_000_000]
+        began = time.perf_counter()
+        got = c.count(whole)
+        assert time.perf_counter() - began < 60 and got == [len(x) for x in m.encode(whole)]
+
+
 def test_token_counts_on_odd_rows(odd, empty):
     import sentencepiece
 
@@ -460,5 +480,41 @@ def test_nearest_on_odd_vectors(spark):
     for q in range(0, 900, 20):
         assert got[got.query_id == q].vec_id.tolist() == [i for i, _ in exact_nearest(ids, x, q, 20)]
     assert vamana.nearest(df.where("false"), F.lit(True)).count() == 0
+    other = vamana.nearest(df.unionByName(spark.createDataFrame([(2000, [3.0, 1.0]), (2001, [1e308, 1e308]), (2002, [1e-300, 0.0])], "vec_id long, embedding array<double>").withColumn("shard", F.lit("x"))), F.col("vec_id").isin(1100, 2002))
+    assert [(r.query_id, r.vec_id) for r in other.orderBy("query_id", "rank").collect()] == [(1100, 2001), (1100, 2000), (1100, 2002), (2002, 2001), (2002, 2000), (2002, 1100)]
+    ties = spark.createDataFrame([(k, [1.0, float(k * 37 % 101)]) for k in range(1, 101)] + [(0, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in vamana.nearest(ties, F.col("vec_id") == 0).orderBy("rank").collect()] == list(range(1, 21))
     few = vamana.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
     assert [(r.vec_id, r.score) for r in few.orderBy("rank").collect()] == [(1, 0.5), (2, 0.0)]
+
+
+@pytest.mark.parametrize("kind", ["unit", "gauss", "lognormal"])
+def test_recall_in_shards_far_larger_than_the_beam(kind):
+    """Vectors of equal and of very unequal length, as they are dealt to bands and shards; no shard is searched whole."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 48))
+    if kind != "gauss":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lognormal":
+        x *= rng.lognormal(0, 1, (len(x), 1))
+    asked = rng.choice(len(x), 150, replace=False)
+    band = np.floor(np.log(np.linalg.norm(x, axis=1)) / np.log(vamana.RATIO))
+    found = [set() for _ in asked]
+    for b in np.unique(band):
+        at = np.flatnonzero(band == b)
+        graph, start = vamana.build(vamana.unit(x[at]))
+        for own, ids in zip(found, vamana.beam_search(x[at].astype(np.float32), graph, start, vamana.unit(x[asked]), vamana.QUERY_BEAM)[0]):
+            own.update(at[ids[ids >= 0]])
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    recall = np.mean([len(own & set(np.argsort(-s)[:20])) / 20 for own, s in zip(found, score)])
+    assert recall >= 0.9
+
+
+def test_recall_over_several_shards(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 24)) * rng.lognormal(0, 0.3, (4000, 1))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vamana.nearest(df, F.pmod(F.col("vec_id"), F.lit(20)) == 0, 20, shard_rows=1500).toPandas()
+    hits = [len(set(own.vec_id) & {i for i, _ in exact_nearest(np.arange(len(x)), x, q, 20)}) for q, own in got.groupby("query_id")]
+    assert len(hits) == 200 and sum(hits) / (20 * len(hits)) >= 0.95
