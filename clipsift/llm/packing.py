@@ -1,9 +1,10 @@
 """Tokenised documents packed into sequences of a fixed length by the sum-of-squares rule.
 
 Each document becomes its token ids and one end id. Longer documents are cut into full pieces; what is left over, at most one
-short piece a document, is the first piece. Full pieces are sequences of their own. Short pieces are dealt by hash into groups of
-about ``GROUP`` pieces, longest first; each is placed where the sum, over residual gaps, of the squared number of open sequences
-with that gap becomes smallest (ties: the smallest gap, an open sequence before a new one).
+short piece a document, is the first piece. Full pieces are sequences of their own. Short pieces are dealt by the hash of their row
+number (so copies spread like any other rows) into groups of about ``GROUP`` pieces, longest first; each is placed where the sum, over residual gaps, of the squared number of open sequences
+with that gap becomes smallest (ties: the smallest gap, an open sequence before a new one). Sequences of a group that fit into one
+another are joined at the end.
 
 Defined results: a null text is empty and gives the end id alone; repeated rows are packed each on their own; no rows give none.
 """
@@ -50,7 +51,7 @@ def rank_encoder(spec: dict):  # noqa: ANN201
     if merged != list(range(256, 256 + len(merged))) or len(words) != 256 + len(merged) or any(c not in to_byte for w in words for c in w):
         return None
     ranks = {bytes(to_byte[c] for c in w): i for w, i in words.items()}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class Encoder:
@@ -141,8 +142,36 @@ def sum_of_squares(lengths: list[int], capacity: int) -> tuple[list[int], list[i
     return bins, offsets, n
 
 
+def joined_bins(lengths: list[int], bins: list[int], offsets: list[int], n: int, capacity: int) -> tuple[list[int], list[int], int]:
+    """The same placing with whole bins put together where they fit: fullest first, each into the smallest gap that takes it.
+
+    The sum-of-squares rule keeps bins open for lengths to come; where these don't come, as among copies, it leaves bins half empty.
+    """
+    level = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
+    open_bins = np.zeros(capacity + 1, dtype=np.int64)
+    by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
+    into, shift, held = np.arange(n), np.zeros(n, dtype=np.int64), level.copy()
+    for b in np.argsort(-level, kind="stable").tolist():
+        size = int(level[b])
+        wide = np.flatnonzero(open_bins[size:])
+        if len(wide):
+            gap = size + int(wide[0])
+            at = by_gap[gap].pop()
+            open_bins[gap] -= 1
+            into[b], shift[b] = at, held[at]
+            held[at] += size
+            b, gap = at, gap - size
+        else:
+            gap = capacity - size
+        by_gap[gap].append(b)
+        open_bins[gap] += 1
+    left, number = np.unique(into, return_inverse=True)
+    at = np.asarray(bins, dtype=np.int64)
+    return number[at].tolist(), (np.asarray(offsets, dtype=np.int64) + shift[at]).tolist(), len(left)
+
+
 def pack(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``. ``pieces`` is read twice: pass a table."""
+    """The pieces with ``sequence_id`` and ``offset``. ``pieces`` is read three times and its rows are numbered as read: pass a table."""
     short = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group))
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
@@ -153,7 +182,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFra
         def packed() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
             number = table.column("bucket")[0].as_py()
-            bins, offsets, _ = sum_of_squares(table.column("length").to_pylist(), capacity)
+            lengths = table.column("length").to_pylist()
+            bins, offsets, _ = joined_bins(lengths, *sum_of_squares(lengths, capacity), capacity)
             out = table.drop_columns(["bucket"]).append_column("sequence_id", pa.array(-1 - (np.array(bins, dtype=np.int64) * groups + number))).append_column("offset", pa.array(offsets, pa.int64()))
             return out.to_batches()[0]
 
@@ -169,7 +199,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFra
         if held:
             yield packed()
 
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
     dealt = short.withColumn("bucket", bucket).repartitionById(groups, F.col("bucket")).sortWithinPartitions("bucket", F.desc("length"), "doc_id", "piece")
     return full.unionByName(dealt.mapInArrow(run, f"{PIECES}, sequence_id long, offset long"))
 

@@ -197,6 +197,68 @@ def test_chunks_shift_with_the_text():
     assert ends[-1] == len(data) and sizes.max() <= chunkprint.MOST and sizes[:-1].min() >= chunkprint.MIN
 
 
+def slow_chunks(data):
+    """Chunks by a hash rolled byte by byte: of each, its end."""
+    ends, start = [], 0
+    while start < len(data):
+        end = min(start + chunkprint.MOST, len(data))
+        for at in range(start + chunkprint.MIN, end):
+            h = 0
+            for back in range(16):
+                if at - 1 - back >= 0:
+                    h += xxhash.xxh32_intdigest(data[at - 1 - back : at - back], 1) << back
+            mask = 0x3F << 20 if at - start <= chunkprint.NORMAL else 0xF << 20
+            if not h & 0xFFFFFFFF & mask:
+                end = at
+                break
+        ends.append(end)
+        start = end
+    return ends
+
+
+def test_chunkprints_by_a_sequential_chunker(spark, sf, local):
+    """Fingerprints and likeness of the query's rows, recomputed chunk by chunk."""
+    import base64
+
+    def printed(text):
+        data, out, start = text.encode(), Counter(), 0
+        for end in slow_chunks(data):
+            out[xxhash.xxh3_64_digest(data[start:end])[: chunkprint.DIGEST]] += end - start
+            start = end
+        return out
+
+    def alike(a, b):
+        return sum(min(n, b[k]) for k, n in a.items()) / sum(a.values()) if a and b else float(bool(a) == bool(b))
+
+    got = queries.op3_chunkprint(spark, sf).toPandas().set_index("doc_id")
+    texts, ids = local.text.tolist(), local.doc_id.tolist()
+    for k in [k for k in range(len(texts)) if len(texts[k]) < 1500][:40]:
+        following = texts[(k + 1) % len(texts)]
+        half = len(texts[k]) // 2
+        own, edited, other = printed(texts[k]), printed(texts[k][: len(texts[k]) - half] + following[:half]), printed(following[:20_000])
+        row = got.loc[ids[k]]
+        for field, expected in (("fingerprint", own), ("edited_fingerprint", edited)):
+            raw = base64.b64decode(row[field])
+            entries = {raw[a : a + 5]: int.from_bytes(raw[a + 5 : a + 9], "big") for a in range(0, len(raw), 9)}
+            assert entries == dict(expected) and list(entries) == sorted(entries)
+        assert row.near_edited == pytest.approx(alike(own, edited))
+        if len(following) < 5000:
+            assert row.near_next == pytest.approx(alike(own, other))
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_ring_order(spark, ranges):
+    """Every row is followed by the next id's, across ranges and around the end, with ids null, repeated and far apart."""
+    ids = [None, -(2**62), -5, 0, 3, 3, 3, 9, 2**40, *range(100, 140)]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(6)
+    rows = [(r.range, r.tail, r.doc_id) for r in chunkprint.in_ring_order(docs, ranges).collect()]
+    order = sorted(ids, key=lambda i: (i is not None, i))
+    by_range = [[i for n, tail, i in rows if n == k and not tail] for k in sorted({n for n, _, _ in rows})]
+    assert [i for part in by_range for i in part] == order
+    for k, part in enumerate(by_range):
+        assert [i for n, tail, i in rows if n == k and tail][0] == by_range[(k + 1) % len(by_range)][0]
+
+
 def test_chunkprints_on_odd_rows(odd, empty, spark):
     got = chunkprint.edit_resistance(odd).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r.doc_id is None, r.doc_id or 0) for r in odd.collect())
@@ -244,6 +306,30 @@ def test_sum_of_squares_takes_the_least_change():
     assert (bins, offsets, n) == ([0, 1, 0, 1, 2, 2], [0, 0, 6, 5, 0, 3], 3)
 
 
+def test_sum_of_squares_against_trying_every_place():
+    rng = np.random.default_rng(2)
+    for capacity in (7, 20, 64):
+        lengths = rng.integers(1, capacity + 1, 300).tolist()
+        bins, offsets, n = packing.sum_of_squares(lengths, capacity)
+        level = {}
+        for size, at, offset in zip(lengths, bins, offsets):
+            total = lambda change: sum(c * c for g, c in (Counter(capacity - x for x in level.values() if x < capacity) + Counter()).items() if g) if change is None else sum(c * c for c in Counter(capacity - x for x in {**level, **change}.values() if x < capacity).values())  # noqa: E731, B023
+            open_gaps = {capacity - x: b for b, x in level.items() if capacity - x >= size}
+            ways = [total({b: level[b] + size}) for b in open_gaps.values()] + [total({-1: size})]
+            assert total({at: level.get(at, 0) + size}) == min(ways) and offset == level.get(at, 0)
+            level[at] = offset + size
+        assert len(level) == n
+
+
+def test_copies_spread_over_packing_groups(spark, monkeypatch):
+    """Thousands of equal rows are dealt like any others: no group is larger than twice the rest."""
+    pieces = spark.createDataFrame([(None, 0, 0, 700, 5)] * 4000, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    got = packing.pack(packing.cut(pieces, "test-pieces"), 2048, 500).toPandas()
+    number = -1 - got.sequence_id
+    assert len(got) == 4000 and (number % 8).value_counts().between(350, 650).all()
+    assert (got.groupby("sequence_id").length.sum() <= 2048).all() and got.sequence_id.nunique() <= 2004
+
+
 # --- archives
 
 
