@@ -3,7 +3,11 @@
 Boundaries come from a gear hash over the last ``MIN`` bytes, by normalised chunking: a strict mask up to the normal size, a loose
 one after it, a forced cut at the largest size. As the hash sees no further back than the smallest chunk, boundaries fall where
 the content says and soon agree again after an insertion. A fingerprint is the set of chunk digests, each weighted by the bytes
-that it stands for; likeness is the share of a document's bytes whose chunks the other document has as well.
+that it stands for; likeness is the share of a document's bytes that the other document has in the same chunks (of a chunk that
+both have, the smaller of its two weights). A fingerprint takes 12 characters for each 32 or so bytes of text.
+
+Documents are sorted into ranges of ids, as many as the input has partitions or shuffles have (whichever is more), so a range holds
+no more than a fixed amount of text at any size; rows of one id stay in one range, where they stream.
 
 Defined results: a null text is empty, its fingerprint the empty string; two empty fingerprints are alike (1), an empty and
 another are not (0); equal texts have equal fingerprints. Rows are ordered by id (null first), rows of one id by text.
@@ -31,8 +35,8 @@ STRICT, LOOSE = np.uint32(0x3F << 20), np.uint32(0xF << 20)
 ENTRY = np.dtype([("digest", ">u8"), ("weight", ">u4")])
 #: Bytes of a digest that are kept.
 DIGEST = 5
-#: Ranges that the documents are sorted into, at most.
-RANGES = 1024
+#: Sampled ids of a range, from which its bounds are taken.
+SAMPLED = 32
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], dtype=np.uint32)
 
 
@@ -100,36 +104,37 @@ def likeness(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.nda
     return float(shared / one[1].sum())
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds that are at most ``key``, by a balanced tree of comparisons."""
+def _range_of(key: Column, bounds: Column, n: int) -> Column:
+    """How many of ``n`` ascending bounds are at most ``key``, by halving steps."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
 
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key < F.lit(bounds[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
 
-    return tree(0, len(bounds))
+def range_bounds(keys: DataFrame, ranges: int) -> tuple[int | None, list[int]]:
+    """The least ``key`` and keys that begin further ranges (fewer than ``ranges``), from a sample of distinct keys by their hash."""
+    n, least = keys.agg(F.count(F.lit(1)), F.min("key")).first()
+    if not n:
+        return None, []
+    share = min(1.0, SAMPLED * ranges / n)
+    sample = keys.where((F.pmod(F.xxhash64("key"), F.lit(1 << 31)) < int(share * (1 << 31))) & (F.col("key") > least)).distinct()
+    found = sorted(r["key"] for r in sample.collect())
+    return least, sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
 
 
 def in_ring_order(docs: DataFrame, ranges: int) -> DataFrame:
     """(doc_id, text, range, tail): each range's rows in order, ended by a row with tail 1 that begins the next range.
 
-    The first rows of the ranges are found from the ids alone; texts are shuffled once. After the last range comes the first.
+    A range begins with its bound, which is the key of a row; texts are shuffled once. After the last range comes the first.
     """
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    ids = docs.select(key.alias("key"))
-    bounds = sorted({int(x) for x in ids.approxQuantile("key", [k / ranges for k in range(1, ranges)], 0.1 / ranges)})
-    keyed = docs.withColumns({"key": key, "range": _range_of(key, bounds)})
-    firsts = sorted((r["range"], r["first"]) for r in keyed.select("range", "key").groupBy("range").agg(F.min("key").alias("first")).collect())
-    if not firsts:
-        return keyed.select("doc_id", "text", "range", F.lit(0).alias("tail"))
-    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
-    here = F.struct(F.col("range"), F.lit(0).alias("tail"))
-    ahead = F.element_at(F.map_from_arrays(F.array(*map(F.lit, before)), F.array(*map(F.lit, before.values()))), F.col("key"))
-    sent = F.when(F.col("key").isin(list(before)), F.array(here, F.struct(ahead.alias("range"), F.lit(1).alias("tail")))).otherwise(F.array(here))
-    dealt = keyed.withColumn("to", F.explode(sent)).select("doc_id", "text", "key", "to.range", "to.tail")
-    return dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "tail", "key", "text").select("doc_id", "text", "range", "tail")
+    least, found = range_bounds(docs.select(key.alias("key")), ranges)
+    bounds, number = F.split(F.lit(",".join(map(str, found))), ",").cast("array<long>"), len(found) + 1
+    keyed = docs.withColumn("key", key)
+    keyed = keyed.withColumn("range", _range_of(F.col("key"), bounds, len(found)) if found else F.lit(0))
+    begins = F.col("key") == F.coalesce(F.get(bounds, F.col("range") - 1), F.lit(least)) if found else F.col("key") == F.lit(least)
+    here, ahead = F.struct(F.col("range"), F.lit(0).alias("tail")), F.struct(F.pmod(F.col("range") - 1, F.lit(number)).alias("range"), F.lit(1).alias("tail"))
+    dealt = keyed.withColumn("to", F.explode(F.when(begins, F.array(here, ahead)).otherwise(F.array(here)))).select("doc_id", "text", "key", "to.range", "to.tail")
+    return dealt.repartitionById(number, F.col("range")).sortWithinPartitions("range", "tail", "key", "text").select("doc_id", "text", "range", "tail")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -144,7 +149,8 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def edit_resistance(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each document its fingerprint, that of the text edited with the next document's, and how alike they and the next one's are."""
     spark = docs.sparkSession
-    ranges = min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = ids_and_texts(docs, id_col, text_col)
+    ranges = max(own.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def rows(ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
         """Of each text but the last, which only follows."""
@@ -182,4 +188,4 @@ def edit_resistance(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield rows(ids, texts)
                     ids, texts = ids[-1:], texts[-1:]
 
-    return in_ring_order(ids_and_texts(docs, id_col, text_col), ranges).mapInArrow(run, SCHEMA)
+    return in_ring_order(own, ranges).mapInArrow(run, SCHEMA)
