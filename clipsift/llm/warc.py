@@ -14,10 +14,13 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -28,13 +31,18 @@ from pyspark.sql import functions as F
 from clipsift.llm._common import slices
 
 VERSION = "WARC/1.1"
-SOFTWARE = "clipsift derivative builder"
+#: Bytes of a header line that are read at once.
+LINE = 1 << 20
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 9562's namespace for URLs
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)")
-_BLOCK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>")
-_TAG = re.compile(r"(?s)<(?:/?[A-Za-z][^>]*|![^>]*|\?[^>]*)>")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_LINK = re.compile(r"""(?is)<(a|area|link|img|script|iframe|source)\b[^>]*?\s(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: Elements of which nothing is shown, elements that begin a line, and elements whose links are listed.
+HIDDEN = frozenset("script style template noscript".split())
+BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr li main nav ol option p pre section table td th title tr ul".split())
+LINKED = frozenset("a area link img script iframe source".split())
+# Patterns with possessive repeats only: none goes back over what it has read.
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s=>/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+_CLOSED = {name: re.compile(rf"</{name}\s*+>", re.I) for name in (*HIDDEN, "title")}
 
 
 def digest(data: bytes) -> str:
@@ -88,6 +96,46 @@ def read_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], payload
 
 
+def dechunked(payload: bytes) -> bytes | None:
+    """The payload without its chunk sizes; None where it isn't written in chunks."""
+    out, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at, at + 1000)
+        try:
+            size = int(payload[at:end].split(b";")[0].strip(), 16) if end >= 0 else -1
+        except ValueError:
+            return None
+        if size < 0:
+            return None
+        if not size:
+            return b"".join(out)
+        out.append(payload[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+        if at > len(payload):
+            return None
+
+
+def decoded(payload: bytes, http: list[tuple[str, str]]) -> tuple[bytes, bytes, list[str]]:
+    """The payload without its transfer coding, that without its content codings, and the codings undone.
+
+    Archives also hold payloads that were decoded before: what isn't written as a header says stays as it is.
+    """
+    undone = []
+    if "chunked" in (header(http, "Transfer-Encoding") or "").lower() and (body := dechunked(payload)) is not None:
+        payload = body
+        undone.append("chunked")
+    entity = payload
+    for coding in reversed([c.strip().lower() for c in (header(http, "Content-Encoding") or "").split(",")]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            try:
+                entity = zlib.decompressobj(bits).decompress(entity)
+            except zlib.error:
+                continue
+            undone.append(coding)
+            break
+    return payload, entity, undone
+
+
 def payload_text(payload: bytes, http: list[tuple[str, str]]) -> str:
     """The payload in the character set that the source header names, else UTF-8; bytes that don't fit are replaced."""
     named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", header(http, "Content-Type") or "", re.I)
@@ -97,23 +145,72 @@ def payload_text(payload: bytes, http: list[tuple[str, str]]) -> str:
         return payload.decode("utf-8", "replace")
 
 
-def plain_text(page: str) -> str:
-    """What a page shows: no scripts, styles or comments, a line for each block, entities resolved, white space in lines collapsed."""
-    page = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub("", page)))
-    lines = (" ".join(x.split()) for x in html.unescape(page).split("\n"))
-    return "\n".join(x for x in lines if x)
+def _attribute(tag: str) -> tuple[str, str] | None:
+    """The first href or src of a tag's attributes."""
+    for name, *values in _ATTRIBUTE.findall(tag):
+        if name.lower() in ("href", "src"):
+            return name.lower(), html.unescape(next((v for v in values if v), "")).strip()
+    return None
 
 
-def page_links(page: str, base: str) -> list[dict[str, str]]:
-    out = []
-    for tag, attribute, *values in _LINK.findall(_HIDDEN.sub("", page)):
-        raw = html.unescape(next((v for v in values if v), "")).strip()
-        try:
-            url = urljoin(base, raw)
-        except ValueError:
-            url = raw
-        out.append({"path": f"{tag.upper()}@/{attribute.lower()}", "url": url})
-    return out
+def scan(page: str, base: str = "") -> tuple[str, str, list[dict[str, str]]]:
+    """What a page shows, its title and its links, in one pass whose time is in proportion to the page.
+
+    No scripts, styles or comments are shown; each block begins a line; entities are resolved, white space in lines collapses. A tag
+    ends at the first > outside a quoted value, a comment that isn't closed at the first >, a hidden element that isn't closed at the
+    end of the page; a < that begins no tag, and one whose tag never ends, are text.
+    """
+    out: list[str] = []
+    links: list[dict[str, str]] = []
+    title: str | None = None
+    at, comments = 0, True
+    while (start := page.find("<", at)) >= 0:
+        out.append(page[at:start])
+        after = page[start + 1 : start + 2]
+        if after in ("!", "?"):
+            end = -1
+            if comments and page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                comments = end >= 0
+                end += 2 if comments else 0
+            if end < 0:
+                end = page.find(">", start)
+            if end < 0:
+                out.append(page[start:])
+                at = len(page)
+                break
+            at = end + 1
+            continue
+        found = _NAME.match(page, start + 1)
+        if not found:
+            out.append("<")
+            at = start + 1
+            continue
+        rest = _REST.match(page, found.end())
+        if not rest:
+            out.append(page[start:])
+            at = len(page)
+            break
+        at, name = rest.end(), found[2].lower()
+        if name in BLOCKS:
+            out.append("\n")
+        if found[1]:
+            continue
+        if name in LINKED and (link := _attribute(page[found.end() : at - 1])):
+            try:
+                url = urljoin(base, link[1])
+            except ValueError:
+                url = link[1]
+            links.append({"path": f"{name.upper()}@/{link[0]}", "url": url})
+        if name in HIDDEN:
+            closed = _CLOSED[name].search(page, at)
+            at = closed.end() if closed else len(page)
+        elif name == "title" and title is None:
+            closed = _CLOSED[name].search(page, at)
+            title = " ".join(html.unescape(page[at : closed.start()]).split()) if closed else ""
+    out.append(page[at:])
+    lines = (" ".join(x.split()) for x in html.unescape("".join(out)).split("\n"))
+    return "\n".join(x for x in lines if x), title or "", links
 
 
 def response(url: str, page: str, number: str, date: str) -> bytes:
@@ -132,20 +229,21 @@ def derivatives(record: bytes) -> list[tuple[str, list[tuple[str, str]], bytes]]
     status, http, payload = read_http(block)
     url, number, date = (header(source, k) or "" for k in ("WARC-Target-URI", "WARC-Record-ID", "WARC-Date"))
     own = header(source, "WARC-Payload-Digest") or digest(payload)
-    page = payload_text(payload, http)
-    title = _TITLE.search(_HIDDEN.sub("", page))
+    plain, entity, undone = decoded(payload, http)
+    text, title, links = scan(payload_text(entity, http), url)
     known = {
         "source-warc-headers": [list(h) for h in source],
         "source-http-status": status,
         "source-http-headers": [list(h) for h in http],
         "payload-digest": own,
-        "payload-digest-verified": own == digest(payload),
+        "payload-digest-verified": own in (digest(payload), digest(plain)),
         "payload-length": len(payload),
-        "title": " ".join(html.unescape(title[1]).split()) if title else "",
-        "links": page_links(page, url),
+        "decoded": undone,
+        "title": title,
+        "links": links,
     }
     out = []
-    for kind, content_type, body in (("metadata", "application/json", json.dumps(known, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace"))):
+    for kind, content_type, body in (("metadata", "application/json", json.dumps(known, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
         headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, number)), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Refers-To", number), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date), ("WARC-Payload-Digest", own), ("WARC-Block-Digest", digest(body)), ("Content-Type", content_type)]
         out.append((kind, headers, body))
     return out
@@ -217,20 +315,74 @@ def write_warc(records: DataFrame, path: str, column: str = "record") -> DataFra
     return records.select(column).mapInArrow(run, "file string, records long")
 
 
+def stream_records(stream: BinaryIO) -> Iterator[tuple[str, bytes]]:
+    """(kind, record) of a stream of records, one held at a time; kind ``invalid`` with the reason where the stream isn't one.
+
+    After damage reading goes on at the next line that begins a record; damage to the compression ends the stream.
+    """
+    line = b""
+    try:
+        while True:
+            while not line.startswith(b"WARC/"):
+                if line.strip():
+                    yield "invalid", f"no WARC record at {line[:40]!r}".encode()
+                    while line and not line.startswith(b"WARC/"):
+                        line = stream.readline(LINE)
+                    continue
+                line = stream.readline(LINE)
+                if not line:
+                    return
+            head, size = [line], None
+            while (line := stream.readline(LINE)) not in (b"", b"\r\n", b"\n"):
+                head.append(line)
+                name, _, value = line.partition(b":")
+                if name.strip().lower() == b"content-length" and value.strip().isdigit():
+                    size = int(value)
+            if size is None:
+                yield "invalid", b"no content length"
+                line = b""
+                continue
+            record = b"".join(head) + b"\r\n" + stream.read(size) + b"\r\n\r\n"
+            try:
+                headers, _, _ = read_record(record)
+            except ValueError as e:
+                yield "invalid", str(e).encode()
+            else:
+                yield header(headers, "WARC-Type") or "", record
+            line = b""
+    except (EOFError, zlib.error, gzip.BadGzipFile) as e:
+        yield "invalid", f"compression: {e}".encode()
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, position, kind, record) of the records in .warc and .warc.gz files; one file is read by one task."""
+    """(file, position, kind, record) of the records in .warc and .warc.gz files.
+
+    A file is streamed by one task, a record at a time; pyarrow opens it, so ``path`` is one that it can open from every executor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        def rows(held: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.binary()))], names=["file", "position", "kind", "record"])
+
         for batch in batches:
-            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                at, n, rows = 0, 0, []
-                while at < len(data):
-                    headers, _, after = read_record(data, at)
-                    rows.append((name, n, header(headers, "WARC-Type"), data[at:after]))
-                    at, n = after, n + 1
-                cols = list(zip(*rows)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], names=["file", "position", "kind", "record"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
+            for name in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                with store.open_input_file(at) as raw:
+                    packed = raw.read(2) == b"\x1f\x8b"
+                    raw.seek(0)
+                    held, size = [], 0
+                    with gzip.open(raw) if packed else io.BufferedReader(raw) as stream:
+                        for n, (kind, record) in enumerate(stream_records(stream)):
+                            held.append((name, n, kind, record))
+                            size += len(record)
+                            if size > 4_000_000:
+                                yield rows(held)
+                                held, size = [], 0
+                    if held:
+                        yield rows(held)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path")
     return files.mapInArrow(run, "file string, position long, kind string, record binary")
