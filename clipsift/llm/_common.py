@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,9 +66,9 @@ def ids_and_texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) ->
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Split a batch so that a column's texts come to about ``limit`` bytes a slice (a longer single text makes a slice of its own)."""
-    col = batch.column(batch.schema.get_field_index(column))
+    col = batch.column(batch.schema.get_field_index(column) if isinstance(column, str) else column)
     sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
@@ -77,3 +78,16 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000)
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def where_text(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text (null: empty) is judged true. ``judge()`` is made once a task."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = judge()
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(decide([t or "" for t in part.column(at).to_pylist()])))
+
+    return docs.mapInArrow(run, docs.schema)

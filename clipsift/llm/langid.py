@@ -9,19 +9,19 @@ by a product of its sparse presence matrix with these weights.
 Characters are lower-cased and put into 64 classes: no letter (runs count once), a-z, the Latin-1 letters, and four wide classes.
 
 Defined results: ``und`` with score 0 for a null text and for one without a letter, and for all texts if nothing was learned.
-Ties go to the language that sorts first. Repeated rows get equal results.
+Ties go to the language that sorts first. Repeated rows get equal results. Null ids and languages teach nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipsift.llm._common import fold_of, ids_and_texts, slices
+from clipsift.llm._common import fold_of, ids_and_texts, slices, where_text
 
 ORDER = 3
 CLASSES = 64
@@ -29,6 +29,8 @@ CLASSES = 64
 CODES = CLASSES + CLASSES**2 + CLASSES**3
 #: Labelled texts of a language that are learned from, and how many of them are landmarks: the bounds of the sample.
 PER_LANGUAGE, LANDMARKS = 400, 64
+#: Languages that are learned, the most frequent first: the bound of the model where labels are dirty.
+LANGUAGES = 64
 RIDGE = 1e-2
 UNKNOWN = "und"
 
@@ -119,17 +121,22 @@ def score(grams: list[np.ndarray], weights: np.ndarray, intercepts: np.ndarray)
 
 
 def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """A model of the rows where ``learnable`` holds; of each language the ``per_language`` whose ids hash lowest."""
+    """A model of the rows where ``learnable`` holds; of each language the ``per_language`` whose ids hash lowest.
+
+    Of a repeated id the row with the smallest language and text counts.
+    """
     rows = ids_and_texts(docs, id_col, text_col, F.col(f"`{lang_col}`").cast("string").alias("lang"), learnable.alias("learnable"))
     rows = rows.where("learnable and lang is not null and text is not null").drop("learnable")
     keyed = rows.select("doc_id", "lang", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)).alias("h"))
-    share = {r["lang"]: 4.0 * per_language / r["n"] for r in keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not share:
+    sizes = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
         return fit([])
     # four times as many as are needed lie below a language's share: only these are ranked, so a language of any size ranks a fixed number
-    low = keyed.where(F.col("h") <= F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang")))
+    share = rows.sparkSession.createDataFrame([(r["lang"], 4.0 * per_language / r["ids"]) for r in sizes], "lang string, share double")
+    low = keyed.join(F.broadcast(share), "lang").where("h <= share").groupBy("doc_id", "h").agg(F.min("lang").alias("lang"))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = [r["doc_id"] for r in low.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("doc_id").distinct().collect()]
+    chosen = low.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("doc_id", "lang").collect()  # per_language of LANGUAGES
+    ids = F.broadcast(rows.sparkSession.createDataFrame(chosen, "doc_id long, lang string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
@@ -138,7 +145,8 @@ def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
                 found = [grams(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "lang", "grams"])
 
-    sampled = rows.where(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, lang string, grams array<long>").toPandas().sort_values(["lang", "doc_id"])
+    texts = rows.join(ids, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
+    sampled = texts.mapInArrow(run, "doc_id long, lang string, grams array<long>").toPandas().sort_values(["lang", "doc_id"])
     return fit([(lang, np.asarray(g)) for lang, g in zip(sampled["lang"], sampled["grams"]) if len(g)])
 
 
@@ -173,15 +181,17 @@ def keep(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], share
     names, own, intercepts = model
     used = np.flatnonzero(own.any(axis=1)) if len(names) else np.zeros(0, dtype=np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((used, own[used], intercepts))
-    at_text = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge() -> Callable[[list[str]], np.ndarray]:
         grams = Grams()
         at, rows, cut_off = shared.value
         weights = np.zeros((CODES, rows.shape[1]), dtype=np.float32)
         weights[at] = rows
-        for batch in batches:
-            best, found = score([grams(t or "") for t in batch.column(at_text).to_pylist()], weights, cut_off)
-            yield batch.filter(pa.array((best >= 0) & (found >= share)))
 
-    return docs.mapInArrow(run, docs.schema)
+        def decide(texts: list[str]) -> np.ndarray:
+            best, found = score([grams(t) for t in texts], weights, cut_off)
+            return (best >= 0) & (found >= share)
+
+        return decide
+
+    return where_text(docs, text_col, judge)
