@@ -1,31 +1,37 @@
 """Quality scores by votes of the most similar labelled texts in a latent-semantic space.
 
-A text becomes term weights: n-grams of ``ORDER`` character classes (letters, capitals, digits, kinds of punctuation, white space)
-and measures of the whole text (share of distinct words, of distinct lines, of capitals, of symbols, length of words, length),
+A text becomes term weights: its words (lower-cased, hashed to ``WORDS`` terms), n-grams of ``ORDER`` character classes (letters,
+capitals, digits, kinds of punctuation, white space) and measures of the whole text (share of distinct words, of distinct lines, of capitals, of symbols, length of words, length),
 each spread over its two nearest steps. Weights are log frequency times inverse document frequency, of unit length. The leading
 eigenvectors of the labelled sample's term products span the latent space. The labelled vectors, a bounded number, are broadcast;
 every document's cosines with all of them are exact, computed in blocks, and its ``NEIGHBOURS`` nearest vote by similarity.
 
 Defined results: a null text is empty; an empty text has no neighbours and scores the labelled mean; with no labels every score
-is 0.5. Repeated rows get equal scores; of a repeated label row one counts.
+is 0.5. Repeated rows get equal scores; of a repeated id the smallest label and the smallest text count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.llm._common import fold_of, ids_and_texts, slices
+from clipsift.llm._common import fold_of, ids_and_texts, slices, where_text
 
 ORDER, CLASSES, STEPS = 3, 16, 16
-MEASURES = 6
-TERMS = CLASSES**ORDER + MEASURES * STEPS
+MEASURES, WORDS = 6, 2048
+#: Terms in the order of their numbers: n-grams, measures, words.
+FIRST_WORD = CLASSES**ORDER + MEASURES * STEPS
+TERMS = FIRST_WORD + WORDS
 #: Weight of a measure among the logs of n-gram counts.
 MEASURE_WEIGHT = 6.0
+#: Weight of a word's log count among those of n-grams.
+WORD_WEIGHT = 0.5
 #: Labelled texts that are learned from and vote, latent dimensions, voters, and the power of similarity that weighs a vote.
 SAMPLE, DIMENSIONS, NEIGHBOURS, POWER = 6000, 48, 15, 8
 #: Documents of a block of cosines.
@@ -60,9 +66,14 @@ def term_counts(text: str) -> np.ndarray | None:
         n = CLASSES**ORDER
         out[:n] = np.log1p(np.bincount(code, minlength=n) * (256.0 / len(code)))
     words, lines = raw.lower().split(), raw.split(b"\n")
+    if words:
+        distinct = Counter(words)
+        at = np.fromiter(map(xxhash.xxh32_intdigest, distinct), dtype=np.int64, count=len(distinct)) % WORDS
+        times = np.bincount(at, weights=np.fromiter(distinct.values(), dtype=np.float64, count=len(distinct)), minlength=WORDS)
+        out[FIRST_WORD:] = WORD_WEIGHT * np.log1p(times * (256.0 / len(words)))
     letters = int(kinds[1] + kinds[2])
     measures = (
-        len(set(words)) / max(1, len(words)),
+        len(distinct) / len(words) if words else 0.0,
         len(set(lines)) / len(lines),
         kinds[2] / max(1, letters),
         (kinds[9] + kinds[11:15].sum()) / len(c) * 3,
@@ -81,7 +92,7 @@ def term_counts(text: str) -> np.ndarray | None:
 
 
 class Latent:
-    """Latent vectors of texts: inverse document frequencies and the leading directions of a labelled sample."""
+    """Latent vectors of texts: inverse document frequencies and the leading directions of a labelled sample, whose ``rows`` are overwritten."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS):
         self.prior = float(labels.mean()) if len(labels) else 0.5
@@ -90,8 +101,10 @@ class Latent:
             self.vectors = np.zeros((0, 1), np.float32)
             return
         self.idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
-        self.idf[CLASSES**ORDER :] = 1
-        x = self._unit(rows * self.idf)
+        self.idf[CLASSES**ORDER : FIRST_WORD] = 1
+        rows *= self.idf  # in place: the sample's largest array is held once
+        rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-30)[:, None]
+        x = rows
         self.directions = self._leading(x, min(dimensions, len(rows)))
         self.vectors = self._unit(x @ self.directions)
 
@@ -137,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "
                 values = [None if f is None else f[i] for f, i in zip(found, at)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["doc_id", "at", "value"])
 
-    rows = ids_and_texts(docs, id_col, text_col).where(F.col("doc_id").isin(list(chosen))).dropDuplicates(["doc_id"])
+    rows = ids_and_texts(docs, id_col, text_col).where(F.col("doc_id").isin(list(chosen))).groupBy("doc_id").agg(F.min("text").alias("text"))
     found = rows.mapInArrow(run, "doc_id long, at array<int>, value array<float>").where("at is not null").toPandas().sort_values("doc_id")
     dense = np.zeros((len(found), TERMS), dtype=np.float32)
     for k, (at, value) in enumerate(zip(found["at"], found["value"])):
@@ -168,13 +181,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
 def keep(docs: DataFrame, model: Latent, score: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text scores at least ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at_text = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                found = shared.value.scores([term_counts(t or "") for t in part.column(at_text).to_pylist()])
-                yield part.filter(pa.array(found >= score))
+    def judge() -> Callable[[list[str]], np.ndarray]:
+        return lambda texts: np.concatenate([shared.value.scores([term_counts(t) for t in texts[a : a + BLOCK]]) for a in range(0, len(texts), BLOCK)]) >= score
 
-    return docs.mapInArrow(run, docs.schema)
+    return where_text(docs, text_col, judge)
