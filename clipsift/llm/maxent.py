@@ -7,7 +7,7 @@ text is one too, and all other words share the outcome *rare*, within which a wo
 unseen word included, so that the probabilities of all texts sum to 1.
 
 Training is by rounds over disjoint parts of the training texts: every task starts from the shared weights, takes AdaGrad steps
-over its texts, and the weights are averaged by the tokens behind them. Counts are exact and cover all training texts. Words beyond
+over its texts, and the weights are averaged by the tokens behind them. Tasks are of about the same size whatever the input. Counts are exact and cover all training texts. Words beyond
 the vocabulary meet their counts in a join by word; only the bounded vocabulary and weights are broadcast.
 
 Defined results: a null text is empty and has the end token alone; without training texts the counts are zero and the model is
@@ -37,7 +37,10 @@ ROUNDS, STEP, WORD_STEP, RATE, WORD_RATE = 2, 4096, 1 << 16, 0.3, 0.2
 HELD_WORDS = 400_000
 #: Numbers in a row of weights on their way to be averaged.
 BLOCK = 4096
+#: Hashed n-grams of spelling (the leading eight bits of a product).
 SPELLING = 256
+#: Bytes of text that a task trains on, about: tasks grow in number and not in size, and each hands on one set of weights.
+TASK_BYTES = 32_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -49,12 +52,16 @@ def spelling_classes(words: list[bytes], counts: np.ndarray, k: int, rounds: int
     """Cluster words by their character n-grams: k-means on unit vectors, from evenly spread starts by frequency."""
     if not words:
         return np.zeros(0, dtype=np.int64)
-    x = np.zeros((len(words), SPELLING), dtype=np.float32)
-    for i, w in enumerate(words):
-        marked = b"^" + w[:40] + b"$"
-        for n in (2, 3):
-            for a in range(len(marked) - n + 1):
-                x[i, xxhash.xxh32_intdigest(marked[a : a + n], n) % SPELLING] += 1
+    marked = np.frombuffer(b"".join(b"^%b$" % w for w in words), dtype=np.uint8).astype(np.int64)
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2)
+    x = np.zeros(len(words) * SPELLING, dtype=np.float32)
+    code = marked
+    for n in (2, 3):
+        code = code[:-1] * 257 + marked[n - 1 :]
+        inside = owner[: len(code)] == owner[n - 1 :]
+        hashed = ((code * 0x9E3779B1 + n) & 0xFFFFFFFF) >> 24
+        x += np.bincount(owner[: len(code)][inside] * SPELLING + hashed[inside], minlength=len(x)).astype(np.float32)
+    x = x.reshape(len(words), SPELLING)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     centres = x[np.linspace(0, len(words) - 1, k).astype(int)]
     weight = np.sqrt(counts).astype(np.float32)[:, None]
@@ -198,21 +205,22 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The most frequent words, at most ``most``: all from the lowest count at which they fit.
+    """The ``most`` most frequent words, ties by word.
 
     Only numbers of words by count (by sixty-fourths of a doubling beyond 1024) and the words themselves reach the driver, however
-    many tasks hold the counts. Of words at one count all or none are taken.
+    many tasks hold the counts.
     """
     step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 1024).cast("long")
     sizes = sorted(((r["step"], r["w"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("w")).collect()), reverse=True)
-    least, held = None, 0
+    found, held = [], 0
     for at, words in sizes:
         if held + words > most:
+            found = counts.where(step > at).collect() + counts.where(step == at).orderBy(F.desc("n"), "word").limit(most - held).collect()
             break
-        least, held = at, held + words
-    if least is None:
-        return []
-    return sorted(((bytes(r["word"]), r["n"]) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+        held += words
+    else:
+        found = counts.collect()
+    return sorted(((bytes(r["word"]), r["n"]) for r in found), key=lambda x: (-x[1], x[0]))
 
 
 def start_model(words: list[bytes], counts: np.ndarray, ends: int, rare: int) -> Model:
@@ -225,8 +233,8 @@ def start_model(words: list[bytes], counts: np.ndarray, ends: int, rare: int) ->
     return Model({w: i for i, w in enumerate(words)}, classes, bias - bias.max(), np.zeros((ROWS, CLASSES), np.float32), own)
 
 
-def train_round(docs: DataFrame, model: Model) -> Model:
-    """One round over ``docs``: each task's weights, averaged by its tokens. Weights travel in rows of ``BLOCK`` numbers."""
+def train_round(docs: DataFrame, model: Model, tasks: int) -> Model:
+    """One round over ``docs``: the weights of each of at most ``tasks`` tasks, averaged by its tokens. Weights travel in rows of ``BLOCK`` numbers."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)
     sizes = [model.bias.size, model.rows.size, model.words.size]
@@ -258,7 +266,7 @@ def train_round(docs: DataFrame, model: Model) -> Model:
         if at is not None:
             yield out()
 
-    learned = docs.select("text").coalesce(2 * sc.defaultParallelism).mapInArrow(run, "block int, tokens long, weights binary")
+    learned = docs.select("text").coalesce(tasks).mapInArrow(run, "block int, tokens long, weights binary")
     merged = learned.repartition("block").sortWithinPartitions("block", "tokens", "weights").mapInArrow(average, "block int, weights binary")
     got = sorted((r["block"], r["weights"]) for r in merged.collect())  # the weights of one model, whatever the corpus
     shared.unpersist()
@@ -275,13 +283,13 @@ def score_documents(docs: DataFrame, learnable: Column, id_col: str = "doc_id",
     train = ids_and_texts(docs.where(learnable), id_col, text_col)
     counts = cut(count_words(train), "words")
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = train.count()
+    ends, size = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     top = frequent(counts, vocabulary)
     kept = sum(n for _, n in top)
     model = start_model([w for w, _ in top], np.array([n for _, n in top], dtype=np.float64), ends, n_words - kept)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
     for k in range(rounds):
-        model = train_round(train.where(part == k), model)
+        model = train_round(train.where(part == k), model, 1 + size // TASK_BYTES)
     total, types = n_words + ends, distinct + (ends > 0)
     log_base = math.log10(total + 0.5 * (types + 1))
     log_rare = math.log10(n_words - kept + 0.5 * (distinct - len(top) + 1))
