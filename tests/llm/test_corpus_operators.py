@@ -363,6 +363,101 @@ def test_warc_on_odd_pages(spark):
     assert [r.kind for r in bad] == ["invalid", "invalid"]
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for piece in ("<!--", "<a ", "<a href=", '<a href="', "<a '", "<script", "<title>", "</", "<a b=c ", "<x>" * 2, "=" * 4, "<a =", "&", "<script>x</scrip", "<a href='x\">"):
+        for tail in ("", ">", '">', "-->"):
+            page = piece * (1_000_000 // len(piece)) + tail
+            began = time.perf_counter()
+            warc.scan(page)
+            assert time.perf_counter() - began < 8, piece
+
+
+def test_pages_against_a_parser():
+    """Text and links as the standard library's parser gives them, on random well-formed pages."""
+    import random
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Shown(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.links, self.hidden = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in warc.BLOCKS:
+                self.out.append("\n")
+            self.hidden += tag in warc.HIDDEN
+            link = next(((k, v) for k, v in attrs if k in ("href", "src")), None)
+            if tag in warc.LINKED and link:
+                self.links.append((tag, link[0], urljoin("http://h/p/", link[1].strip())))
+
+        def handle_endtag(self, tag):
+            if tag in warc.BLOCKS:
+                self.out.append("\n")
+            self.hidden -= tag in warc.HIDDEN
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    rng = random.Random(3)
+
+    def node(depth):
+        kind = rng.random()
+        if depth > 4 or kind < 0.35:
+            return rng.choice(["plain words ", "a &amp; b ", "3 &lt; 4 ", "caf\u00e9\n", " x &#233; ", "don't ", ""])
+        inner = "".join(node(depth + 1) for _ in range(rng.randint(0, 4)))
+        if kind < 0.6:
+            tag = rng.choice(["p", "div", "li", "h2", "section", "td"])
+            return f"<{tag} class='a > b' data-x=1>{inner}</{tag}>"
+        if kind < 0.8:
+            return rng.choice([f'<a title="x>y" href="../c?d={depth}&amp;e=1">{inner}</a>', f"<b>{inner}</b>", f"<A HREF = 'http://o/z'>{inner}</A>", f"<span>{inner}</span>"])
+        return rng.choice(["<!-- hidden > <p>no</p> -->", "<script src=s.js>var x = '<p>';</script>", "<style>p > a {}</style>", "<br>", "<img src='i.png' alt='>'>", "<hr/>"])
+
+    for _ in range(300):
+        page = "".join(node(0) for _ in range(5))
+        text, _, links = warc.scan(page, "http://h/p/")
+        parser = Shown()
+        parser.feed(page)
+        parser.close()
+        lines = [" ".join(x.split()) for x in "".join(parser.out).split("\n")]
+        assert text == "\n".join(x for x in lines if x)
+        assert [(x["path"], x["url"]) for x in links] == [(f"{t.upper()}@/{a}", u) for t, a, u in parser.links]
+
+
+def test_coded_payloads():
+    import gzip
+    import json
+
+    page = "<title>Caf\u00e9</title><p>one</p>".encode()
+
+    def made(payload, *headers):
+        block = "\r\n".join(["HTTP/1.1 200 OK", "Content-Type: text/html", *headers, "", ""]).encode() + payload
+        return warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Date", "d"), ("WARC-Target-URI", "http://a/")], block)
+
+    packed = gzip.compress(page)
+    chunked = b"".join(b"%x;a=b\r\n%b\r\n" % (len(c), c) for c in (packed[:7], packed[7:])) + b"0\r\n\r\n"
+    cases = [(page, ()), (packed, ("Content-Encoding: gzip",)), (zlib.compress(page), ("Content-Encoding: deflate",)), (chunked, ("Transfer-Encoding: chunked", "Content-Encoding: gzip")), (page, ("Transfer-Encoding: chunked", "Content-Encoding: gzip")), (packed[:-6], ("Content-Encoding: gzip",))]
+    for payload, headers in cases:
+        (_, _, meta), (_, _, text) = warc.derivatives(made(payload, *headers))
+        assert text.decode() == "Caf\u00e9\none" and json.loads(meta)["title"] == "Caf\u00e9", headers
+
+
+def test_damaged_archives_give_invalid_rows(spark, tmp_path):
+    import gzip
+
+    good = [warc.response(f"http://a/{k}", f"<p>{k}" * 50, str(k), "2024-01-01T00:00:00Z") for k in range(4)]
+    (tmp_path / "a.warc").write_bytes(good[0] + b"junk\r\nmore junk\r\n" + good[1] + b"WARC/1.1\r\nWARC-Type: response\r\n\r\n" + good[2] + good[3][:-90])
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in good[:2]) + gzip.compress(good[2])[:-30])
+    rows = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    kinds = lambda end: [(r.kind, bytes(r.record)) if r.kind != "invalid" else ("invalid",) for r in sorted(rows, key=lambda r: r.position) if r.file.endswith(end)]
+    whole = [("response", r) for r in good]
+    assert kinds("a.warc") == [whole[0], ("invalid",), whole[1], ("invalid",), whole[2], ("invalid",)]
+    assert kinds("b.warc.gz") == [whole[0], whole[1], ("invalid",)]
+
+
 # --- language, quality
 
 
@@ -373,18 +468,41 @@ def test_languages(spark, sf, local):
 
 
 def test_kernel_weights_fold_exactly():
-    """Scores by folded weights are those of kernel rows times coefficients."""
+    """Scores are those of ridge regression on Nystr\u00f6m features, formed from kernel values between texts and landmarks alone."""
     grams = langid.Grams()
     texts = ["the cat and the dog", "le chat et le chien", "der hund und die katze", "the end of the day", "la fin de la rue", "das ende der welt"]
     sample = [(x, grams(t)) for x, t in zip(("en", "fr", "de") * 2, texts)]
     names, weights, cut = langid.fit(sample, landmarks=2)
-    for probe in ("the hund de", "katze", "Ça"):
+    assert names == ["de", "en", "fr"]
+    marks = [g for name in names for lang, g in sample if lang == name]
+    known = set(np.concatenate(marks).tolist())
+
+    def kernel(a, b):
+        return len(set(a.tolist()) & set(b.tolist()) & known) / math.sqrt(len(a) * len(b))
+
+    gram = np.array([[kernel(a, b) for b in marks] for a in marks])
+    root = np.linalg.inv(np.linalg.cholesky(gram)).T
+    features = np.array([[kernel(g, m) for m in marks] for _, g in sample]) @ root
+    target = np.array([[float(lang == n) for n in names] for lang, _ in sample])
+    centred = features - features.mean(axis=0)
+    solved = np.linalg.solve(centred.T @ centred + langid.RIDGE * len(sample) / len(marks) * np.eye(len(marks)), centred.T @ (target - target.mean(axis=0)))
+    for probe in ("the hund de", "katze", "\u00c7a va", "the dog"):
         g = grams(probe)
-        out = weights[g].sum(axis=0) / np.sqrt(len(g)) + cut
+        expected = (np.array([kernel(g, m) for m in marks]) @ root - features.mean(axis=0)) @ solved + target.mean(axis=0)
+        got = weights[g].sum(axis=0) / np.sqrt(len(g)) + cut
+        assert np.allclose(got, expected, atol=2e-3)
         best, share = langid.score([g], weights, cut)
-        assert best[0] == out.argmax() and 0 <= share[0] <= 1
-    a, b = set(sample[0][1]), set(sample[3][1])
-    assert len(a & b) / math.sqrt(len(a) * len(b)) == pytest.approx(float(len(np.intersect1d(sample[0][1], sample[3][1])) / math.sqrt(len(a) * len(b))))
+        positive = np.maximum(got, 0)
+        assert best[0] == expected.argmax() and share[0] == pytest.approx(positive.max() / positive.sum(), abs=1e-5)
+
+
+def test_languages_with_repeated_ids_and_dirty_labels(spark, docs, monkeypatch):
+    """One id with different rows gives one model whatever the order of rows; rare labels beyond the bound aren't learned."""
+    monkeypatch.setattr(langid, "LANGUAGES", 4)
+    dirty = docs.where("doc_id = 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("lang", F.concat(F.lit("dirty"), F.col("k").cast("string"))).drop("k")
+    more = docs.unionByName(docs.where("doc_id < 40").withColumns({"text": F.concat("text", F.lit(" zz")), "lang": F.lit("xx")})).unionByName(dirty)
+    models = [langid.learn(more.repartition(n), F.lit(True)) for n in (1, 7)]
+    assert models[0][0] == models[1][0] and len(models[0][0]) <= 4 and np.array_equal(models[0][1], models[1][1])
 
 
 def test_languages_on_odd_rows(odd, empty, docs):
@@ -517,6 +635,54 @@ def test_probabilities_sum_to_one():
         assert sum(p_class[k, c] * within[before[k], w] for w, c in enumerate(m.classes)) + p_class[k, [c for c in range(maxent.CLASSES) if c not in set(m.classes)]].sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_scores_are_sums_of_word_probabilities(spark, sf, monkeypatch):
+    """The query's scores, word by word from the model's weights: feature rows hashed one at a time, plain softmax, counts of rare words."""
+    made = []
+    monkeypatch.setattr(maxent, "VOCABULARY", 300)
+    train_round = maxent.train_round
+    monkeypatch.setattr(maxent, "train_round", lambda *a: made.append(train_round(*a)) or made[-1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 600")
+    got = maxent.score_documents(docs, fold(docs), vocabulary=300).toPandas().set_index("doc_id")
+    m, local = made[-1], docs.toPandas()
+    train = [t for t, i in zip(local.text, local.doc_id) if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for t in train for w in maxent.tokens(t))
+    rare = {w: c for w, c in counts.items() if w not in m.number}
+    rare_total = sum(rare.values()) + 0.5 * (len(rare) + 1)
+    first = len(m.number) + 2
+    row = lambda v, salt: (((v + salt) * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> (64 - int(math.log2(maxent.ROWS)))
+    assert len(m.number) == 300 and int(got.train_tokens.iloc[0]) == sum(counts.values()) + len(train)
+    for text, doc in list(zip(local.text, local.doc_id))[:25]:
+        total, one, two = 0.0, first, first
+        for w in [*maxent.tokens(text), None]:
+            k = m.end if w is None else m.number.get(w, m.rare)
+            z = m.bias.astype(np.float64) + m.rows[row(one, 1)] + m.rows[row(two, 1 << 20)] + m.rows[row(one * (first + 1) + two, 1 << 40)]
+            before = m.classes[m.end] if one == first else m.classes[one]
+            own = m.words[before].astype(np.float64)
+            within = own[m.classes == m.classes[k]]
+            total += z[m.classes[k]] - np.log(np.exp(z).sum()) + own[k] - np.log(np.exp(within).sum())
+            if k == m.rare:
+                total += math.log((rare.get(w, 0) + 0.5) / rare_total)
+            one, two = k, one
+        assert got.score[doc] == pytest.approx(total / math.log(10), rel=1e-4, abs=1e-3)
+
+
+def fold(docs):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1
+
+
+def test_vocabulary_is_filled_and_ties_go_by_word(spark):
+    counts = spark.createDataFrame([(f"w{k:03d}".encode(), 5 if k < 10 else 2) for k in range(100)], "word binary, n long")
+    assert [w for w, _ in maxent.frequent(counts, 25)] == [f"w{k:03d}".encode() for k in range(25)]
+    assert len(maxent.frequent(counts, 1000)) == 100 and maxent.frequent(counts, 0) == []
+
+
+def test_spelling_counts_every_pair_and_triple():
+    words = [b"a", b"banana", b"x" * 5000, "\u00e9t\u00e9".encode()]
+    classes = maxent.spelling_classes(words, np.ones(4), 4)
+    assert len(set(classes.tolist())) == 4
+    assert maxent.spelling_classes([], np.zeros(0), 3).tolist() == []
+
+
 def test_language_model_on_odd_rows(odd, empty, spark):
     got = maxent.score_folds(odd)
     assert got.count() == odd.count() and got.where("score is null or base_score is null or isnan(score) or score > 0").isEmpty()
