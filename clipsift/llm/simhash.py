@@ -33,21 +33,37 @@ SEED = 42
 PROBE_COST = 100.0
 #: Rows of one key that a task compares; keys with more are split into pairs of blocks.
 BLOCK = 4096
+#: Keys with more than one in so many rows are joined apart; fewer than this many can be.
+SHARE = 1000
 #: Bits of the widest value that is counted exactly: the counts of a block are at most 2 ** 16 numbers.
 COUNTED_BITS = 16
 
 
-def simhash(text: str | None, shingle: int = 3) -> int:
-    """Fingerprint of one text, as a signed 64-bit number; see ``simhash_table``."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text with A-Z lower-cased, separated by ASCII white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, repeats included; fewer words are one run, none give none."""
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(words) < shingle:
-        hashed = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype="<u8")
-        return int(hashed.view("<i8")[0])
-    n = len(words) - shingle + 1
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype="<u8")
     digests = map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[k:] for k in range(shingle)))), repeat(SEED))
-    hashed = np.fromiter(digests, dtype="<u8", count=n)
+    return np.fromiter(digests, dtype="<u8", count=len(words) - shingle + 1)
+
+
+def simhash(text: str | None, shingle: int = 3) -> int:
+    """Fingerprint of one text, as a signed 64-bit number; see ``simhash_table``."""
+    return fingerprint(shingle_hashes(words_of(text), shingle))
+
+
+def fingerprint(hashed: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    n = len(hashed)
+    if n == 1:
+        return int(hashed.view("<i8")[0])
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, 1 << 15):
         bits = np.unpackbits(hashed[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -374,32 +390,104 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def join_by_share(many: DataFrame, one: DataFrame, key: str, total: int, keep: bool = False) -> DataFrame:
+    """``many`` with the row of ``one`` that has its key; ``one`` holds in ``n`` how many rows of ``many`` have each key.
+
+    Keys with more than a thousandth of the ``total`` rows are broadcast, as fewer than a thousand can have so many; the others, none
+    of them large, meet in a shuffle.
+    """
+    hot = F.col("n") * SHARE > total
+    keys = F.broadcast(one.where(hot))
+    rest = many.join(keys.select(key), key, "left_anti").join(one.where(~hot), key)
+    met = many.join(keys, key).unionByName(rest)
+    return met if keep else met.drop("n")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): one row for each row of ``docs``; component_id is the smallest id reachable over links.
 
-    Fingerprints that differ in at most ``radius`` bits are linked. Null ids get null fingerprint groups' smallest id like any
-    other row; where a whole group has null ids, component_id is null.
+    Fingerprints that differ in at most ``radius`` bits are linked. A null id comes after all others: component_id is null only where
+    all rows of a group have null ids.
     """
     fps = cut(simhash_table(docs, id_col, text_col, shingle), "simhash")
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct")
+    rows, different = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     roots = components(hamming_links(distinct, radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"))
+    rooted = cut(rooted, "rooted")
+    least = cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    named = cut(join_by_share(rooted, least, "root", different).select("fp", F.col("rows").alias("n"), "component_id"), "named")
+    drop_cut(distinct, rooted, least)
+    return join_by_share(fps, named, "fp", rows).select("doc_id", "fp", "component_id")
+
+
+def _prints(rows: DataFrame, key: str, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(row, id, fp, digest): of each row its fingerprint and a digest of its words in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                words = [words_of(t) for t in part.column(1).to_pylist()]
+                fps = [fingerprint(shingle_hashes(w, shingle)) for w in words]
+                digests = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fps, pa.int64()), pa.array(digests, pa.binary())], names=["row", "id", "fp", "digest"])
+
+    return ids_and_texts(rows, key, text_col, F.col(f"`{id_col}`").cast("long").alias("id")).mapInArrow(run, "row long, id long, fp long, digest binary")
+
+
+def _shingle_sets(members: DataFrame, shingle: int) -> DataFrame:
+    """The rows of ``members`` (text, component, cells, cell, first) with the hashes of their distinct shingles in place of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = [np.unique(shingle_hashes(words_of(t), shingle)).view("<i8") for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.list_(pa.int64()))], names=["component", "cells", "cell", "first", "shingles"])
+
+    return members.mapInArrow(run, "component long, cells int, cell int, first struct<none:boolean,id:long,row:long>, shingles array<long>")
+
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
+    """The rows of ``docs`` without near copies of rows that stay, all columns as they are.
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One row of ``docs`` for each group, all columns as they are: the one with the smallest id (null after all others), of several such rows one.
+    Of rows with the same words in order, the one with the smallest id stays (null after all others; of several such rows one). Of
+    these, SimHash groups (``radius`` bits, transitively) propose near copies and exact shingle sets decide: the row with the smallest
+    id of a group stays, and those whose Jaccard similarity with it is ``similarity`` or more go; what is left of the group is judged
+    in the same way again. So a row goes only for one that stays, and an unlike row that falls into a group stays.
 
-    Rows are told apart by a key that is written with them, as ids may be null or repeated; only the keys of rows that go meet the texts.
+    Rows are told apart by a key that is written with them, as ids may be null or repeated.
     """
     key = "_row"
-    while key in docs.columns:
+    while key in {c.lower() for c in docs.columns}:
         key += "_"
     rows = cut(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
-    groups = cut(near_duplicate_groups(rows, key, text_col, shingle, radius), "groups").select(F.col("doc_id").alias(key), "component_id")
-    owners = rows.select(F.col(key), F.col(f"`{id_col}`").cast("long").alias("_id"))
-    first = groups.join(owners, key).groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", key)).alias("first"))
-    gone = groups.select(key).join(first.select(F.col("first")[key].alias(key)), key, "left_anti")
-    return rows.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    prints = cut(_prints(rows, key, id_col, text_col, shingle), "prints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    texts = cut(prints.groupBy("digest").agg(F.min(order).alias("first"), F.min("fp").alias("fp")).drop("digest"), "texts")
+    fps = cut(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    roots = components(hamming_links(fps, radius))
+    grouped = texts.join(roots, texts["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("component"), F.col("root").isNotNull().alias("linked"))
+    grouped = cut(grouped, "grouped")
+    # a component of more than one text: a linked fingerprint, or one that several texts share
+    sizes = cut(grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    members = join_by_share(grouped, sizes, "component", grouped.count(), keep=True).withColumn("cells", F.ceil(F.col("n") / BLOCK).cast("int"))
+    members = members.select(F.col("first")["row"].alias(key), "component", "cells", F.pmod(F.xxhash64(F.col("first")["row"]), F.col("cells")).cast("int").alias("cell"), "first")
+    texts_of = rows.select(key, F.col(f"`{text_col}`").cast("string").alias("text")).join(members, key).select("text", "component", "cells", "cell", "first")
+    left = cut(_shingle_sets(texts_of, shingle), "members")
+    drop_cut(prints, fps, sizes)
+    gone: list[DataFrame] = []
+    while not left.isEmpty():
+        # a group's lead is sent to each of its cells, which are of bounded size
+        leads = left.groupBy("component").agg(F.min_by(F.struct("first", "shingles"), "first").alias("lead"), F.max("cells").alias("cells"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        leads = cut(leads.select("component", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "lead"), "leads")
+        shared = F.size(F.array_intersect("shingles", F.col("lead")["shingles"]))
+        alike = shared >= similarity * (F.size("shingles") + F.size(F.col("lead")["shingles"]) - shared)
+        met = left.join(leads, ["component", "cell"]).where(F.col("first") != F.col("lead")["first"])
+        judged = cut(met.select("component", "cells", "cell", "first", "shingles", alike.alias("alike")), "judged")
+        gone.append(judged.where("alike").select(F.col("first")["row"].alias(key)))
+        drop_cut(left, leads)
+        left = judged.where("not alike").drop("alike")
+    stay = texts.select(F.col("first")["row"].alias(key))
+    for part in gone:
+        stay = stay.join(part, key, "left_anti")
+    return rows.join(stay, key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -100,6 +100,55 @@ def test_representatives_with_null_and_repeated_ids(spark):
     assert sorted((r._row, r.doc_id) for r in kept.collect()) == [("a", 1), ("b", None), ("c", None), ("d", 4), ("e", 5), ("f", 3)]
 
 
+def slow_representatives(docs, similarity, radius):
+    """Row numbers that stay, of (id, text) rows."""
+    order = lambda k: (docs[k][0] is None, docs[k][0] or 0, k)
+    words = [tuple((t or "").lower().split()) for _, t in docs]
+    owners = {}
+    for k in sorted(range(len(docs)), key=order):
+        owners.setdefault(words[k], k)
+    own = sorted(owners.values(), key=order)
+    shingles = {k: {words[k][a : a + 5] for a in range(max(1, len(words[k]) - 4))} for k in own}
+    fps = [simhash.simhash(docs[k][1], 5) & (2**64 - 1) for k in own]
+    groups = {}
+    for k, g in zip(own, slow_components(list(range(len(own))), fps, radius)):
+        groups.setdefault(g, []).append(k)
+    stay = []
+    for left in groups.values():
+        while left:
+            lead, *left = left
+            stay.append(lead)
+            left = [k for k in left if len(shingles[k] & shingles[lead]) < similarity * len(shingles[k] | shingles[lead])]
+    return sorted(stay)
+
+
+@pytest.mark.parametrize("radius", [3, 8, 14])
+def test_representatives_against_brute_force(spark, local, radius):
+    """Real texts, their near copies with single words changed, copies of these, null and repeated ids; at radius 14 groups hold unlike texts."""
+    rng = np.random.default_rng(radius)
+    rows = list(zip(local.doc_id.tolist(), local.text))[:150]
+    for doc, text in rows[:60]:
+        words = text.split(" ")
+        for changes in (1, 3, 8):
+            new = list(words)
+            for at in rng.integers(0, len(words), changes):
+                new[at] = f"changed{at}"
+            rows.append((None if changes == 3 else int(doc) + 5000 * (changes == 8), " ".join(new)))
+    rows = [(None if i is None else int(i), t, k) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place int").coalesce(1)
+    kept = sorted(r.place for r in simhash.representatives(docs, radius=radius).collect())
+    assert kept == slow_representatives([(i, t) for i, t, _ in rows], 0.8, radius)
+
+
+def test_a_hot_group_of_near_copies(spark, monkeypatch):
+    """Hundreds of near copies of one text, and as many exact ones: cells stay small, one row stays."""
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    base = [f"w{k * 7919 % 1000}" for k in range(300)]
+    rows = [(k, " ".join([*base[: k % 200], f"x{k}", *base[k % 200 + 1 :]])) for k in range(600)] + [(k, " ".join(base)) for k in range(1000, 1600)] + [(k, f"other text {k} of its own " * 3) for k in range(2000, 2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == [0, *range(2000, 2100)]
+
+
 @pytest.mark.parametrize("radius", [1, 3, 5])
 def test_links_lose_none_in_a_dense_ball(spark, radius, monkeypatch):
     """Thousands of fingerprints within a few bits of each other share every key: blocks are compared, links stay few."""

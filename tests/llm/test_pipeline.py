@@ -1,10 +1,12 @@
 """The corpus pipeline, stage by stage, against what its operators decide."""
 
 import corpus_pipeline
-from clipsift.llm import langid, quality, queries, simhash
+from clipsift.llm import langid, quality, queries
 from clipsift.llm._common import fold_of
 from pyspark.sql import functions as F
 
+from test_corpus_operators import slow_representatives
+
 
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -20,7 +22,9 @@ def test_stages(spark, sf):
             labels = spark.read.parquet(f"{sf}/labels.parquet")
             keeps = {r.doc_id for r in quality.predict(docs, quality.learn(docs, labels, learnable)).where(f"score >= {corpus_pipeline.QUALITY_SCORE}").collect()}
         else:
-            keeps = {r.component_id for r in simhash.near_duplicate_groups(docs).collect()}
+            rows = sorted((r.doc_id, r.text) for r in docs.collect())
+            keeps = [rows[k][0] for k in slow_representatives(rows, 0.8, 8)]
+            assert len(keeps) < len(rows)
         assert sorted(r.doc_id for r in out.collect()) == sorted(keeps)
         docs = out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
