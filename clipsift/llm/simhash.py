@@ -35,6 +35,8 @@ PROBE_COST = 100.0
 BLOCK = 4096
 #: Keys with more than one in so many rows are joined apart; fewer than this many can be.
 SHARE = 1000
+#: Rows and shingles of a cell in which near copies are compared.
+CELL, CELL_SHINGLES = 2048, 2_000_000
 #: Bits of the widest value that is counted exactly: the counts of a block are at most 2 ** 16 numbers.
 COUNTED_BITS = 16
 
@@ -422,38 +424,91 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _prints(rows: DataFrame, key: str, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(row, id, fp, digest): of each row its fingerprint and a digest of its words in order."""
+    """(row, id, fp, digest, size): of each row its fingerprint, a digest of its words in order, and the number of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                words = [words_of(t) for t in part.column(1).to_pylist()]
-                fps = [fingerprint(shingle_hashes(w, shingle)) for w in words]
-                digests = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fps, pa.int64()), pa.array(digests, pa.binary())], names=["row", "id", "fp", "digest"])
-
-    return ids_and_texts(rows, key, text_col, F.col(f"`{id_col}`").cast("long").alias("id")).mapInArrow(run, "row long, id long, fp long, digest binary")
-
-
-def _shingle_sets(members: DataFrame, shingle: int) -> DataFrame:
-    """The rows of ``members`` (text, component, cells, cell, first) with the hashes of their distinct shingles in place of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                found = []
+                for t in part.column(1).to_pylist():
+                    words = words_of(t)
+                    hashed = shingle_hashes(words, shingle)
+                    found.append((fingerprint(hashed), xxhash.xxh3_128_digest(b" ".join(words)), len(hashed)))
+                fps, digests, sizes = zip(*found)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fps, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], names=["row", "id", "fp", "digest", "size"])
+
+    return ids_and_texts(rows, key, text_col, F.col(f"`{id_col}`").cast("long").alias("id")).mapInArrow(run, "row long, id long, fp long, digest binary, size long")
+
+
+def alike_to_earlier(fp: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> np.ndarray:
+    """Which rows have an earlier one within ``radius`` bits whose Jaccard similarity is ``similarity`` or more."""
+    n, word = len(fp), fp.view(np.uint64)
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=n)
+    ends = np.cumsum(size)
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else size
+    own = [number[e - k : e] for e, k in zip(ends.tolist(), size.tolist())]
+    mark, gone = np.zeros(int(number.max(initial=-1)) + 1, dtype=bool), np.zeros(n, dtype=bool)
+    for a in range(n - 1):
+        near = (np.bitwise_count(word[a + 1 :] ^ word[a]) <= radius) & ~gone[a + 1 :] & (np.minimum(size[a + 1 :], size[a]) >= similarity * np.maximum(size[a + 1 :], size[a]))
+        if near.any():
+            mark[own[a]] = True
+            for b in (np.flatnonzero(near) + a + 1).tolist():
+                shared = int(mark[own[b]].sum())
+                gone[b] = shared >= similarity * (size[a] + size[b] - shared)
+            mark[own[a]] = False
+    return gone
+
+
+def _alike_rows(members: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """(row): of ``members`` (text, component, cell, first, fp) those alike to an earlier one of their component and cell."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = [np.unique(shingle_hashes(words_of(t), shingle)).view("<i8") for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.list_(pa.int64()))], names=["component", "cells", "cell", "first", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.list_(pa.int64()))], names=["component", "cells", "cell", "first", "fp", "shingles"])
 
-    return members.mapInArrow(run, "component long, cells int, cell int, first struct<none:boolean,id:long,row:long>, shingles array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def judged() -> list[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            lists = table.column("shingles").combine_chunks()
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            sets = [flat[a:b] for a, b in zip(at - at[0], at[1:] - at[0])]
+            gone = alike_to_earlier(table.column("fp").to_numpy(), sets, similarity, radius)
+            return table.select(["row"]).filter(pa.array(gone)).to_batches()
+
+        keys = None
+        for batch in batches:
+            while batch.num_rows:
+                component, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("component", "pair"))
+                other = np.flatnonzero((component != component[0]) | (cell != cell[0]))
+                end = int(other[0]) if len(other) else batch.num_rows
+                if keys not in (None, (component[0], cell[0])):
+                    yield from judged()
+                    held = []
+                keys = (component[0], cell[0])
+                held.append(batch.slice(0, end))
+                batch = batch.slice(end)
+        if held:
+            yield from judged()
+
+    sets = members.mapInArrow(hashed, "component long, cells int, cell int, first struct<none:boolean,id:long,row:long>, fp long, shingles array<long>")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.least("cell", o) * F.col("cells") + F.greatest("cell", o))
+    dealt = sets.select("component", F.explode(pairs).alias("pair"), "first", F.col("first")["row"].alias("row"), "fp", "shingles")
+    return dealt.repartition("component", "pair").sortWithinPartitions("component", "pair", "first").mapInArrow(run, "row long")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
     """The rows of ``docs`` without near copies of rows that stay, all columns as they are.
 
     Of rows with the same words in order, the one with the smallest id stays (null after all others; of several such rows one). Of
-    these, SimHash groups (``radius`` bits, transitively) propose near copies and exact shingle sets decide: the row with the smallest
-    id of a group stays, and those whose Jaccard similarity with it is ``similarity`` or more go; what is left of the group is judged
-    in the same way again. So a row goes only for one that stays, and an unlike row that falls into a group stays.
+    these, a row goes where one with a smaller id is within ``radius`` bits of its SimHash and has a Jaccard similarity of exact
+    shingle sets of ``similarity`` or more: each group of near copies keeps its row with the smallest id, and unlike rows stay.
+
+    Fingerprint groups bring together what is compared. A group is dealt by hash into cells of at most about ``CELL`` rows and
+    ``CELL_SHINGLES`` shingles, and each pair of cells is compared in one task.
 
     Rows are told apart by a key that is written with them, as ids may be null or repeated.
     """
@@ -463,31 +518,16 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
     prints = cut(_prints(rows, key, id_col, text_col, shingle), "prints")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    texts = cut(prints.groupBy("digest").agg(F.min(order).alias("first"), F.min("fp").alias("fp")).drop("digest"), "texts")
+    texts = cut(prints.groupBy("digest").agg(F.min(order).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size")).drop("digest"), "texts")
     fps = cut(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(hamming_links(fps, radius))
-    grouped = texts.join(roots, texts["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("component"), F.col("root").isNotNull().alias("linked"))
-    grouped = cut(grouped, "grouped")
-    # a component of more than one text: a linked fingerprint, or one that several texts share
-    sizes = cut(grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    members = join_by_share(grouped, sizes, "component", grouped.count(), keep=True).withColumn("cells", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.select(F.col("first")["row"].alias(key), "component", "cells", F.pmod(F.xxhash64(F.col("first")["row"]), F.col("cells")).cast("int").alias("cell"), "first")
-    texts_of = rows.select(key, F.col(f"`{text_col}`").cast("string").alias("text")).join(members, key).select("text", "component", "cells", "cell", "first")
-    left = cut(_shingle_sets(texts_of, shingle), "members")
-    drop_cut(prints, fps, sizes)
-    gone: list[DataFrame] = []
-    while not left.isEmpty():
-        # a group's lead is sent to each of its cells, which are of bounded size
-        leads = left.groupBy("component").agg(F.min_by(F.struct("first", "shingles"), "first").alias("lead"), F.max("cells").alias("cells"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        leads = cut(leads.select("component", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "lead"), "leads")
-        shared = F.size(F.array_intersect("shingles", F.col("lead")["shingles"]))
-        alike = shared >= similarity * (F.size("shingles") + F.size(F.col("lead")["shingles"]) - shared)
-        met = left.join(leads, ["component", "cell"]).where(F.col("first") != F.col("lead")["first"])
-        judged = cut(met.select("component", "cells", "cell", "first", "shingles", alike.alias("alike")), "judged")
-        gone.append(judged.where("alike").select(F.col("first")["row"].alias(key)))
-        drop_cut(left, leads)
-        left = judged.where("not alike").drop("alike")
-    stay = texts.select(F.col("first")["row"].alias(key))
-    for part in gone:
-        stay = stay.join(part, key, "left_anti")
+    grouped = cut(texts.join(roots, texts["fp"] == roots["node"], "left").select("first", "fp", "size", F.coalesce("root", "fp").alias("component")), "grouped")
+    sizes = cut(grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1"), "sizes")
+    cells = F.ceil(F.greatest(F.col("n") / CELL, F.col("total") / CELL_SHINGLES)).cast("int")
+    members = join_by_share(grouped, sizes, "component", grouped.count(), keep=True).withColumn("cells", cells)
+    members = members.select(F.col("first")["row"].alias(key), "component", "cells", F.pmod(F.xxhash64(F.col("first")["row"]), F.col("cells")).cast("int").alias("cell"), "first", "fp")
+    texts_of = rows.select(key, F.col(f"`{text_col}`").cast("string").alias("text")).join(members, key).select("text", "component", "cells", "cell", "first", "fp")
+    gone = cut(_alike_rows(texts_of, shingle, similarity, radius).distinct(), "gone")
+    drop_cut(prints, fps, grouped, sizes)
+    stay = texts.select(F.col("first")["row"].alias(key)).join(gone.withColumnRenamed("row", key), key, "left_anti")
     return rows.join(stay, key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

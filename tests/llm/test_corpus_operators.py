@@ -110,16 +110,8 @@ def slow_representatives(docs, similarity, radius):
     own = sorted(owners.values(), key=order)
     shingles = {k: {words[k][a : a + 5] for a in range(max(1, len(words[k]) - 4))} for k in own}
     fps = [simhash.simhash(docs[k][1], 5) & (2**64 - 1) for k in own]
-    groups = {}
-    for k, g in zip(own, slow_components(list(range(len(own))), fps, radius)):
-        groups.setdefault(g, []).append(k)
-    stay = []
-    for left in groups.values():
-        while left:
-            lead, *left = left
-            stay.append(lead)
-            left = [k for k in left if len(shingles[k] & shingles[lead]) < similarity * len(shingles[k] | shingles[lead])]
-    return sorted(stay)
+    alike = lambda a, b: len(shingles[own[a]] & shingles[own[b]]) >= similarity * len(shingles[own[a]] | shingles[own[b]])
+    return sorted(own[b] for b in range(len(own)) if not any((fps[a] ^ fps[b]).bit_count() <= radius and alike(a, b) for a in range(b)))
 
 
 @pytest.mark.parametrize("radius", [3, 8, 14])
@@ -142,7 +134,7 @@ def test_representatives_against_brute_force(spark, local, radius):
 
 def test_a_hot_group_of_near_copies(spark, monkeypatch):
     """Hundreds of near copies of one text, and as many exact ones: cells stay small, one row stays."""
-    monkeypatch.setattr(simhash, "BLOCK", 50)
+    monkeypatch.setattr(simhash, "CELL", 50)
     base = [f"w{k * 7919 % 1000}" for k in range(300)]
     rows = [(k, " ".join([*base[: k % 200], f"x{k}", *base[k % 200 + 1 :]])) for k in range(600)] + [(k, " ".join(base)) for k in range(1000, 1600)] + [(k, f"other text {k} of its own " * 3) for k in range(2000, 2100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
