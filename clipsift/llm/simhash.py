@@ -31,6 +31,8 @@ BITS = 64
 SEED = 42
 #: Cost of a shuffled probe row, in candidate comparisons.
 PROBE_COST = 100.0
+#: Fingerprints for which the bits are dealt, at least.
+LEAST = 1 << 20
 #: Rows of one key that a task compares; keys with more are split into pairs of blocks.
 BLOCK = 4096
 #: Keys with more than one in so many rows are joined apart; fewer than this many can be.
@@ -136,7 +138,8 @@ def correlated_groups(n: int, both: np.ndarray, m: int) -> list[list[int]]:
 
 
 def number_of_groups(n: int, radius: int) -> int:
-    """The m with the least cost for n evenly spread fingerprints."""
+    """The m with the least cost for n evenly spread fingerprints, ``LEAST`` at least: smaller inputs give as many probes a row as that many."""
+    n = max(n, LEAST)
 
     def cost(m: int) -> float:
         w, total, rows, candidates = BITS / m, radius - m + 1, 0.0, 0.0
