@@ -62,18 +62,18 @@ def unit_options(units: DataFrame) -> DataFrame:
 
 
 def refine(options: DataFrame, cases: DataFrame, radius: float, shortest: float, longest: float) -> DataFrame:
-    """(video, refined_start, refined_end, score) of each case (video, s, e): the best pair of options near its boundaries.
+    """(video, s, e, refined_start, refined_end, score) of each case (video, s, e): the best pair of options near its boundaries.
 
     Both sides are cut to the radius before they meet, so a case compares a handful of starts with a handful of ends.
     """
     near = options.join(cases, "video")
     away = lambda x, y: F.least(F.abs(x - y) / radius, F.lit(1.0))
     starts = near.where(F.abs(F.col("start") - F.col("s")) <= radius).select("video", "s", "e", F.col("start").alias("rs"), (F.col("start_score") - 0.55 * away(F.col("start"), F.col("s"))).alias("ss"))
-    ends = near.where(F.abs(F.col("end") - F.col("e")) <= radius).select("video", F.col("end").alias("re"), (F.col("end_score") - 0.55 * away(F.col("end"), F.col("e"))).alias("es"))
+    ends = near.where(F.abs(F.col("end") - F.col("e")) <= radius).select("video", "s", "e", F.col("end").alias("re"), (F.col("end_score") - 0.55 * away(F.col("end"), F.col("e"))).alias("es"))
     long, own = F.col("re") - F.col("rs"), F.col("e") - F.col("s")
     shared = F.greatest(F.lit(0.0), F.least("re", "e") - F.greatest("rs", "s"))
-    met = starts.join(ends, "video").where(long.between(shortest, longest) & (shared >= F.least(F.lit(5.0), own * 0.25)))
+    met = starts.join(ends, ["video", "s", "e"]).where(long.between(shortest, longest) & (shared >= F.least(F.lit(5.0), own * 0.25)))
     score = F.round(F.col("ss") + F.col("es") - 0.35 * F.abs(long - own) / F.greatest(own, F.lit(1.0)), 9)
     moved = F.round(F.abs(F.col("rs") - F.col("s")) + F.abs(F.col("re") - F.col("e")), 9)
-    best = met.groupBy("video").agg(F.max_by(F.struct("rs", "re"), F.struct(score, -moved, -F.col("rs"), -F.col("re"))).alias("b"), F.max(score).alias("score"))
-    return best.select("video", F.col("b.rs").alias("refined_start"), F.col("b.re").alias("refined_end"), "score")
+    best = met.groupBy("video", "s", "e").agg(F.max_by(F.struct("rs", "re"), F.struct(score, -moved, -F.col("rs"), -F.col("re"))).alias("b"), F.max(score).alias("score"))
+    return best.select("video", "s", "e", F.col("b.rs").alias("refined_start"), F.col("b.re").alias("refined_end"), "score")

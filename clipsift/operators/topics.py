@@ -16,11 +16,14 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
-def topics(docs: DataFrame, group: str, key: str, text: str, pool: int, limit: int) -> DataFrame:
+def topics(docs: DataFrame, group: str, key: str, text: str, limit: int) -> DataFrame:
     """(key, term, score, rank): a text's best terms by TF-IDF among its group's texts, none made of words already used.
 
-    The pool of best terms of each text is cut before the greedy choice, which folds an array of at most ``pool`` terms.
+    Before the last choice at most ``limit - 1`` terms of two words are taken, so no more than the terms made of these words can be
+    passed over: the best terms of each text up to that number decide, and the greedy choice folds an array of no more.
     """
+    used = 2 * (limit - 1)
+    pool = used * (used + 1) + limit
     terms = docs.withColumn("_w", topic_words(F.col(text))).select(group, key, F.explode(with_next(F.col("_w"))).alias("term"))
     tf = terms.groupBy(group, key, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))

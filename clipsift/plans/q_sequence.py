@@ -46,11 +46,10 @@ def win08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.word_rows(spark, sf_dir).select("video", "pos", gap(F.col("start") - F.lag("end").over(w)).alias("gap_before"), gap(F.lead("start").over(w) - F.col("end")).alias("gap_after"))
 
 
-@query("win09_context_window", "SELECT video, pos, string_agg(word, ' ') OVER (PARTITION BY video ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING) AS context FROM {word_rows} WHERE video % 10 = 0 OR pos < 40")
+@query("win09_context_window", "SELECT video, pos, string_agg(word, ' ') OVER (PARTITION BY video ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING) AS context FROM {word_rows}")
 def win09(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("video").orderBy("pos").rowsBetween(-5, 6)
-    rows = b.word_rows(spark, sf_dir).where("video % 10 = 0 or pos < 40")
-    return rows.select("video", "pos", F.array_join(F.collect_list("word").over(w), " ").alias("context"))
+    return b.word_rows(spark, sf_dir).select("video", "pos", F.array_join(F.collect_list("word").over(w), " ").alias("context"))
 
 
 @query("win12_silence_runs", """SELECT creator, count(*) AS runs, max(n) AS longest FROM (SELECT creator, k, count(*) AS n FROM (SELECT creator, quiet, event_id, row_number() OVER (PARTITION BY creator ORDER BY event_id) - row_number() OVER (PARTITION BY creator, quiet ORDER BY event_id) AS k FROM (SELECT *, value < 20 AS quiet FROM {feedback})) WHERE quiet GROUP BY 1, 2) GROUP BY 1""")

@@ -139,13 +139,13 @@ def str11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "orders").select(raw.alias("raw")).distinct().withColumn("seconds", six(parsed_seconds(F.col("raw"))))
 
 
-@query("str12_compact_count", r"""SELECT raw, round(regexp_extract(raw, '^([0-9.]+)', 1)::DOUBLE * CASE right(raw, 1) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 ELSE 1 END)::BIGINT AS n FROM (SELECT DISTINCT (o_custkey % 1000) / 4e0 || CASE o_custkey % 3 WHEN 0 THEN 'K' WHEN 1 THEN 'M' ELSE '' END AS raw FROM orders WHERE o_custkey % 4 = 0)""")
+@query("str12_compact_count", r"""SELECT raw, round(regexp_extract(raw, '^([0-9.]+)', 1)::DOUBLE * CASE right(raw, 1) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 ELSE 1 END)::BIGINT AS n FROM (SELECT DISTINCT (o_custkey % 1000) / 4e0 || CASE o_custkey % 3 WHEN 0 THEN 'K' WHEN 1 THEN 'M' ELSE '' END AS raw FROM orders)""")
 def str12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clipsift.sources.analytics import compact_count
 
     c = F.col("o_custkey")
     raw = F.concat((c % 1000) / 4.0, F.when(c % 3 == 0, "K").when(c % 3 == 1, "M").otherwise(""))
-    return b.table(spark, sf_dir, "orders").where("o_custkey % 4 = 0").select(raw.alias("raw")).distinct().withColumn("n", compact_count(F.col("raw")))
+    return b.table(spark, sf_dir, "orders").select(raw.alias("raw")).distinct().withColumn("n", compact_count(F.col("raw")))
 
 
 @query("str21_suffix", r"""SELECT suffix, count(*) AS n FROM (SELECT coalesce(nullif(lower(regexp_extract(split_part(url, '?', 1), '\.([A-Za-z0-9]{1,5})$', 1)), ''), 'no_extension') AS suffix FROM pages) GROUP BY 1""")
@@ -162,14 +162,14 @@ TOPICS = f"""WITH t AS (SELECT doc_id, source, {TOPIC_TOKENS} AS w FROM {{candid
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(term) DESC, term) AS i FROM s)"""
 
 
-@query("seq11_tfidf_topics", TOPICS.replace("WITH t AS", "WITH RECURSIVE t AS") + """, top AS (SELECT * FROM r WHERE i <= 40),
+@query("seq11_tfidf_topics", TOPICS.replace("WITH t AS", "WITH RECURSIVE t AS") + """, top AS (SELECT * FROM r WHERE i <= 116),
   walk AS (SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS used, []::STRUCT(term VARCHAR, score DOUBLE)[] AS taken FROM (SELECT DISTINCT doc_id FROM top)
     UNION ALL SELECT w.doc_id, t.i, CASE WHEN len(taken) < 6 AND NOT list_has_all(used, string_split(t.term, ' ')) THEN list_concat(used, string_split(t.term, ' ')) ELSE used END,
       CASE WHEN len(taken) < 6 AND NOT list_has_all(used, string_split(t.term, ' ')) THEN list_append(taken, {'term': t.term, 'score': t.score}) ELSE taken END FROM walk w JOIN top t ON t.doc_id = w.doc_id AND t.i = w.i + 1),
   fin AS (SELECT doc_id, arg_max(taken, i) AS taken FROM walk GROUP BY 1)
   SELECT doc_id, x.term AS term, round(x.score, 6) AS score, k::INT AS rank FROM (SELECT doc_id, unnest(taken) AS x, unnest(range(1, len(taken) + 1)) AS k FROM fin)""")
 def seq11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.topics(b.candidates(spark, sf_dir), group="source", key="doc_id", text="text", pool=40, limit=6)
+    return topics.topics(b.candidates(spark, sf_dir), group="source", key="doc_id", text="text", limit=6)
 
 
 @query("agg40_term_trends", f"""WITH t AS (SELECT doc_id, source, list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''-]{{2,}}'), lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in T.TREND_STOPWORDS)}], x)) AS w FROM {{candidates}}),

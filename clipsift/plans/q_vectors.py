@@ -28,10 +28,10 @@ def vec05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.vectors(spark, sf_dir).groupBy("grp").agg((F.count_distinct(F.size("v")) == 1).alias("consistent"), F.max(F.size("v")).cast("long").alias("dimension"))
 
 
-@query("vec03_kernel_outcome", "SELECT a.vec_id, round(greatest(-0.15e0, least(0.15e0, 0.15e0 * count(*) / (count(*) + 12e0) * sum(exp((list_dot_product(a.v, e.v) - 1e0) / 0.12e0) * e.outcome) / sum(exp((list_dot_product(a.v, e.v) - 1e0) / 0.12e0)))), 5) AS adjustment FROM {vectors} a JOIN {vectors} e ON a.grp = e.grp AND e.vec_id % 5 = 0 GROUP BY 1")
+@query("vec03_kernel_outcome", "SELECT a.vec_id, round(greatest(-0.15e0, least(0.15e0, 0.15e0 * count(*) / (count(*) + 12e0) * sum(exp((list_dot_product(a.v, e.v) - 1e0) / 0.12e0) * e.outcome) / sum(exp((list_dot_product(a.v, e.v) - 1e0) / 0.12e0)))), 5) AS adjustment FROM {vectors} a JOIN {vectors} e ON a.grp = e.grp GROUP BY 1")
 def vec03(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = b.vectors(spark, sf_dir)
-    found = vectors.kernel_outcome(v, v.where("vec_id % 5 = 0"), "vec_id", "v", "outcome", "grp")
+    found = vectors.kernel_outcome(v, v, "vec_id", "v", "outcome", "grp")
     return found.select("vec_id", F.round("adjustment", 5).alias("adjustment"))
 
 
@@ -90,9 +90,8 @@ def jon05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.vectors(spark, sf_dir).join(d, "vec_id").select("vec_id", "source", six(F.get("v", F.lit(0))).alias("x"))
 
 
-@query("jon31_similar_examples", "SELECT a.vec_id, max(round(list_dot_product(a.v, e.v), 5)) AS best, count(*) AS n FROM {vectors} a JOIN {vectors} e ON a.grp = e.grp AND e.vec_id % 5 = 0 AND a.vec_id <> e.vec_id GROUP BY 1")
+@query("jon31_similar_examples", "SELECT a.vec_id, max(round(list_dot_product(a.v, e.v), 5)) AS best, count(*) AS n FROM {vectors} a JOIN {vectors} e ON a.grp = e.grp AND a.vec_id <> e.vec_id GROUP BY 1")
 def jon31(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = b.vectors(spark, sf_dir)
-    e = v.where("vec_id % 5 = 0").select("grp", F.col("vec_id").alias("other"), F.col("v").alias("w"))
-    met = v.join(e, "grp").where("vec_id <> other")
-    return met.groupBy("vec_id").agg(F.max(F.round(vectors.dot(F.col("v"), F.col("w")), 5)).alias("best"), F.count(F.lit(1)).alias("n"))
+    found = vectors.similar_examples(v, v, "vec_id", "v", "grp")
+    return found.select("vec_id", F.round("best", 5).alias("best"), "n")

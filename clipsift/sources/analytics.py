@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of a source: bytes of a file, files of an archive, bytes that an archive expands to.
-FILE_BYTES, ARCHIVE_FILES, ARCHIVE_BYTES = 10_000_000, 30, 50_000_000
+FILE_BYTES, ARCHIVE_FILES, ARCHIVE_BYTES = 20_000_000, 30, 50_000_000
 
 
 def normalized_header(raw: Column) -> Column:
@@ -130,33 +130,66 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
                     rows = [(file, None, None, None, str(e))]
                 yield pd.DataFrame(rows, columns=names).astype({"row": "Int64"})
 
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= FILE_BYTES).select("path", "content")
-    return files.mapInPandas(run, "file string, table string, row long, header string, value string")
+    files = spark.read.format("binaryFile").load(path)
+    rows = files.where(F.col("length") <= FILE_BYTES).select("path", "content").mapInPandas(run, "file string, table string, row long, header string, value string")
+    none = lambda kind: F.lit(None).cast(kind)
+    too_large = files.where(F.col("length") > FILE_BYTES).select(F.col("path").alias("file"), none("string").alias("table"), none("long").alias("row"), none("string").alias("header"), F.format_string("the file has %d bytes, more than %d", "length", F.lit(FILE_BYTES)).alias("value"))
+    return rows.unionByName(too_large)
 
 
-#: What exports call the fields that results are made of (a normalised header is looked up here).
+#: What exports call each field (a normalised header is looked up here).
 ALIASES: dict[str, tuple[str, ...]] = {
     "date": ("date", "day"),
+    "content": ("content", "video", "video title", "post", "post caption", "caption", "description", "reel"),
     "video_id": ("video id", "post id", "media id", "reel id", "item id"),
+    "channel_id": ("channel id",),
+    "creator_content_type": ("creator content type", "content type"),
+    "subscribed_status": ("subscribed status",),
+    "country_code": ("country code", "country"),
     "traffic_source_type": ("traffic source type",),
+    "traffic_source_detail": ("traffic source detail",),
     "device_type": ("device type",),
     "operating_system": ("operating system",),
+    "playback_location_type": ("playback location type",),
     "age_group": ("age group",),
     "gender": ("gender",),
-    "views": ("views", "video views", "post views", "reel views", "reels views"),
+    "sharing_service": ("sharing service",),
+    "subtitle_language": ("subtitle language",),
+    "views": ("views", "video views", "post views", "reel views", "reels views", "plays", "video play count", "initial plays", "initial views"),
+    "engaged_views": ("engaged views",),
+    "watch_time_hours": ("watch time hours",),
+    "watch_time_minutes": ("watch time minutes", "estimated minutes watched"),
+    "watch_time_seconds": ("watch time", "watch time seconds", "total watch time", "total play time", "total watch duration", "video view total time", "ig reels video view total time"),
+    "average_view_duration_seconds": ("average view duration", "average view duration seconds", "average watch time", "average watch time seconds", "avg watch time", "ig reels avg watch time"),
+    "average_view_percentage": ("average percentage viewed percentage", "average percentage viewed", "average view percentage", "average view duration percentage"),
     "likes": ("likes",),
+    "dislikes": ("dislikes",),
     "comments": ("comments",),
     "shares": ("shares",),
-    "watch_time_hours": ("watch time hours",),
+    "saves": ("saves", "saved"),
+    "reach": ("reach", "accounts reached", "unique viewers", "reached audience"),
+    "follows": ("follows", "new follows", "new followers", "followers gained"),
+    "profile_visits": ("profile visits", "profile views"),
+    "replays": ("replays", "replay count", "clips replays count", "aggregated all plays count"),
+    "total_interactions": ("total interactions", "interactions", "engagement"),
+    "completion_rate_percentage": ("watched full video percentage", "watched full video", "full video watched percentage", "completion rate percentage", "completion rate", "completed video percentage"),
+    "subscribers": ("subscribers",),
+    "subscribers_gained": ("subscribers gained",),
+    "subscribers_lost": ("subscribers lost",),
+    "shown_in_feed": ("shown in feed", "shorts shown in feed"),
+    "chose_to_view_percentage": ("how many chose to view percentage", "chose to view percentage", "stayed to watch percentage", "stayed to watch"),
+    "thumbnail_impressions": ("thumbnail impressions", "impressions", "video thumbnail impressions"),
+    "thumbnail_ctr": ("thumbnail click through rate percentage", "impressions click through rate percentage", "click through rate percentage", "video thumbnail impressions ctr"),
+    "elapsed_video_time_ratio": ("elapsed video time ratio", "elapsed video time percentage"),
+    "audience_watch_ratio": ("audience watch ratio", "audience watch ratio percentage"),
+    "relative_retention_performance": ("relative retention performance", "relative retention performance percentage"),
 }
 
 
 def canonical_field(header: Column) -> Column:
     """The field that a normalised header names; null for an unknown one."""
-    out = F.lit(None).cast("string")
-    for name, aliases in ALIASES.items():
-        out = F.when(header.isin(list(aliases)), F.lit(name)).otherwise(out)
-    return out
+    names = F.create_map(*[F.lit(x) for field, aliases in ALIASES.items() for alias in aliases for x in (alias, field)])
+    return F.try_element_at(names, header)
 
 
 def report_type(fields: Column) -> Column:

@@ -30,14 +30,25 @@ def read_artifact(spark: SparkSession, path: str, record: str, tag: str) -> Data
 
 
 def write_whole(df: DataFrame, path: str, form: str = "json") -> None:
-    """Replace ``path`` by the rows: written beside it first, then moved, so that readers see the old rows or the new."""
+    """Replace ``path`` by the rows: written beside it first, then the old ones moved aside and the new ones to their place.
+
+    Between the two moves there is no ``path``; after a failure there the old rows lie beside it under ``.old`` and are put back.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     own, to = f"{path.rstrip('/')}.{uuid.uuid4().hex}", jvm.org.apache.hadoop.fs.Path(path)
     df.write.format(form).save(own)
     store = to.getFileSystem(conf)
-    store.delete(to, True)
-    store.rename(jvm.org.apache.hadoop.fs.Path(own), to)
+    new, aside = jvm.org.apache.hadoop.fs.Path(own), jvm.org.apache.hadoop.fs.Path(f"{own}.old")
+    held = store.exists(to)
+    if held and not store.rename(to, aside):
+        raise OSError(f"{path} can't be moved aside")
+    if not store.rename(new, to):
+        if held:
+            store.rename(aside, to)
+        raise OSError(f"{own} can't be moved to {path}")
+    if held:
+        store.delete(aside, True)
 
 
 def export_manifest(df: DataFrame, order: str) -> DataFrame:
