@@ -39,9 +39,11 @@ HIDDEN = frozenset("script style template noscript".split())
 BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr li main nav ol option p pre section table td th title tr ul".split())
 LINKED = frozenset("a area link img script iframe source".split())
 # Patterns with possessive repeats only: none goes back over what it has read.
-_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
-_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_BEGUN = re.compile(r"</?[A-Za-z]")
 _ATTRIBUTE = re.compile(r"""([^\s=>/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+#: What a tag's name asks for: 1 a line, 2 links, 4 nothing shown, 8 the title.
+_KIND = {form: (name in BLOCKS) | 2 * (name in LINKED) | 4 * (name in HIDDEN) | 8 * (name == "title") for name in BLOCKS | LINKED | HIDDEN for form in (name, name.upper())}
 _CLOSED = {name: re.compile(rf"</{name}\s*+>", re.I) for name in (*HIDDEN, "title")}
 
 
@@ -153,6 +155,16 @@ def _attribute(tag: str) -> tuple[str, str] | None:
     return None
 
 
+def _joined(base: str, link: str) -> str:
+    """The link as an absolute one; absolute ones, and such as can't be joined, as they are."""
+    if link.startswith(("http://", "https://")):
+        return link
+    try:
+        return urljoin(base, link)
+    except ValueError:
+        return link
+
+
 def scan(page: str, base: str = "") -> tuple[str, str, list[dict[str, str]]]:
     """What a page shows, its title and its links, in one pass whose time is in proportion to the page.
 
@@ -164,50 +176,48 @@ def scan(page: str, base: str = "") -> tuple[str, str, list[dict[str, str]]]:
     links: list[dict[str, str]] = []
     title: str | None = None
     at, comments = 0, True
-    while (start := page.find("<", at)) >= 0:
-        out.append(page[at:start])
-        after = page[start + 1 : start + 2]
-        if after in ("!", "?"):
+    find, match, show, kind_of = page.find, _TAG.match, out.append, _KIND.get
+    while (start := find("<", at)) >= 0:
+        if start > at:
+            show(page[at:start])
+        if found := match(page, start):
+            closing, name, rest = found.groups()
+            at = found.end()
+            kind = kind_of(name)
+            if kind is None:
+                kind = kind_of(name.lower(), 0)
+            if not kind:
+                continue
+            if kind & 1:
+                show("\n")
+            if closing:
+                continue
+            if kind & 2 and (link := _attribute(rest)):
+                links.append({"path": f"{name.upper()}@/{link[0]}", "url": _joined(base, link[1])})
+            if kind & 4:
+                closed = _CLOSED[name.lower()].search(page, at)
+                at = closed.end() if closed else len(page)
+            elif kind & 8 and title is None:
+                closed = _CLOSED["title"].search(page, at)
+                title = " ".join(html.unescape(page[at : closed.start()]).split()) if closed else ""
+        elif page.startswith(("<!", "<?"), start):
             end = -1
             if comments and page.startswith("<!--", start):
-                end = page.find("-->", start + 4)
+                end = find("-->", start + 4)
                 comments = end >= 0
                 end += 2 if comments else 0
             if end < 0:
-                end = page.find(">", start)
+                end = find(">", start)
             if end < 0:
-                out.append(page[start:])
-                at = len(page)
+                at = start
                 break
             at = end + 1
-            continue
-        found = _NAME.match(page, start + 1)
-        if not found:
-            out.append("<")
-            at = start + 1
-            continue
-        rest = _REST.match(page, found.end())
-        if not rest:
-            out.append(page[start:])
-            at = len(page)
+        elif _BEGUN.match(page, start):  # no tag ends from here on
+            at = start
             break
-        at, name = rest.end(), found[2].lower()
-        if name in BLOCKS:
-            out.append("\n")
-        if found[1]:
-            continue
-        if name in LINKED and (link := _attribute(page[found.end() : at - 1])):
-            try:
-                url = urljoin(base, link[1])
-            except ValueError:
-                url = link[1]
-            links.append({"path": f"{name.upper()}@/{link[0]}", "url": url})
-        if name in HIDDEN:
-            closed = _CLOSED[name].search(page, at)
-            at = closed.end() if closed else len(page)
-        elif name == "title" and title is None:
-            closed = _CLOSED[name].search(page, at)
-            title = " ".join(html.unescape(page[at : closed.start()]).split()) if closed else ""
+        else:
+            show("<")
+            at = start + 1
     out.append(page[at:])
     lines = (" ".join(x.split()) for x in html.unescape("".join(out)).split("\n"))
     return "\n".join(x for x in lines if x), title or "", links
