@@ -37,6 +37,8 @@ LEAST = 1 << 20
 BLOCK = 4096
 #: Keys with more than one in so many rows are joined apart; fewer than this many can be.
 SHARE = 1000
+#: Rows of a run of one key beyond which it is compared by itself.
+LONG_RUN = 64
 #: Rows and shingles of a cell in which near copies are compared.
 CELL, CELL_SHINGLES = 2048, 2_000_000
 #: Bits of the widest value that is counted exactly: the counts of a block are at most 2 ** 16 numbers.
@@ -300,12 +302,37 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
+def _run_links(fp: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of one long run: each of the fewer of those found and those looking is compared with all of the others at once."""
+    word, label = fp.view(np.uint64), np.arange(len(fp))
+    found, looking = np.flatnonzero(role & 1), np.flatnonzero(role >> 1)
+    few, many = (found, looking) if len(found) <= len(looking) else (looking, found)
+    a, b = [], []
+    for i in few.tolist():
+        near = many[(np.bitwise_count(word[many] ^ word[i]) <= radius) & (label[many] != label[i])]
+        if len(near):
+            joined, one = np.unique(label[near], return_index=True)  # one link to each set that it joins
+            a.append(np.full(len(one), fp[i]))
+            b.append(fp[near[one]])
+            label[np.isin(label, joined)] = label[i]
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
 def verified(key: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of rows sorted by ``key`` (the number of their run): pairs of one run, one found and one looking, within the radius."""
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
-    held, at, word = 0, np.arange(len(key)), fp.view(np.uint64)
+    word, first = fp.view(np.uint64), np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(first, len(key)))
+    for start, n in zip(first[size > LONG_RUN].tolist(), size[size > LONG_RUN].tolist()):
+        x, y = _run_links(fp[start : start + n], role[start : start + n], radius)
+        a.append(x)
+        b.append(y)
+    held, at = sum(map(len, a)), np.flatnonzero(np.repeat(size <= LONG_RUN, size))
     for step in range(1, len(key)):
+        if step >= LONG_RUN:
+            break
         at = at[: np.searchsorted(at, len(key) - step)]
         at = at[key[at] == key[at + step]]
         if not len(at):
