@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipsift.functions.scalars import clamp
 from clipsift.functions.text import DANGLING, REFINEMENT_OPENERS, REFINEMENT_PHRASES, SENTENCE_END
+from clipsift.operators.joins import earliest_after, latest_before
 
 WORD_BEFORE, WORD_AFTER = 5, 6
 
@@ -44,15 +45,36 @@ def heuristic_score(kind: str, offset: Column, energy: Column) -> Column:
     return 0.9 * F.least(pause / 1.5, F.lit(1.0)) + 1.2 * sentence + 0.35 * energy - 0.8 * penalty - 0.035 * F.abs(offset) - 1.2 * F.col("intro_or_ad")
 
 
-def unit_options(units: DataFrame) -> DataFrame:
-    """Units (video, unit, start, end, text) with what start and end options are scored by, but for the distance."""
+#: Seconds by which the end or start of detected speech may lie on the wrong side of a boundary.
+SPEECH_SLACK = 0.05
+
+
+def _speech_gaps(units: DataFrame, speech: DataFrame) -> DataFrame:
+    """``units`` with the silence (speech_before, speech_after) between their boundaries and the nearest detected speech."""
+    ends, starts = speech.select("video", F.col("end").alias("at")), speech.select("video", F.col("start").alias("at"))
+    seen = latest_before(units, ends, ["video"], "start", "at", "at", "heard_before", SPEECH_SLACK)
+    seen = earliest_after(seen, starts, ["video"], "end", "at", "at", "heard_after", SPEECH_SLACK)
+    gap = lambda x: F.greatest(F.lit(0.0), F.coalesce(x, F.lit(0.0)))
+    return seen.select(*units.columns, gap(F.col("start") - F.col("heard_before")).alias("speech_before"), gap(F.col("heard_after") - F.col("end")).alias("speech_after"))
+
+
+def unit_options(units: DataFrame, speech: DataFrame | None = None) -> DataFrame:
+    """Units (video, unit, start, end, text) with what start and end options are scored by, but for the distance.
+
+    With ``speech`` (video, start, end: intervals in which speech was detected) a pause is the larger of the gap between units and
+    the gap to the nearest speech; without it, or in a video without any, the gap between units decides.
+    """
+    if speech is None:
+        units = units.withColumns({"speech_before": F.lit(0.0), "speech_after": F.lit(0.0)})
+    else:
+        units = _speech_gaps(units, speech)
     w = Window.partitionBy("video").orderBy("unit")
     pause = lambda gap: clamp(gap / 1.5)
     flag = lambda c: c.cast("int").cast("double")
     first = plain(F.col("text"))
     opening = flag((first != "") & ~first.isin(list(REFINEMENT_OPENERS)))
-    before = F.greatest(F.lit(0.0), F.coalesce(F.col("start") - F.lag("end").over(w), F.lit(0.0)))
-    after = F.greatest(F.lit(0.0), F.coalesce(F.lead("start").over(w) - F.col("end"), F.lit(0.0)))
+    before = F.greatest(F.col("speech_before"), F.coalesce(F.col("start") - F.lag("end").over(w), F.lit(0.0)))
+    after = F.greatest(F.col("speech_after"), F.coalesce(F.lead("start").over(w) - F.col("end"), F.lit(0.0)))
     complete = F.col("text").rlike(SENTENCE_END)
     return units.select(
         "video", "unit", "start", "end",

@@ -14,6 +14,9 @@ from clipsift.operators.ranking import centred_percentile
 EDITORIAL_WEIGHTS = {"download_original": 1.0, "download_edited": 1.0, "custom_created": 1.0, "historical_selected": 1.0, "review_closed_unselected": -0.35, "reject": -1.0}
 #: Views below which rates say nothing.
 LEAST_VIEWS = 50
+#: Report fields that count as rates by themselves, and those that count a view.
+PERCENTAGES = ("average_view_percentage", "chose_to_view_percentage", "completion_rate_percentage")
+COUNTS = ("likes", "comments", "shares", "saves", "profile_visits", "replays", "follows")
 
 
 def editorial_weight(event_type: Column) -> Column:
@@ -43,11 +46,23 @@ def metric_coverage(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def outcome_components(reports: DataFrame) -> DataFrame:
-    """(creator, clip, component, value) of the rates that a report supports; engaged views count before views, 0 as missing."""
+    """(creator, clip, component, value) of the rates that a report supports; engaged views count before views, 0 as missing.
+
+    Columns that ``reports`` lacks count as missing in every row. A net of subscribers goes before gains less losses.
+    """
+    have = set(reports.columns)
+    field = lambda c: F.col(c).cast("double") if c in have else F.lit(None).cast("double")
     exposure = F.coalesce(F.nullif("engaged_views", F.lit(0)), F.col("views"))
     seen = reports.withColumn("exposure", exposure).where(F.col("exposure") >= LEAST_VIEWS)
-    values = {c: F.col(c) / 100.0 for c in ("average_view_percentage", "completion_rate_percentage")}
-    values |= {f"{c}_per_view": F.col(c).cast("double") / F.col("exposure") for c in ("likes", "comments", "shares")}
+    values = {c: field(c) / 100.0 for c in PERCENTAGES}
+    watched = field("average_view_duration_seconds") / F.nullif(field("duration_seconds"), F.lit(0.0))
+    values["duration_fraction"] = F.when(watched.isNotNull(), F.least(F.lit(2.0), watched))  # least() would pass over a null
+    values |= {f"{c}_per_view": field(c) / F.col("exposure") for c in COUNTS}
+    reach, zero = field("reach"), F.lit(0.0)
+    values["plays_per_reached_account"] = F.when(reach > 0, F.col("exposure") / reach)
+    gained, lost = field("subscribers_gained"), field("subscribers_lost")
+    change = F.when(gained.isNotNull() | lost.isNotNull(), F.coalesce(gained, zero) - F.coalesce(lost, zero))
+    values["net_subscribers_per_view"] = F.coalesce(field("subscribers_net"), change) / F.col("exposure")
     return long_form(seen, ["creator", "clip"], values, "component", "value")
 
 

@@ -46,6 +46,30 @@ def candidates(units: DataFrame, targets: tuple[float, ...] = (20.0, 30.0, 45.0,
     return first.select("video", F.format_string("%d_candidate_%04d", "video", n).alias("candidate_id"), "start", "end", "u.start_unit", "u.end_unit")
 
 
+def unit_texts(units: DataFrame, words: DataFrame) -> DataFrame:
+    """``units`` (video, unit, words: how many) with ``text``, their words joined by spaces.
+
+    Units deal a text's words in order, so the running number of words says which words a unit has; both sides meet by number.
+    """
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("video").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = units.withColumn("_from", before).select("video", "unit", F.explode(F.sequence(F.col("_from") + 1, F.col("_from") + F.col("words"))).alias("_n"))
+    numbered = words.select("video", "word", F.row_number().over(Window.partitionBy("video").orderBy("pos")).cast("long").alias("_n"))
+    said = places.join(numbered, ["video", "_n"]).groupBy("video", "unit").agg(F.array_sort(F.collect_list(F.struct("_n", "word"))).alias("w"))
+    return units.join(said.select("video", "unit", F.array_join("w.word", " ").alias("text")), ["video", "unit"])
+
+
+def candidate_texts(candidates: DataFrame, units: DataFrame) -> DataFrame:
+    """``candidates`` (candidate_id, video, start_unit, end_unit) with sentence_count, word_count and text of their units.
+
+    A candidate is at most its longest duration long, so its units are few; they are looked up by number, none by range.
+    """
+    parts = candidates.select("candidate_id", "video", F.explode(F.sequence("start_unit", "end_unit")).alias("unit"))
+    said = parts.join(units.select("video", "unit", "words", "text"), ["video", "unit"]).groupBy("candidate_id").agg(
+        F.count(F.lit(1)).alias("sentence_count"), F.sum("words").alias("word_count"), F.array_sort(F.collect_list(F.struct("unit", "text"))).alias("w")
+    )
+    return candidates.join(said.select("candidate_id", "sentence_count", "word_count", F.array_join("w.text", " ").alias("text")), "candidate_id")
+
+
 def captions(words: DataFrame, most: int = 7, longest: float = 2.4) -> DataFrame:
     """(video, cue, start, end, words): caption cues end at a sentence end, at ``most`` words or at ``longest`` seconds."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "start", "end", F.col("word").rlike(SENTENCE_END).alias("stop"))))

@@ -16,9 +16,16 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
-def topics(docs: DataFrame, group: str, key: str, text: str, limit: int) -> DataFrame:
+#: What a term's score is multiplied by where the audience's trends favour it, and where they don't.
+FAVOURED, DISFAVOURED = 1.35, 0.75
+
+
+def topics(docs: DataFrame, group: str, key: str, text: str, limit: int, trends: DataFrame | None = None) -> DataFrame:
     """(key, term, score, rank): a text's best terms by TF-IDF among its group's texts, none made of words already used.
 
+    ``trends`` (group, term, favoured boolean, each term once a group) weighs terms up or down; the result then also has
+    favoured, null for terms that no trend names.
+
     Before the last choice at most ``limit - 1`` terms of two words are taken, so no more than the terms made of these words can be
     passed over: the best terms of each text up to that number decide, and the greedy choice folds an array of no more.
     """
@@ -30,18 +37,24 @@ def topics(docs: DataFrame, group: str, key: str, text: str, limit: int) -> Data
     n = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0
     bonus = F.when(F.contains("term", F.lit(" ")), 1.15).otherwise(1.0)
-    scored = tf.join(df, [group, "term"]).join(n, group).select(key, "term", six(F.col("tf") * idf * bonus).alias("score"))
+    rated = tf.join(df, [group, "term"]).join(n, group)
+    if trends is None:
+        rated = rated.withColumn("favoured", F.lit(None).cast("boolean"))
+    else:
+        rated = rated.join(trends.select(group, "term", "favoured"), [group, "term"], "left")
+    factor = F.when(F.col("favoured"), FAVOURED).when(~F.col("favoured"), DISFAVOURED).otherwise(1.0)
+    scored = rated.select(key, "term", "favoured", six(F.col("tf") * idf * factor * bonus).alias("score"))
     best = top_k(scored, [key], [F.desc("score"), F.desc(F.length("term")), F.col("term")], pool, "i")
-    ordered = F.array_sort(F.collect_list(F.struct("i", "term", "score", F.split("term", " ").alias("own"))))
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<term:string,score:double>>").alias("taken"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "term", "score", "favoured", F.split("term", " ").alias("own"))))
+    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<term:string,score:double,favoured:boolean>>").alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
         fits = (F.size(acc["taken"]) < limit) & (F.size(F.array_except(x["own"], acc["used"])) > 0)
-        picked = F.struct(x["term"].alias("term"), x["score"].alias("score"))
+        picked = F.struct(x["term"].alias("term"), x["score"].alias("score"), x["favoured"].alias("favoured"))
         return F.when(fits, F.struct(F.concat(acc["used"], x["own"]).alias("used"), F.array_append(acc["taken"], picked).alias("taken"))).otherwise(acc)
 
     chosen = best.groupBy(key).agg(F.aggregate(ordered, start, step)["taken"].alias("taken"))
-    return chosen.select(key, F.posexplode("taken").alias("p", "x")).select(key, F.col("x.term").alias("term"), F.col("x.score").alias("score"), (F.col("p") + 1).alias("rank"))
+    return chosen.select(key, F.posexplode("taken").alias("p", "x")).select(key, F.col("x.term").alias("term"), F.col("x.score").alias("score"), (F.col("p") + 1).alias("rank"), *([] if trends is None else [F.col("x.favoured").alias("favoured")]))
 
 
 def term_trends(examples: DataFrame, group: str, text: str, outcome: str, limit: int, least: int = 2) -> DataFrame:

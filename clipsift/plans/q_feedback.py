@@ -127,9 +127,34 @@ def agg16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.performance(spark, sf_dir).groupBy("creator").agg(F.when(F.bool_or(total), F.sum(F.when(total, F.col("views")))).otherwise(F.sum("views")).alias("views"))
 
 
-@query("mth08_components", "SELECT clip, component, round(v, 6) AS value FROM (" + " UNION ALL ".join(f"SELECT clip, '{n}' AS component, {e} AS v FROM {{performance}} WHERE coalesce(nullif(engaged_views, 0), views) >= 50" for n, e in (("average_view_percentage", "average_view_percentage / 100e0"), ("completion_rate_percentage", "completion_rate_percentage / 100e0"), ("likes_per_view", "likes::DOUBLE / coalesce(nullif(engaged_views, 0), views)"), ("comments_per_view", "comments::DOUBLE / coalesce(nullif(engaged_views, 0), views)"), ("shares_per_view", "shares::DOUBLE / coalesce(nullif(engaged_views, 0), views)"))) + ") WHERE v IS NOT NULL")
+#: Report fields that the bridge lacks, made of those it has; Spark and DuckDB read the same expressions.
+MORE_FIELDS = {
+    "chose_to_view_percentage": "CASE WHEN clip % 6 <> 0 THEN views % 101 END",
+    "average_view_duration_seconds": "CASE WHEN clip % 7 <> 0 THEN duration * (likes % 30) / 10 END",
+    "duration_seconds": "CASE WHEN clip % 8 = 0 THEN 0 WHEN clip % 8 <> 1 THEN duration END",
+    "saves": "CASE WHEN clip % 5 <> 0 THEN likes % 7 END",
+    "profile_visits": "CASE WHEN clip % 9 <> 0 THEN likes % 5 END",
+    "replays": "CASE WHEN clip % 2 = 0 THEN views % 9 END",
+    "reach": "CASE WHEN clip % 3 <> 0 THEN views % 50 END",
+    "subscribers_gained": "CASE WHEN clip % 4 <> 1 THEN comments END",
+    "subscribers_lost": "CASE WHEN clip % 3 <> 1 THEN likes % 3 END",
+    "subscribers_net": "CASE WHEN clip % 7 = 3 THEN comments - 4 END",
+    "follows": "CASE WHEN clip % 10 <> 4 THEN likes % 4 END",
+}
+RATES = {f"{c}_per_view": f"{c}::DOUBLE / x" for c in learning.COUNTS} | {c: f"{c} / 100e0" for c in learning.PERCENTAGES}
+RATES |= {
+    "duration_fraction": "CASE WHEN duration_seconds <> 0 AND average_view_duration_seconds IS NOT NULL THEN least(2e0, average_view_duration_seconds::DOUBLE / duration_seconds) END",
+    "plays_per_reached_account": "CASE WHEN reach > 0 THEN x::DOUBLE / reach END",
+    "net_subscribers_per_view": "(CASE WHEN subscribers_net IS NOT NULL THEN subscribers_net WHEN subscribers_gained IS NOT NULL OR subscribers_lost IS NOT NULL THEN coalesce(subscribers_gained, 0) - coalesce(subscribers_lost, 0) END)::DOUBLE / x",
+}
+FULL_REPORTS = "(SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in MORE_FIELDS.items()) + ", coalesce(nullif(engaged_views, 0), views) AS x FROM {performance})"
+
+
+@query("mth08_components", "SELECT clip, component, round(v, 6) AS value FROM (" + " UNION ALL ".join(f"SELECT clip, '{n}' AS component, {e} AS v FROM {FULL_REPORTS} WHERE x >= 50" for n, e in RATES.items()) + ") WHERE v IS NOT NULL")
 def mth08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.outcome_components(b.performance(spark, sf_dir)).select("clip", "component", six(F.col("value")).alias("value"))
+    """All thirteen rates of reports that hold every field."""
+    reports = b.performance(spark, sf_dir).selectExpr("*", *[f"{e} AS {n}" for n, e in MORE_FIELDS.items()])
+    return learning.outcome_components(reports).select("clip", "component", six(F.col("value")).alias("value"))
 
 
 TARGETS = """, comp AS (SELECT creator, clip, component, v FROM (""" + " UNION ALL ".join(f"SELECT creator, clip, '{n}' AS component, {e} AS v FROM {{performance}} WHERE coalesce(nullif(engaged_views, 0), views) >= 50" for n, e in (("average_view_percentage", "average_view_percentage / 100e0"), ("completion_rate_percentage", "completion_rate_percentage / 100e0"), ("likes_per_view", "likes::DOUBLE / coalesce(nullif(engaged_views, 0), views)"), ("comments_per_view", "comments::DOUBLE / coalesce(nullif(engaged_views, 0), views)"), ("shares_per_view", "shares::DOUBLE / coalesce(nullif(engaged_views, 0), views)"))) + """) WHERE v IS NOT NULL),

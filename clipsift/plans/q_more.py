@@ -64,6 +64,20 @@ def mth17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("video", "unit", six(F.col("start_score")).alias("start_score"), six(F.col("end_score")).alias("end_score"))
 
 
+#: Detected speech: each turn of a user, a second shorter, and none in every seventh conversation.
+SPEECH = """SELECT conv_id AS video, "start" + 0.5e0 AS ss, "end" - 0.5e0 AS se FROM {segments} WHERE role = 'user' AND conv_id % 7 <> 0"""
+SPEECH_OPTIONS = f"""WITH sp AS ({SPEECH}), o AS ({SPOKEN}), g AS (SELECT o.*, greatest(0e0, coalesce(o."start" - (SELECT max(se) FROM sp WHERE sp.video = o.video AND se <= o."start" + 0.05e0), 0e0)) AS sb,
+  greatest(0e0, coalesce((SELECT min(ss) FROM sp WHERE sp.video = o.video AND ss >= o."end" - 0.05e0) - o."end", 0e0)) AS sa FROM o) """ + UNIT_OPTIONS.replace(f"({SPOKEN})", "g").replace('greatest(0e0, coalesce("start"', 'greatest(sb, coalesce("start"').replace("greatest(0e0, coalesce(lead", "greatest(sa, coalesce(lead")
+
+
+@query("mth17_speech_options", f"SELECT video, unit, round(start_score, 6) AS start_score, round(end_score, 6) AS end_score FROM ({SPEECH_OPTIONS})")
+def mth17_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Option scores whose pauses also count silence between detected intervals of speech."""
+    speech = b.segments(spark, sf_dir).where("role = 'user' AND conv_id % 7 <> 0").select(F.col("conv_id").alias("video"), (F.col("start") + 0.5).alias("start"), (F.col("end") - 0.5).alias("end"))
+    o = boundaries.unit_options(_spoken(spark, sf_dir), speech)
+    return o.select("video", "unit", six(F.col("start_score")).alias("start_score"), six(F.col("end_score")).alias("end_score"))
+
+
 @query("ml17_refined_boundaries", f"""WITH o AS ({UNIT_OPTIONS}), c AS ({CASES}), st AS (SELECT video, s, e, "start" AS rs, start_score - 0.55e0 * least(abs("start" - s) / 12e0, 1e0) AS ss FROM o JOIN c USING (video) WHERE abs("start" - s) <= 12e0),
   en AS (SELECT video, "end" AS re, end_score - 0.55e0 * least(abs("end" - e) / 12e0, 1e0) AS es FROM o JOIN c USING (video) WHERE abs("end" - e) <= 12e0),
   p AS (SELECT *, round(ss + es - 0.35e0 * abs((re - rs) - (e - s)) / greatest(e - s, 1e0), 9) AS score, round(abs(rs - s) + abs(re - e), 9) AS moved FROM st JOIN en USING (video) WHERE re - rs BETWEEN 5e0 AND 40e0 AND greatest(0e0, least(re, e) - greatest(rs, s)) >= least(5e0, (e - s) * 0.25e0))

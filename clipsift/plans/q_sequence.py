@@ -30,6 +30,18 @@ def seq02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("candidate_id", six(F.col("start")).alias("start"), six(F.col("end")).alias("end"), six(F.col("end") - F.col("start")).alias("duration"))
 
 
+@query("seq03_candidate_text", "WITH u AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY video ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (" + UNITS + """)), ws AS (SELECT video, list(word ORDER BY pos) AS w FROM {word_rows} GROUP BY 1),
+  p AS (SELECT s.video, s.unit AS su, e.unit AS eu, s."start" AS st, e."end" AS en, s.before AS a, e.before + e.words AS z FROM u s JOIN u e ON s.video = e.video AND e.unit >= s.unit AND e."end" - s."start" BETWEEN 20e0 AND 60e0),
+  c AS (SELECT video, su, st, a, t, arg_min({'en': en, 'eu': eu, 'z': z}, (abs((en - st) - t), eu)) AS x FROM p, (SELECT unnest([20e0, 30e0, 45e0, 60e0]) AS t) GROUP BY ALL), d AS (SELECT DISTINCT video, st, su, a, x FROM c)
+  SELECT printf('%d_candidate_%04d', video, row_number() OVER (PARTITION BY video ORDER BY st, x.en)) AS candidate_id, (x.eu - su + 1)::BIGINT AS sentence_count, (x.z - a)::BIGINT AS word_count, md5(array_to_string(w[a + 1:x.z], ' ')) AS text_md5 FROM d JOIN ws USING (video)""")
+def seq03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text and counts of each candidate, from the units between its boundaries; the digest stands for the text."""
+    words = b.word_rows(spark, sf_dir)
+    units = sequence.unit_texts(sequence.sentence_units(words), words)
+    c = sequence.candidate_texts(sequence.candidates(units), units)
+    return c.select("candidate_id", "sentence_count", "word_count", F.md5("text").alias("text_md5"))
+
+
 @query("str19_caption_cues", """SELECT video, (row_number() OVER (PARTITION BY video ORDER BY s) - 1)::INT AS cue, round(s, 6) AS "start", round(e, 6) AS "end", n::INT AS words FROM (
   SELECT video, min("start") AS s, max("end") AS e, count(*) AS n FROM (SELECT *, (row_number() OVER (PARTITION BY video, sent ORDER BY pos) - 1) // 7 AS part FROM (
     SELECT *, coalesce(sum(regexp_matches(word, '{sentence_end!}')::INT) OVER (PARTITION BY video ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM {word_rows})) GROUP BY video, sent, part)""")

@@ -162,16 +162,34 @@ TOPICS = f"""WITH t AS (SELECT doc_id, source, {TOPIC_TOKENS} AS w FROM {{candid
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(term) DESC, term) AS i FROM s)"""
 
 
-@query("seq11_tfidf_topics", TOPICS.replace("WITH t AS", "WITH RECURSIVE t AS") + """, top AS (SELECT * FROM r WHERE i <= 116),
+#: The greedy choice: best terms first, none made of words already used.
+WALK = """, top AS (SELECT * FROM r WHERE i <= 116),
   walk AS (SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS used, []::STRUCT(term VARCHAR, score DOUBLE)[] AS taken FROM (SELECT DISTINCT doc_id FROM top)
     UNION ALL SELECT w.doc_id, t.i, CASE WHEN len(taken) < 6 AND NOT list_has_all(used, string_split(t.term, ' ')) THEN list_concat(used, string_split(t.term, ' ')) ELSE used END,
       CASE WHEN len(taken) < 6 AND NOT list_has_all(used, string_split(t.term, ' ')) THEN list_append(taken, {'term': t.term, 'score': t.score}) ELSE taken END FROM walk w JOIN top t ON t.doc_id = w.doc_id AND t.i = w.i + 1),
-  fin AS (SELECT doc_id, arg_max(taken, i) AS taken FROM walk GROUP BY 1)
-  SELECT doc_id, x.term AS term, round(x.score, 6) AS score, k::INT AS rank FROM (SELECT doc_id, unnest(taken) AS x, unnest(range(1, len(taken) + 1)) AS k FROM fin)""")
+  fin AS (SELECT doc_id, arg_max(taken, i) AS taken FROM walk GROUP BY 1)"""
+
+
+@query("seq11_tfidf_topics", TOPICS.replace("WITH t AS", "WITH RECURSIVE t AS") + WALK + " SELECT doc_id, x.term AS term, round(x.score, 6) AS score, k::INT AS rank FROM (SELECT doc_id, unnest(taken) AS x, unnest(range(1, len(taken) + 1)) AS k FROM fin)")
 def seq11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.topics(b.candidates(spark, sf_dir), group="source", key="doc_id", text="text", limit=6)
 
 
+#: Trends of each group: single words by the length of the word, so that some are favoured and some are not.
+TREND_SQL = "(SELECT source, term, length(term) % 3 = 0 AS favoured FROM df WHERE df >= 2 AND length(term) % 3 <> 1)"
+TRENDED = TOPICS.replace("JOIN n USING (source))", f"JOIN n USING (source) LEFT JOIN {TREND_SQL} USING (source, term))").replace("+ 1e0) * CASE", "+ 1e0) * CASE WHEN favoured THEN 1.35e0 WHEN NOT favoured THEN 0.75e0 ELSE 1e0 END * CASE").replace("SELECT source, doc_id, term, round", "SELECT source, doc_id, term, favoured, round")
+
+
+@query("seq11_trended_topics", TRENDED.replace("WITH t AS", "WITH RECURSIVE t AS") + WALK + " SELECT f.doc_id, x.term AS term, round(x.score, 6) AS score, k::INT AS rank, r.favoured FROM (SELECT doc_id, unnest(taken) AS x, unnest(range(1, len(taken) + 1)) AS k FROM fin) f JOIN r ON r.doc_id = f.doc_id AND r.term = x.term")
+def seq11_trended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics weighed by trends: terms of two texts or more, by their length favoured, disfavoured or in no trend."""
+    docs = b.candidates(spark, sf_dir)
+    words = docs.withColumn("_w", T.topic_words(F.col("text"))).select("source", "doc_id", F.explode(F.array_distinct(T.with_next(F.col("_w")))).alias("term"))
+    known = words.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= 2) & (F.length("term") % 3 != 1))
+    trends = known.select("source", "term", (F.length("term") % 3 == 0).alias("favoured"))
+    return topics.topics(docs, group="source", key="doc_id", text="text", limit=6, trends=trends)
+
+
 @query("agg40_term_trends", f"""WITH t AS (SELECT doc_id, source, list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''-]{{2,}}'), lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in T.TREND_STOPWORDS)}], x)) AS w FROM {{candidates}}),
   e AS (SELECT DISTINCT doc_id, source, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(list_zip(w[1:len(w)-1], w[2:]), lambda x: x[1] || ' ' || x[2]) ELSE [] END)) AS term FROM t),
   a AS (SELECT source, term, sum(quality * 2 - 1 - doc_id % 3)::BIGINT AS association, count(*) AS support FROM e JOIN labels USING (doc_id) GROUP BY 1, 2)

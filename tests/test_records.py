@@ -46,3 +46,48 @@ def test_tracker(spark):
     rows = spark.createDataFrame([("aa", "9"), ("aa_clip1", "1.2M"), ("bb_clip_2", "17k"), ("cc_clip3", "350"), ("zz_clip4", "1")], "video_id string, views string")
     got = {(r.video_id, r.source_key, r.role, r.views) for r in tracker.tracker_clips(rows, ["aa", "bb"], "cc").collect()}
     assert got == {("aa_clip1", "aa", "reference", 1_200_000), ("bb_clip_2", "bb", "reference", 17_000), ("cc_clip3", "cc", "holdout", 350)}
+
+
+def test_rates_of_a_full_report(spark):
+    from clipsift.operators.learning import outcome_components
+
+    row = dict(creator=1, clip=1, views=200, engaged_views=100, average_view_percentage=80.0, chose_to_view_percentage=60.0, completion_rate_percentage=50.0, average_view_duration_seconds=90.0, duration_seconds=30.0, likes=10, comments=5)
+    row |= dict(shares=4, saves=2, profile_visits=1, replays=20, reach=50, subscribers_gained=7, subscribers_lost=2, follows=3)
+    df = spark.createDataFrame([row]).selectExpr("*", "CAST(NULL AS INT) AS subscribers_net")
+    found = {r.component: round(r.value, 6) for r in outcome_components(df).collect()}
+    assert found == {
+        "average_view_percentage": 0.8, "chose_to_view_percentage": 0.6, "completion_rate_percentage": 0.5, "duration_fraction": 2.0, "likes_per_view": 0.1, "comments_per_view": 0.05, "shares_per_view": 0.04,
+        "saves_per_view": 0.02, "profile_visits_per_view": 0.01, "replays_per_view": 0.2, "plays_per_reached_account": 2.0, "net_subscribers_per_view": 0.05, "follows_per_view": 0.03,
+    }
+    assert outcome_components(df.withColumn("views", F.lit(10)).withColumn("engaged_views", F.lit(0))).count() == 0
+
+
+def test_candidate_texts_and_speech_gaps(spark):
+    from clipsift.operators import boundaries, sequence
+
+    said = [(1, i, i * 1.0, i * 1.0 + 0.5, w) for i, w in enumerate("One two three. Four five. Six seven eight nine.".split())]
+    words = spark.createDataFrame(said, "video int, pos int, start double, end double, word string")
+    units = sequence.unit_texts(sequence.sentence_units(words, pause=9.0), words)
+    assert [r.text for r in units.orderBy("unit").collect()] == ["One two three.", "Four five.", "Six seven eight nine."]
+    asked = spark.createDataFrame([("a", 1, 0, 1), ("b", 1, 1, 2)], "candidate_id string, video int, start_unit int, end_unit int")
+    got = {r.candidate_id: (r.sentence_count, r.word_count, r.text) for r in sequence.candidate_texts(asked, units).collect()}
+    assert got == {"a": (2, 5, "One two three. Four five."), "b": (2, 6, "Four five. Six seven eight nine.")}
+
+    speech = spark.createDataFrame([(1, 0.0, 1.5), (1, 6.5, 7.0)], "video int, start double, end double")
+    plain = {r.unit: r for r in boundaries.unit_options(units).collect()}
+    heard = {r.unit: r for r in boundaries.unit_options(units, speech).collect()}
+    # the second unit starts at 3.0, 1.5 s after speech was last heard; its end at 4.5 lies 2.0 s before the next
+    assert round(heard[1].start_score - plain[1].start_score, 6) == round(0.7 * (1.0 - 0.5 / 1.5), 6)
+    assert round(heard[1].end_score - plain[1].end_score, 6) == round(0.8 * (1.0 - 0.5 / 1.5), 6)
+    assert heard[0].start_score == plain[0].start_score
+
+
+def test_trends_weigh_topics(spark):
+    from clipsift.operators.topics import topics
+
+    docs = spark.createDataFrame([("c", 1, "kernel boot kernel boot"), ("c", 2, "garden garden soil")], "source string, doc_id int, text string")
+    trends = spark.createDataFrame([("c", "garden", True), ("c", "soil", False)], "source string, term string, favoured boolean")
+    bare = {r.term: r.score for r in topics(docs, "source", "doc_id", "text", 6).where("doc_id = 2").collect()}
+    rated = {r.term: (r.score, r.favoured) for r in topics(docs, "source", "doc_id", "text", 6, trends).where("doc_id = 2").collect()}
+    assert abs(rated["garden"][0] - 1.35 * bare["garden"]) < 2e-6 and rated["garden"][1] is True
+    assert all(abs(s / bare[t] - {True: 1.35, False: 0.75, None: 1.0}[f]) < 1e-5 for t, (s, f) in rated.items() if t in bare)
