@@ -46,3 +46,52 @@ def align(points: DataFrame, templates: DataFrame, key: str, longest: int, apart
     rest = scores.join(best, key).where(F.abs(F.col("offset") - F.col("at")) >= apart).groupBy(key).agg(F.max("score").alias("second"))
     found = points.select(key).distinct().join(best, key, "left").join(rest, key, "left")
     return found.select(key, F.col("at").alias("offset"), F.round("top", 6).alias("score"), F.round("second", 6).alias("runner_up"))
+
+
+#: The least score of a reliable match, seconds by which offsets of one cluster may differ from its median, and the
+#: parts of a confidence that stand for the scores alone and for the share of windows that agree.
+RELIABLE, TOGETHER, BY_SCORE, BY_COVERAGE = 0.48, 3.0, 0.65, 0.35
+
+
+def offset_clusters(offsets: np.ndarray) -> np.ndarray:
+    """The cluster of each of the rising ``offsets``: the first whose running median is within ``TOGETHER`` seconds, else a new one."""
+    members: list[list[float]] = []
+    found = np.zeros(len(offsets), dtype=int)
+    for i, x in enumerate(offsets.tolist()):
+        near = [k for k, m in enumerate(members) if abs(float(np.median(m)) - x) <= TOGETHER]
+        if not near:
+            members.append([])
+        found[i] = near[0] if near else len(members) - 1
+        members[found[i]].append(x)
+    return found
+
+
+def aligned_segments(matches: DataFrame, key: str) -> DataFrame:
+    """(key, segment, short_start, short_end, source_start, source_end, score, windows, confidence, compound) of each key with a reliable match.
+
+    ``matches`` (key, short_start, short_end, offset, score, source_length) are the windows of one short video, each with its best
+    place in the source. Reliable ones are clustered by offset; segment 1 is the cluster with most windows, then with the best mean
+    score, and others count from two windows on. The confidence is the first segment's mean score, weighed by the share of all
+    windows that agree with it; ``compound`` says that several segments count. A short has a handful of windows, so its list is small.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["short_start", "short_end", "offset", "score"]
+        for batch in batches:
+            for k, n, length, own in zip(batch[key], batch["n"], batch["source_length"], batch["matches"]):
+                m = pd.DataFrame([[w[c] for c in names] for w in own], columns=names)
+                m["cluster"] = offset_clusters(m["offset"].to_numpy())
+                c = m.groupby("cluster").agg(short_start=("short_start", "min"), short_end=("short_end", "max"), offset=("offset", "median"), score=("score", "mean"), windows=("score", "size"))
+                c = c.sort_values(["windows", "score"], ascending=False, kind="stable").reset_index(drop=True)
+                c = c[(c.index == 0) | (c["windows"] >= 2)]
+                first = c.iloc[0]
+                yield pd.DataFrame({
+                    key: k, "segment": c.index + 1, "short_start": c["short_start"], "short_end": c["short_end"], "source_start": np.maximum(0.0, c["short_start"] + c["offset"]),
+                    "source_end": np.minimum(length, c["short_end"] + c["offset"]), "score": c["score"], "windows": c["windows"],
+                    "confidence": first["score"] * (BY_SCORE + BY_COVERAGE * first["windows"] / n), "compound": len(c) > 1,
+                })
+
+    window = F.struct("offset", "short_start", "short_end", "score")
+    lists = matches.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("source_length").alias("source_length"), F.array_sort(F.collect_list(F.when(F.col("score") >= RELIABLE, window))).alias("matches"))
+    kind = dict(matches.dtypes)[key]
+    return lists.where(F.size("matches") > 0).mapInPandas(run, f"{key} {kind}, segment int, short_start double, short_end double, source_start double, source_end double, score double, windows int, confidence double, compound boolean")

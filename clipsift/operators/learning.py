@@ -94,3 +94,13 @@ def close_review(events: DataFrame) -> DataFrame:
     decided = events.where("event_type <> 'presented'").select("clip")
     shown = events.where("event_type = 'presented'").groupBy("clip").agg(F.max("event_id").alias("after_event"))
     return shown.join(decided, "clip", "left_anti").select("clip", F.lit("review_closed_unselected").alias("event_type"), "after_event")
+
+
+def update_if_null(rows: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
+    """``rows`` with ``column`` set from ``updates`` (key, column; a key once) where it was null, and ``updated``, whether it was set.
+
+    A write that must happen once: a value that is already there stays, and the sum of ``updated`` is the number of rows changed.
+    """
+    new = updates.select(key, F.col(column).alias("_new"))
+    met = rows.join(new, key, "left").withColumn("updated", F.col(column).isNull() & F.col("_new").isNotNull())
+    return met.withColumn(column, F.coalesce(column, "_new")).drop("_new")

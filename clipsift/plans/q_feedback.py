@@ -281,6 +281,21 @@ def stm03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failure_windows(b.feedback(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "15 minutes").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("stm03_sliding_failures", "SELECT creator, time_bucket(INTERVAL 1 MINUTE, ts)::TIMESTAMP - to_minutes(k) AS window_start, count(*) AS failures FROM {feedback}, (SELECT unnest(range(15)) AS k) WHERE event_type = 'reject' GROUP BY 1, 2")
+def stm03_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures within 15 minutes, counted anew every minute."""
+    from clipsift.streaming.events import failure_windows
+
+    return failure_windows(b.feedback(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "15 minutes", slide="1 minute").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("snk06_update_if_null", "SELECT clip, coalesce(shares, comments) AS shares, shares IS NULL AND comments IS NOT NULL AS updated FROM {performance} LEFT JOIN (SELECT clip, comments FROM {performance} WHERE comments > 2) u USING (clip)".replace("coalesce(shares, comments)", "coalesce(shares, u.comments)").replace("AND comments IS", "AND u.comments IS"))
+def snk06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares that are missing are set once, from the comments where there are more than two; what is set stays."""
+    p = b.performance(spark, sf_dir)
+    return learning.update_if_null(p.select("clip", "shares"), p.where("comments > 2").select("clip", F.col("comments").alias("shares")), "clip", "shares")
+
+
 @query("stm_sessions", """WITH g AS (SELECT creator, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY creator ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM {feedback}),
     s AS (SELECT creator, ts, sum(new) OVER (PARTITION BY creator ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT creator, min(ts) AS session_start, count(*) AS events FROM s GROUP BY creator, k""")
 def stm_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,3 +129,15 @@ def ml14(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.array_sort(F.collect_list(F.struct("pos", "value")))
     templates = points.where("pos between 10 and 25").groupBy("creator").agg(F.transform(part, lambda x: x["value"]).alias("template"))
     return align(points, templates, "creator", longest=16)
+
+
+@query("ml15_aligned_segments")
+def ml15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of the windows of an order's lines, clustered into the segments of its source; medians run, so SQL has no short form."""
+    from clipsift.operators.alignment import aligned_segments
+
+    l = b.table(spark, sf_dir, "lineitem")
+    at = (F.col("l_linenumber") - 1) * 6.0
+    matches = l.select(F.col("l_orderkey").alias("short"), at.alias("short_start"), (at + 10.0).alias("short_end"), (F.col("l_suppkey") % 9 * 1.5).alias("offset"), (0.3 + F.col("l_discount") * 6.0).alias("score"), F.lit(60.0).alias("source_length"))
+    r = aligned_segments(matches, "short")
+    return r.select("short", "segment", "short_start", "short_end", six(F.col("source_start")).alias("source_start"), six(F.col("source_end")).alias("source_end"), six(F.col("score")).alias("score"), "windows", six(F.col("confidence")).alias("confidence"), "compound")

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def failure_windows(events: DataFrame, size: str, kind: str = "reject") -> DataFrame:
-    """(creator, window_start, failures) of each tumbling window; on a stream give ``events`` a watermark on ts."""
-    found = events.where(F.col("event_type") == kind).groupBy("creator", F.window("ts", size).alias("w")).agg(F.count(F.lit(1)).alias("failures"))
+def failure_windows(events: DataFrame, size: str, kind: str = "reject", slide: str | None = None) -> DataFrame:
+    """(creator, window_start, failures) of each window of ``size``; on a stream give ``events`` a watermark on ts.
+
+    Windows follow one another, or start every ``slide``; an event then counts in each window that it lies in.
+    """
+    found = events.where(F.col("event_type") == kind).groupBy("creator", F.window("ts", size, slide).alias("w")).agg(F.count(F.lit(1)).alias("failures"))
     return found.select("creator", F.col("w.start").alias("window_start"), "failures")
 
 

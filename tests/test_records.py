@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,20 @@ def test_trends_weigh_topics(spark):
     rated = {r.term: (r.score, r.favoured) for r in topics(docs, "source", "doc_id", "text", 6, trends).where("doc_id = 2").collect()}
     assert abs(rated["garden"][0] - 1.35 * bare["garden"]) < 2e-6 and rated["garden"][1] is True
     assert all(abs(s / bare[t] - {True: 1.35, False: 0.75, None: 1.0}[f]) < 1e-5 for t, (s, f) in rated.items() if t in bare)
+
+
+def test_aligned_segments(spark):
+    from clipsift.operators.alignment import aligned_segments, offset_clusters
+
+    # the median follows the cluster: 4.5 is within 3 s of the median 1.5 of 0, 1.5 and 3, though not of its first offset
+    assert offset_clusters(np.array([0.0, 1.5, 3.0, 4.5, 9.0])).tolist() == [0, 0, 0, 0, 1]
+    rows = [("a", 0.0, 10.0, 100.0, 0.9, 500.0), ("a", 5.0, 15.0, 101.0, 0.7, 500.0), ("a", 20.0, 30.0, 300.0, 0.8, 500.0), ("a", 25.0, 35.0, 300.0, 0.6, 500.0), ("a", 40.0, 50.0, 7.0, 0.95, 500.0), ("a", 45.0, 55.0, 90.0, 0.2, 500.0)]
+    rows += [("b", 0.0, 10.0, 5.0, 0.3, 50.0), ("c", 0.0, 10.0, 45.0, 0.5, 50.0)]
+    df = spark.createDataFrame(rows, "short string, short_start double, short_end double, offset double, score double, source_length double")
+    got = {(r.short, r.segment): r for r in aligned_segments(df, "short").collect()}
+    assert set(got) == {("a", 1), ("a", 2), ("c", 1)}
+    one, two, c = got["a", 1], got["a", 2], got["c", 1]
+    assert (one.source_start, one.source_end, one.windows, one.compound) == (100.5, 115.5, 2, True)
+    assert (two.source_start, two.source_end) == (320.0, 335.0)
+    assert round(one.confidence, 6) == round(0.8 * (0.65 + 0.35 * 2 / 6), 6) and (c.source_end, c.compound) == (50.0, False)
+    assert aligned_segments(df.where("score < 0"), "short").count() == 0
