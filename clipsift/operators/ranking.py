@@ -39,6 +39,22 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def positions(df: DataFrame, keys: Sequence[str], order: str, name: str = "position", width: int = 1 << 16) -> DataFrame:
+    """``df`` with its place in each group, from 1, by the whole-number column ``order`` (ties in no fixed order; nulls first).
+
+    A group is dealt to blocks of ``width`` values of ``order``, numbered apart and moved on by the rows of the blocks before, so that
+    a group with a third of all rows spreads over tasks; only counts of blocks meet in one window.
+    """
+    dealt = df.withColumn("_block", F.coalesce(F.floor(F.col(order) / width), F.lit(-(1 << 62))))
+    on = [*keys, "_block"]
+    counts = dealt.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(c).alias(f"_at_{c}") for c in on], ahead.alias("_ahead"))
+    met = dealt.join(starts, [dealt[c].eqNullSafe(starts[f"_at_{c}"]) for c in on])
+    place = F.col("_ahead") + F.row_number().over(Window.partitionBy(*on).orderBy(order))
+    return met.withColumn(name, place).select(*df.columns, name)
+
+
 def greedy_diverse(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], k: int, limit: float, rank: str = "rank") -> DataFrame:
     """The k best rows of each group of which no two overlap by more than ``limit``, best first; ``rank`` counts from 1.
 

@@ -1,7 +1,9 @@
-"""Order-dependent folds: sentence units, candidates, captions, job states."""
+"""Order-dependent states: sentence units, candidates, captions, job states."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,26 +13,35 @@ from clipsift.operators.joins import distance_join
 UNIT = "array<struct<start:double,end:double,words:int>>"
 
 
-def sentence_units(words: DataFrame, pause: float = 1.0, longest: float = 15.0, least: float = 2.0) -> DataFrame:
-    """(video, unit, start, end, words): words up to a sentence end, to a pause after ``least`` seconds, to ``longest`` seconds, or the last.
+def _fold(words: DataFrame, number: str, flush: Callable[[Column, Column, Column], Column], gap: bool = False) -> DataFrame:
+    """(video, ``number``, start, end, words): words of a text in order, a piece ending where ``flush(word, seconds, count)`` says so.
 
-    ``words`` is (video, pos, start, end, word). A flush starts a new unit, so no window can say where units begin: the words of one
-    text are folded in order.
+    A sentence end always ends a piece, so what is folded at once is one sentence and never a whole text: sentences are told apart by
+    a running count of the ends before, and pieces are numbered by a window. The last word of a sentence or text ends a piece too.
     """
-    following = F.lead("start").over(Window.partitionBy("video").orderBy("pos"))
-    w = words.withColumn("gap", following - F.col("end")).withColumn("stop", F.col("word").rlike(SENTENCE_END))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "start", "end", "gap", "stop")))
+    order = Window.partitionBy("video").orderBy("pos")
+    ends = F.sum(F.col("word").rlike(SENTENCE_END).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    w = words.withColumn("sentence", F.coalesce(ends, F.lit(0))).withColumn("gap", F.lead("start").over(order) - F.col("end") if gap else F.lit(None).cast("double"))
+    held = w.groupBy("video", "sentence").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "gap"))).alias("w"), F.max("pos").alias("last"))
     begin = F.struct(F.array().cast(UNIT).alias("done"), F.lit(None).cast("double").alias("from"), F.lit(0).alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
         start, n = F.coalesce(acc["from"], x["start"]), acc["n"] + 1
-        long = x["end"] - start
-        flush = x["stop"] | x["gap"].isNull() | ((x["gap"] >= pause) & (long >= least)) | (long >= longest)
+        stop = (x["pos"] == F.col("last")) | F.coalesce(flush(x, x["end"] - start, n), F.lit(False))
         unit = F.struct(start.alias("start"), x["end"].alias("end"), n.alias("words"))
-        return F.struct(F.when(flush, F.array_append(acc["done"], unit)).otherwise(acc["done"]).alias("done"), F.when(~flush, start).alias("from"), F.when(flush, 0).otherwise(n).alias("n"))
+        return F.struct(F.when(stop, F.array_append(acc["done"], unit)).otherwise(acc["done"]).alias("done"), F.when(~stop, start).alias("from"), F.when(stop, 0).otherwise(n).alias("n"))
+
+    pieces = held.select("video", "sentence", F.posexplode(F.aggregate("w", begin, step)["done"]).alias("k", "u"))
+    n = F.row_number().over(Window.partitionBy("video").orderBy("sentence", "k")) - 1
+    return pieces.select("video", n.alias(number), "u.start", "u.end", "u.words")
 
-    units = w.groupBy("video").agg(F.aggregate(ordered, begin, step)["done"].alias("u"))
-    return units.select("video", F.posexplode("u").alias("unit", "u")).select("video", "unit", "u.start", "u.end", "u.words")
+
+def sentence_units(words: DataFrame, pause: float = 1.0, longest: float = 15.0, least: float = 2.0) -> DataFrame:
+    """(video, unit, start, end, words): words up to a sentence end, to a pause after ``least`` seconds, to ``longest`` seconds, or the last.
+
+    ``words`` is (video, pos, start, end, word).
+    """
+    return _fold(words, "unit", lambda x, long, n: ((x["gap"] >= pause) & (long >= least)) | (long >= longest), gap=True)
 
 
 def candidates(units: DataFrame, targets: tuple[float, ...] = (20.0, 30.0, 45.0, 60.0), shortest: float = 20.0, longest: float = 60.0) -> DataFrame:
@@ -72,22 +83,7 @@ def candidate_texts(candidates: DataFrame, units: DataFrame) -> DataFrame:
 
 def captions(words: DataFrame, most: int = 7, longest: float = 2.4) -> DataFrame:
     """(video, cue, start, end, words): caption cues end at a sentence end, at ``most`` words or at ``longest`` seconds."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "start", "end", F.col("word").rlike(SENTENCE_END).alias("stop"))))
-    begin = F.struct(F.array().cast(UNIT).alias("done"), F.lit(None).cast("double").alias("from"), F.lit(0).alias("n"))
-    last = F.max("pos")
-
-    def step(end_pos: Column):  # noqa: ANN202
-        def f(acc: Column, x: Column) -> Column:
-            start, n = F.coalesce(acc["from"], x["start"]), acc["n"] + 1
-            flush = x["stop"] | (n >= most) | (x["end"] - start >= longest) | (x["pos"] == end_pos)
-            unit = F.struct(start.alias("start"), x["end"].alias("end"), n.alias("words"))
-            return F.struct(F.when(flush, F.array_append(acc["done"], unit)).otherwise(acc["done"]).alias("done"), F.when(~flush, start).alias("from"), F.when(flush, 0).otherwise(n).alias("n"))
-
-        return f
-
-    held = words.groupBy("video").agg(ordered.alias("w"), last.alias("last"))
-    cues = held.select("video", F.aggregate("w", begin, step(F.col("last")))["done"].alias("u"))
-    return cues.select("video", F.posexplode("u").alias("cue", "u")).select("video", "cue", "u.start", "u.end", "u.words")
+    return _fold(words, "cue", lambda x, long, n: (n >= most) | (long >= longest))
 
 
 def replay_jobs(log: DataFrame, attempts: int = 3) -> DataFrame:
@@ -95,21 +91,25 @@ def replay_jobs(log: DataFrame, attempts: int = 3) -> DataFrame:
 
     enqueue resets; claim (of a queued job) counts an attempt; expire and fail requeue until the last attempt, then fail for good;
     complete ends a running job. Other events change nothing.
+
+    No log is gathered: what came before the last enqueue doesn't matter, and after it a job runs exactly from a claim to the first
+    loss or completion, so each loss or completion whose preceding move is a claim closes an attempt. Counting those tells the state.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "event")))
-    begin = F.struct(F.lit("new").alias("status"), F.lit(0).alias("attempts"))
-
-    def step(s: Column, x: Column) -> Column:
-        e, running = x["event"], s["status"] == "running"
-        lost = running & e.isin("expire", "fail")
-        status = (
-            F.when(e == "enqueue", F.lit("queued")).when((e == "claim") & (s["status"] == "queued"), F.lit("running"))
-            .when(lost & (s["attempts"] >= attempts), F.lit("failed")).when(lost, F.lit("queued")).when(running & (e == "complete"), F.lit("complete")).otherwise(s["status"])
-        )
-        n = F.when(e == "enqueue", F.lit(0)).when((e == "claim") & (s["status"] == "queued"), s["attempts"] + 1).otherwise(s["attempts"])
-        return F.struct(status.alias("status"), n.alias("attempts"))
-
-    return log.groupBy("job").agg(F.aggregate(ordered, begin, step).alias("s")).select("job", "s.status", "s.attempts")
+    move = F.when(F.col("event") == "enqueue", "e").when(F.col("event") == "claim", "c").when(F.col("event").isin("expire", "fail"), "l").when(F.col("event") == "complete", "d")
+    place = F.struct("seq", "event")
+    order = Window.partitionBy("job").orderBy("seq", "event")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    m = log.withColumn("move", move).withColumns({"previous": F.last("move", ignorenulls=True).over(before), "epoch": F.count_if(F.col("move") == "e").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    closes = F.col("move").isin("l", "d") & (F.col("previous") == "c")
+    m = m.withColumn("closed", F.count_if(closes).over(Window.partitionBy("job", "epoch").orderBy("seq", "event").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = m.groupBy("job", "epoch").agg(
+        F.max("closed").alias("closed"), F.min(F.when(closes & (F.col("move") == "d"), F.col("closed"))).alias("done"), F.max_by("move", F.when(F.col("move").isNotNull(), place)).alias("last")
+    )
+    r = runs.groupBy("job").agg(F.max_by(F.struct("epoch", "closed", "done", "last"), "epoch").alias("r")).select("job", "r.*")
+    running = F.col("last") == "c"
+    status = F.when(F.col("epoch") == 0, "new").when(F.col("done") <= attempts, "complete").when(F.col("closed") >= attempts, "failed").when(running, "running").otherwise("queued")
+    n = F.when(F.col("epoch") == 0, 0).when(F.col("done") <= attempts, F.col("done")).when(F.col("closed") >= attempts, attempts).otherwise(F.col("closed") + F.when(running, 1).otherwise(0))
+    return r.select("job", status.alias("status"), n.cast("int").alias("attempts"))
 
 
 def backoff_seconds(attempt: Column, most: float = 60.0) -> Column:

@@ -253,10 +253,12 @@ def oth07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.labels_iv(spark, sf_dir).select("video", "priority").join(c, "video", "left").select("video", "priority", F.coalesce("n", F.lit(0)).alias("clips"), "clip_list")
 
 
-@query("oth13_text_corpus", "SELECT source, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS docs FROM documents WHERE trim(text) <> '' GROUP BY 1")
+@query("oth13_text_corpus", "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position, doc_id FROM documents WHERE trim(text) <> ''")
 def oth13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = b.table(spark, sf_dir, "documents").where(F.trim("text") != "").groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), " ").alias("docs"))
-    return d
+    """A source's texts that aren't blank, in order: a row each, as a source may hold most of a corpus."""
+    from clipsift.operators.ranking import positions
+
+    return positions(b.table(spark, sf_dir, "documents").where(F.trim("text") != "").select("source", "doc_id"), ["source"], "doc_id")
 
 
 @query("ml02_balanced_ridge")
