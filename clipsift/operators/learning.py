@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipsift.functions.scalars import shrink, six
+from clipsift.functions.scalars import clamp, shrink, six
 from clipsift.operators.ranking import centred_percentile
 
 #: What an editorial decision says about a clip.
@@ -24,6 +24,30 @@ def editorial_weight(event_type: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in EDITORIAL_WEIGHTS.items() for x in pair]), event_type)
 
 
+def append_events(log: DataFrame, new: DataFrame, clips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log with the new decisions about known clips, and the new rows that are refused, with ``reason``."""
+    seen = clips.select(F.col("clip").alias("_clip")).distinct()
+    reason = F.when(editorial_weight(F.col("event_type")).isNull(), "event type").when(F.col("_clip").isNull(), "unknown clip")
+    judged = new.join(seen, F.col("clip") == F.col("_clip"), "left").withColumn("reason", reason)
+    return log.unionByName(judged.where("reason is null").select(*log.columns)), judged.where("reason is not null").drop("_clip")
+
+
+#: What a calibration needs, and how far it goes.
+LEAST_EXAMPLES, LEAST_SOURCES, CALIBRATION_PRIOR, PART_CAP, CALIBRATION_CAP = 5, 2, 8.0, 0.15, 0.30
+
+
+def calibrated(df: DataFrame, outcome: str, semantic: str, examples: str = "examples", sources: str = "sources", varied: str = "varied") -> DataFrame:
+    """``df`` with ``adjustment`` and ``estimate`` (0 to 100) from a channel's reference clips.
+
+    ``outcome`` is the model's standardised prediction, ``semantic`` the bounded adjustment by similar examples; ``examples``,
+    ``sources`` and ``varied`` say what was learned from. With too little the adjustment is 0 and the estimate null.
+    """
+    active = F.coalesce((F.col(examples) >= LEAST_EXAMPLES) & (F.col(sources) >= LEAST_SOURCES) & F.col(varied), F.lit(False))
+    trusted, near = shrink(F.col(examples), CALIBRATION_PRIOR) * F.col(outcome), F.coalesce(F.col(semantic), F.lit(0.0))
+    total = clamp(clamp(trusted * PART_CAP, -PART_CAP, PART_CAP) + near, -CALIBRATION_CAP, CALIBRATION_CAP)
+    return df.withColumns({"adjustment": F.when(active, total).otherwise(0.0), "estimate": F.when(active, F.round(50.0 + 50.0 * clamp(trusted + near / PART_CAP, -1.0, 1.0), 2))})
+
+
 def long_form(df: DataFrame, keys: Sequence[str], values: dict[str, Column], name: str = "feature", value: str = "value") -> DataFrame:
     """A row for each key and value that is not null."""
     pairs = F.array(*[F.struct(F.lit(n).alias("n"), v.cast("double").alias("v")) for n, v in values.items()])

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clipsift.operators.ranking import top_k
+from clipsift.operators.vectors import block_products
+
 
 def gram(df: DataFrame, x: str, size: int) -> DataFrame:
     """(i, j, s): sums of products of vector components, from one aggregation pass without exploding rows."""
@@ -77,31 +81,93 @@ def cross_validated(df: DataFrame, group: str, key: str, x: str, target: str, fo
     return dealt.join(F.broadcast(known), "fold").select(group, key, "fold", F.col(target).alias("actual"), F.round(predicted, 6).alias("predicted"))  # a row for each fold
 
 
-def pairwise_logistic(df: DataFrame, group: str, x: str, target: str, l2: float, steps: int = 25) -> DataFrame:
-    """(feature, coefficient) of a model of which of two rows of a group is rated higher: Newton steps on sums over pairs.
+def _scaled(df: DataFrame, x: str) -> DataFrame:
+    """``df`` with ``x`` at mean 0 and deviation 1 a component; one that doesn't vary stays as wide as it is."""
+    width = len(df.select(x).head()[0])
+    row = df.agg(*[F.avg(F.get(x, F.lit(i))) for i in range(width)], *[F.stddev_pop(F.get(x, F.lit(i))) for i in range(width)]).head()
+    scales = [s if s >= 1e-12 else 1.0 for s in row[width:]]
+    return df.withColumn(x, F.array(*[(F.get(x, F.lit(i)) - row[i]) / scales[i] for i in range(width)]))
 
-    Rows are first counted by their features and rating, so equal rows make pairs only once, weighted; no pair leaves a task.
-    """
-    spark = df.sparkSession
-    cells = df.groupBy(group, x, target).agg(F.count(F.lit(1)).alias("n"))
-    left = cells.select(group, F.col(x).alias("a"), F.col(target).alias("ta"), F.col("n").alias("na"))
-    pairs = left.join(cells, group).where(F.col("ta") > F.col(target)).select(F.zip_with("a", x, lambda p, q: p - q).alias("d"), (F.col("na") * F.col("n")).cast("double").alias("w")).persist()
-    width = len(df.head()[x])
-    beta = np.zeros(width)
-    total = pairs.agg(F.sum("w")).head()[0] or 1.0
+
+def _newton(measure: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], width: int, l2: float, steps: int = 100, tolerance: float = 1e-8) -> np.ndarray:
+    """Weights that minimise a mean loss of which ``measure`` gives value, gradient and Hessian, plus the L2 term; steps are halved until it falls."""
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        loss, gradient, hessian = measure(w)
+        return loss + 0.5 * l2 * w @ w, gradient + l2 * w, hessian + l2 * np.eye(width)
+
+    w = np.zeros(width)
+    here = at(w)
     for _ in range(steps):
-        z = sum((F.get("d", F.lit(i)) * float(beta[i]) for i in range(width)), F.lit(0.0))
-        p = 1.0 / (1.0 + F.exp(-z))
-        g = [F.sum(F.col("w") * (1.0 - p) * F.get("d", F.lit(i))) for i in range(width)]
-        h = [F.sum(F.col("w") * p * (1.0 - p) * F.get("d", F.lit(i)) * F.get("d", F.lit(j))) for i in range(width) for j in range(width)]
-        row = pairs.agg(F.array(*g).alias("g"), F.array(*h).alias("h")).head()
-        grad = np.array(row["g"]) / total - l2 * beta
-        step = np.linalg.solve(np.array(row["h"]).reshape(width, width) / total + l2 * np.eye(width), grad)
-        beta = beta + step
-        if np.abs(step).max() < 1e-10:
+        step, part = np.linalg.solve(here[2], here[1]), 1.0
+        there = at(w - step)
+        while there[0] >= here[0] and part >= 1e-8 and np.linalg.norm(part * step) > tolerance * (1.0 + np.linalg.norm(w)):
+            part *= 0.5
+            there = at(w - part * step)
+        if there[0] >= here[0]:
+            break
+        w, here = w - part * step, there
+        if np.linalg.norm(part * step) <= tolerance * (1.0 + np.linalg.norm(w)):
             break
+    return w
+
+
+def pairwise_logistic(df: DataFrame, group: str, x: str, target: str, l2: float) -> DataFrame:
+    """(feature, coefficient) of a model of which of two rows of a group is rated higher, on standardised features.
+
+    Rows are counted by their features and rating, and blocks of a group's distinct rows meet blocks of the same group in tasks that
+    give sums: of each pair of blocks one loss, gradient and Hessian leaves a task, never a pair. Rows without a group take no part.
+    """
+    cells = _scaled(df, x).groupBy(group, x, target).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.xxhash64(group, x, target)).persist()
+    width = len(df.head()[x])
+
+    def measure(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def judge(_: np.ndarray, rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+            a, b = np.stack(rows[x]), np.stack(near[x])
+            z = (a @ w)[:, None] - (b @ w)[None, :]
+            pairs = np.outer(rows["n"], near["n"]) * (rows[target].to_numpy()[:, None] > near[target].to_numpy()[None, :])
+            p = np.exp(-np.logaddexp(0.0, z))  # of being mistaken
+            g, c = pairs * p, pairs * p * (1.0 - p)
+            across = a.T @ c @ b
+            h = (a * c.sum(1)[:, None]).T @ a + (b * c.sum(0)[:, None]).T @ b - across - across.T
+            s = [pairs.sum(), (pairs * np.logaddexp(0.0, -z)).sum(), *(g.sum(0) @ b - g.sum(1) @ a), *h.ravel()]
+            return pd.DataFrame({"s": [s]})
+
+        parts = block_products(cells, cells, "cell", x, group, judge, "s array<double>")
+        s = np.array(parts.agg(*[F.coalesce(F.sum(F.get("s", F.lit(i))), F.lit(0.0)) for i in range(2 + width + width * width)]).head())
+        n = s[0] or 1.0
+        return s[1] / n, s[2 : 2 + width] / n, s[2 + width :].reshape(width, width) / n
+
+    weights = _newton(measure, width, l2)
+    cells.unpersist()
+    return df.sparkSession.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(weights)], "feature int, coefficient double")
+
+
+def choice_ranker(options: DataFrame, query: str, option: str, x: str, distance: str, l2: float, seed: int = 42, margin: float = 0.1, most: int = 64) -> DataFrame:
+    """(feature, coefficient) of a model that prefers each query's option nearest to the truth, on standardised features.
+
+    The best option (ties to the smaller ``option``) is paired with those more than ``margin`` farther away; of more than ``most``
+    such options a query gives the ``most`` with the smallest hash of seed, query and option, so no query outweighs the others.
+    """
+    o = _scaled(options.select(query, option, x, distance), x)
+    best = o.groupBy(query).agg(F.min_by(F.struct(F.col(x).alias("x"), F.col(distance).alias("d")), F.struct(distance, option)).alias("_best"))
+    worse = o.join(best, query).where(F.col(distance) > F.col("_best.d") + margin)
+    drawn = top_k(worse, [query], [F.xxhash64(F.lit(seed), query, option), F.col(option)], most, "_i")
+    pairs = drawn.select(F.zip_with("_best.x", x, lambda p, q: p - q).alias("d")).persist()
+    width = len(options.head()[x])
+
+    def measure(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        d = [F.get("d", F.lit(i)) for i in range(width)]
+        z = sum((d[i] * float(w[i]) for i in range(width)), F.lit(0.0))
+        loss = F.when(z > 0, F.log1p(F.exp(-z))).otherwise(F.log1p(F.exp(z)) - z)
+        p = 1.0 / (1.0 + F.exp(z))
+        row = np.array(pairs.agg(F.avg(loss), *[F.avg(-p * x) for x in d], *[F.avg(p * (1.0 - p) * a * b) for a in d for b in d]).head(), dtype=float)
+        row = np.nan_to_num(row)  # no pairs
+        return row[0], row[1 : 1 + width], row[1 + width :].reshape(width, width)
+
+    weights = _newton(measure, width, l2)
     pairs.unpersist()
-    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(beta)], "feature int, coefficient double")
+    return options.sparkSession.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(weights)], "feature int, coefficient double")
 
 
 def cluster_bootstrap(stats: DataFrame, group: str, iterations: int, seed: int) -> DataFrame:

@@ -41,3 +41,14 @@ def slot_samples(clips: DataFrame, video: str, clip: str, slots: int, seed: int,
         apart = iou(F.col("start"), F.col("end"), F.col("_best.s"), F.col("_best.e")) <= 0
         out = out.where(F.col("slot").isNotNull() | own | apart).withColumn("slot", F.when(F.col("slot").isNull() & own, F.lit(k)).otherwise(F.col("slot")))
     return out.where("slot is not null").select(video, "slot", clip, "band")
+
+
+def annotation_queue(clips: DataFrame, done: DataFrame, video: str, clip: str, slots: int = 6, seed: int = 42) -> DataFrame:
+    """(annotation_id, video, clip, round, band) of videos that ``done`` doesn't name: samples numbered by their start.
+
+    A queue takes the first of every video, then the second, and so on: its order is (round, video), left to whoever reads it.
+    """
+    open_ = clips.join(done.select(video).distinct(), video, "left_anti")
+    taken = slot_samples(open_, video, clip, slots, seed).join(open_.select(video, clip, "start"), [video, clip])
+    n = F.row_number().over(Window.partitionBy(video).orderBy("start", clip))
+    return taken.withColumn("round", n).select(F.format_string("%s_sample_%02d", F.col(video).cast("string"), "round").alias("annotation_id"), video, clip, "round", "band")

@@ -101,3 +101,71 @@ def win03(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str07(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return b.candidates(spark, sf_dir).agg(F.count_if(t.rlike("(?i)" + "|".join(T.ADVERTISEMENTS))).alias("ads"), F.count_if(t.rlike("(?i)" + T.MUSIC)).alias("music"), F.count(F.lit(1)).alias("n"))
+
+
+@query("seq13_calibration", """SELECT clip, CASE WHEN ok THEN round(greatest(-0.3e0, least(0.3e0, greatest(-0.15e0, least(0.15e0, t * 0.15e0)) + near)), 6) ELSE 0e0 END AS adjustment,
+    CASE WHEN ok THEN round(50e0 + 50e0 * greatest(-1e0, least(1e0, t + near / 0.15e0)), 2) END AS estimate FROM (SELECT clip, n >= 5 AND s >= 2 AND hi > lo AS ok, n / (n + 8e0) * ((hook - 3e0) / 2e0) AS t, (clarity - 3e0) / 20e0 AS near
+    FROM {clips} LEFT JOIN (SELECT creator, count(*) AS n, count(DISTINCT clip % 4) AS s, max(views) AS hi, min(views) AS lo FROM {performance} GROUP BY 1) ON creator = video % 50)""")
+def seq13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips calibrated by what their creator's reports show; ten creators in fifty have none."""
+    from clipsift.operators.learning import calibrated
+
+    known = b.performance(spark, sf_dir).groupBy("creator").agg(F.count(F.lit(1)).alias("examples"), F.count_distinct(F.col("clip") % 4).alias("sources"), (F.max("views") > F.min("views")).alias("varied"))
+    c = b.clips(spark, sf_dir).select("clip", (F.col("video") % 50).alias("creator"), ((F.col("hook") - 3.0) / 2.0).alias("o"), ((F.col("clarity") - 3.0) / 20.0).alias("near"))
+    return calibrated(c.join(known, "creator", "left"), "o", "near").select("clip", six(F.col("adjustment")).alias("adjustment"), "estimate")
+
+
+_TYPES = ("download_original", "download_edited", "custom_created", "historical_selected", "review_closed_unselected", "reject", "shrug")
+
+
+@query("oth14_event_append", f"""WITH n AS (SELECT o_orderkey AS clip, {list(_TYPES)}[o_custkey % 7 + 1] AS event_type FROM orders), k AS (SELECT clip FROM {{performance}} WHERE views > 50)
+    SELECT clip, event_type, CASE WHEN event_type = 'shrug' THEN 'event type' WHEN clip NOT IN (SELECT clip FROM k) THEN 'unknown clip' END AS reason FROM n""")
+def oth14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on every order's clip, of which those with over 50 views are known."""
+    from clipsift.operators.learning import append_events
+
+    new = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip"), F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("o_custkey") % 7 + 1).cast("int")).alias("event_type"))
+    log, refused = append_events(new.where("false"), new, b.performance(spark, sf_dir).where("views > 50"))
+    return log.withColumn("reason", F.lit(None).cast("string")).unionByName(refused)
+
+
+@query("oth15_copy_feedback", """SELECT id, CASE WHEN platform NOT IN ('youtube', 'tiktok', 'instagram', 'linkedin') THEN 'platform' WHEN action NOT IN ('copied_original', 'copied_edited', 'rejected') THEN 'action'
+    WHEN trim(generated) = '' THEN 'no generated text' WHEN action <> 'rejected' AND coalesce(trim(final), '') = '' THEN 'no final text' WHEN c_custkey IS NULL THEN 'unknown pack' WHEN generated <> 'post ' || c_custkey OR platform = 'linkedin' THEN 'not the stored text'
+    WHEN action = 'copied_original' AND final IS DISTINCT FROM generated THEN 'edited' WHEN action = 'copied_edited' AND final IS NOT DISTINCT FROM generated THEN 'unchanged' END AS reason
+    FROM (SELECT *, CASE o_custkey % 4 WHEN 0 THEN generated WHEN 1 THEN generated || '!' WHEN 2 THEN ' ' END AS final FROM (SELECT o_orderkey AS id, o_custkey, ['youtube', 'tiktok', 'instagram', 'linkedin', 'radio'][o_orderkey % 5 + 1] AS platform,
+      ['copied_original', 'copied_edited', 'rejected', 'liked'][o_orderkey % 4 + 1] AS action, CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN 'other' ELSE 'post ' || o_custkey END AS generated FROM orders))
+    LEFT JOIN (SELECT c_custkey FROM customer WHERE c_nationkey > 2) ON c_custkey = o_custkey""")
+def oth15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What speaks against each order as feedback on the posts that its customer's pack holds; packs have no linkedin post."""
+    from clipsift.operators.publishing import copy_feedback
+
+    o, c = b.table(spark, sf_dir, "orders"), b.table(spark, sf_dir, "customer").where("c_nationkey > 2")
+    post = F.struct(F.concat(F.lit("post "), "c_custkey").alias("text"))
+    packs = c.select(F.col("c_custkey").alias("pack_id"), F.to_json(F.struct(F.struct(*[post.alias(p) for p in ("youtube", "tiktok", "instagram")]).alias("platforms"))).alias("pack_json"))
+    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k + 1).cast("int"))
+    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    f = o.select(
+        k.alias("id"), u.alias("pack_id"), pick(("youtube", "tiktok", "instagram", "linkedin", "radio"), k % 5).alias("platform"), pick(("copied_original", "copied_edited", "rejected", "liked"), k % 4).alias("action"),
+        F.when(k % 11 == 0, "").when(k % 7 == 0, "other").otherwise(F.concat(F.lit("post "), u)).alias("generated"),
+    )
+    g = F.col("generated")
+    f = f.withColumn("final", F.when(F.col("pack_id") % 4 == 0, g).when(F.col("pack_id") % 4 == 1, F.concat(g, F.lit("!"))).when(F.col("pack_id") % 4 == 2, " "))
+    return copy_feedback(f, packs).select("id", "reason")
+
+
+@query("top11_annotation_queue")
+def top11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips to annotate of videos whose label isn't urgent."""
+    from clipsift.operators.sampling import annotation_queue
+
+    return annotation_queue(b.clips(spark, sf_dir), b.labels_iv(spark, sf_dir).where("priority = 1"), "video", "clip")
+
+
+@query("str18_platform_packs")
+def str18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of every document for four platforms; topics are those of its source."""
+    from clipsift.operators.publishing import platform_packs
+    from clipsift.operators.topics import topics
+
+    docs = b.table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", "text")
+    return platform_packs(docs, topics(docs, "source", "doc_id", "text", 6), "doc_id", "text")

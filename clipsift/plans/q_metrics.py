@@ -164,6 +164,16 @@ def ml03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_logistic(j, "grp", "x", "actual", l2=0.1)
 
 
+@query("ml04_choice_ranker")
+def ml04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a video's clips starts nearest to its label."""
+    from clipsift.operators.models import choice_ranker
+
+    o = b.clips(spark, sf_dir).join(b.labels_iv(spark, sf_dir).select("video", F.col("start").alias("truth")), "video")
+    o = o.select("video", "clip", F.array("hook", "completeness", "clarity", F.col("start") / 100.0).alias("x"), F.abs(F.col("start") - F.col("truth")).alias("distance"))
+    return choice_ranker(o, "video", "clip", "x", "distance", l2=0.1)
+
+
 @query("ml07_grouped_cv")
 def ml07(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clipsift.operators.models import cross_validated
