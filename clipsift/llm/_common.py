@@ -91,3 +91,35 @@ def where_text(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[lis
                 yield part.filter(pa.array(decide([t or "" for t in part.column(at).to_pylist()])))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def whole_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
+    """(vec_id, x) of the rows whose vector is neither null nor holds a null or non-finite entry.
+
+    ``x`` is ``floor(scale * entry)`` of each entry as a double, as little-endian 64-bit numbers in one binary value, so that equal
+    vectors are equal keys; numbers beyond a long's range become its ends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]  # null entries become nan
+            at -= at[0]
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+            with np.errstate(over="ignore", invalid="ignore"):
+                x = np.clip(np.floor(scale * np.nan_to_num(values)), -(2.0**63), 2.0**63 - 1024).astype("<i8")
+            binary = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(x)])
+            fine = pa.compute.and_(pa.array(bad[at[1:]] == bad[at[:-1]]), lists.is_valid())
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary], names=["vec_id", "x"]).filter(fine)
+
+    v = rows.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    return v.mapInArrow(run, "vec_id long, x binary")
+
+
+def stacked(column: pa.Array) -> np.ndarray:
+    """Binary values of ``whole_vectors`` that are equally long, as a matrix of 64-bit numbers."""
+    if not len(column):
+        return np.zeros((0, 0), np.int64)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], "<i8", (at[-1] - at[0]) // 8, at[0]).reshape(len(column), -1)
