@@ -34,7 +34,7 @@ from clipsift.llm._common import cut, drop_cut, stacked, whole_vectors
 
 #: Distinct vectors of a shard, about; queries of a block; shards of a block of heads.
 SHARD_ROWS, QUERY_BLOCK, HEAD_BLOCK = 8192, 256, 512
-#: Rounds in which a list is read to its end, and the share of vectors at which reading stops.
+#: Rounds in which a list is read to its end (the first takes a quarter), and the share of vectors at which reading stops.
 ROUNDS, FEW = 12, 1 / 64
 _EXACT = 1 << 53
 _MOST = (1 << 63) - 1
@@ -47,9 +47,10 @@ def _largest(values: np.ndarray) -> int:
     return max(abs(int(values.max(initial=0))), abs(int(values.min(initial=0))))
 
 
-def _kth(values: np.ndarray, k: int):
-    """The k-th largest of at least k values."""
-    return np.sort(values)[-k] if values.dtype == object else np.partition(values, len(values) - k)[len(values) - k]
+def _kth(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row of at least k values."""
+    at = values.shape[1] - k
+    return (np.sort(values, axis=1) if values.dtype == object else np.partition(values, at, axis=1))[:, at]
 
 
 class Lists:
@@ -61,60 +62,57 @@ class Lists:
         self.largest = _largest(x)
         self._as: dict[type, tuple[np.ndarray, np.ndarray]] = {}
 
-    def numbers(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The vectors, their lists' values, and the query in numbers in which no sum of products is rounded."""
-        kind = np.float64 if self.x.shape[1] * max(self.largest, 1) * max(_largest(q), 1) < _EXACT else object
+    def numbers(self, largest: int, bars: int) -> tuple[type, np.ndarray, np.ndarray]:
+        """Numbers in which no sum of products is rounded, and in them the vectors and the lists' values (both d x n)."""
+        most = max(self.x.shape[1] * max(self.largest, 1) * max(largest, 1), bars)
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < _EXACT else object
         if kind not in self._as:
-            x = self.x.astype(kind)
-            self._as[kind] = (x, np.take_along_axis(x.T, self.order, axis=1))
-        return *self._as[kind], q.astype(kind)
-
-    def search(self, query: np.ndarray, k: int, bar: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes and scores of the k best, and of all that equal the last of them; none below ``bar``."""
-        x, values, q = self.numbers(query)
-        n, order = len(x), self.order
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)  # lists of the others say nothing
-        lists = np.concatenate([up, down])
-        best, worst = values[lists, np.where(query[lists] > 0, n - 1, 0)] * q[lists], values[lists, np.where(query[lists] > 0, 0, n - 1)] * q[lists]
-        resolved = np.zeros(n, bool)
-        score = np.zeros(n, x.dtype)
-
-        def resolve(nodes: np.ndarray) -> None:
-            nodes = nodes[~resolved[nodes]]
-            score[nodes] = x[nodes] @ q
-            resolved[nodes] = True
-
-        def raised(bar, by: np.ndarray):
-            return bar if len(by) < k else max(_kth(by, k), bar) if bar is not None else _kth(by, k)
-
-        read, known = 0, np.zeros(n, x.dtype)
-        seen = np.zeros((len(lists), n), x.dtype if x.dtype != object else np.int8)
-        left = np.arange(n)
-        if bar is not None and best.sum() < bar:  # the heads already fall short
-            return left[:0], score[:0]
-        while read < n and len(left) > max(4 * k, n * FEW):
-            stop = min(n, read + -(-n // ROUNDS))
-            ids = np.concatenate([order[up, n - stop : n - read], order[down, read:stop]])
-            got = np.concatenate([values[up, n - stop : n - read] * q[up][:, None], values[down, read:stop] * q[down][:, None]])
-            if x.dtype == object:
-                np.add.at(known, ids.ravel(), got.ravel())
-            else:
-                known += np.bincount(ids.ravel(), weights=got.ravel(), minlength=n)
-            np.put_along_axis(seen, ids, 1, axis=1)
+            x = self.x.T.astype(kind).copy()
+            self._as[kind] = (x, np.take_along_axis(x, self.order, axis=1))
+        return kind, *self._as[kind]
+
+    def search(self, queries: np.ndarray, k: int, bars: list[int | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, nodes, scores): of each query the k best, and all that equal the last of them; none below its bar.
+
+        The queries read together: what a list has shown is the same for all that read it from the same end, so that bounds of all
+        are one product of what was read (else where a list stands, or its worst) with the queries' positive and negative parts.
+        """
+        known = [abs(b) for b in bars if b is not None]
+        kind, x, values = self.numbers(_largest(queries), max(known, default=0))
+        d, n = x.shape
+        asked = queries.astype(kind)
+        parts = np.concatenate([np.maximum(asked, 0), np.minimum(asked, 0)], axis=1)  # lists read from the top, from the bottom
+        bar = np.array([-np.inf if b is None else b for b in bars], dtype=kind)
+        seen = np.zeros((2 * d, n), bool)
+        both = np.concatenate([x, x])
+        worst = np.concatenate([values[:, 0], values[:, -1]])[:, None]
+        live = np.flatnonzero(parts @ np.concatenate([values[:, -1], values[:, 0]]) >= bar)  # else the heads already fall short
+        read = 0
+        while len(live):
+            stop = min(n, max(n // 4, read + -(-n // ROUNDS), 1))
+            np.put_along_axis(seen[:d], self.order[:, n - stop : n - read], True, axis=1)
+            np.put_along_axis(seen[d:], self.order[:, read:stop], True, axis=1)
             read = stop
-            stand = np.concatenate([values[up, n - read] * q[up], values[down, read - 1] * q[down]])
-            as_stand, as_worst = np.stack([stand, worst]) @ seen
-            upper = (known + (stand.sum() - as_stand))[left]
-            lower = (known + (worst.sum() - as_worst))[left]
-            bar = raised(bar, lower)
-            promising = left[np.argsort(upper, kind="stable")[-2 * k :]] if x.dtype == object else left[np.argpartition(upper, -min(2 * k, len(upper)))[-2 * k :]]
-            resolve(promising)
-            bar = raised(bar, score[resolved])
-            left = left[upper >= bar]
-        resolve(left)
-        bar = raised(bar, score[left])
-        left = left if bar is None else left[score[left] >= bar]
-        return left, score[left]
+            stand = np.concatenate([values[:, n - read], values[:, read - 1]])[:, None]
+            upper, lower = parts[live] @ np.where(seen, both, stand), parts[live] @ np.where(seen, both, worst)
+            if n >= k:
+                bar[live] = np.maximum(bar[live], _kth(lower, k))
+                likely = np.argpartition(upper, n - min(2 * k, n), axis=1)[:, n - min(2 * k, n) :] if kind != object else np.argsort(upper, axis=1)[:, -2 * k :]
+                sure = np.stack([asked[q] @ x[:, some] for q, some in zip(live, likely)])
+                bar[live] = np.maximum(bar[live], _kth(sure, k))
+            left = upper >= bar[live][:, None]
+            done = (left.sum(axis=1) <= max(4 * k, n * FEW)) | (read == n)
+            for row in np.flatnonzero(done):
+                q = live[row]
+                nodes = np.flatnonzero(left[row])
+                score = asked[q] @ x[:, nodes]
+                if len(nodes) >= k:
+                    fit = score >= max(bar[q], _kth(score[None, :], k)[0])
+                    nodes, score = nodes[fit], score[fit]
+                else:
+                    nodes, score = nodes[score >= bar[q]], score[score >= bar[q]]
+                yield int(q), nodes, score
+            live = live[~done]
 
 
 def nodes_of(vectors: DataFrame, ids: int) -> DataFrame:
@@ -188,10 +186,10 @@ def search(index: DataFrame, blocks: DataFrame, shards: int, answers: int) -> Da
                     ready[d] = (Lists(stacked(table.column("x").combine_chunks())), table.column("ids_of").combine_chunks())
                 lists, ids = ready[d]
                 out: list[tuple[int, int, int]] = []
-                for q, x, bar in zip(np.frombuffer(row["ids"], np.int64).tolist(), np.frombuffer(row["x"], "<i8").reshape(-1, d), np.frombuffer(row["bar"], np.int64).tolist()):
-                    found, score = lists.search(x, answers, None if bar == -_MOST - 1 else bar)
+                names, bars = np.frombuffer(row["ids"], np.int64).tolist(), np.frombuffer(row["bar"], np.int64).tolist()
+                for q, found, score in lists.search(np.frombuffer(row["x"], "<i8").reshape(-1, d), answers, [None if b == -_MOST - 1 else b for b in bars]):
                     each = [(-int(s), i) for s, some in zip(score.tolist(), ids.take(pa.array(found)).to_pylist()) for i in some]
-                    out += [(q, i, s) for s, i in sorted(each)[:answers]]
+                    out += [(names[q], i, s) for s, i in sorted(each)[:answers]]
                 columns = list(zip(*out)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([max(min(-s, _MOST), -_MOST - 1) for s in columns[2]], pa.int64())], names=["qid", "vec_id", "score"])
 

@@ -234,11 +234,13 @@ def test_lists_stop_early_and_keep_ties():
     rng = np.random.default_rng(9)
     x = rng.integers(-40, 40, (3000, 8))
     lists = sorted_lists.Lists(x)
-    for q in rng.integers(-40, 40, (40, 8)):
-        scores = x @ q
-        least = np.sort(scores)[-6]
-        for bar in (None, int(least), int(least) - 50):
-            found, score = lists.search(q, 6, bar)
-            assert sorted(found) == np.flatnonzero(scores >= least).tolist() and (score == scores[found]).all()
-        assert len(lists.search(q, 6, int(scores.max()) + 1)[0]) == 0
-    assert len(lists.search(np.zeros(8, np.int64), 6)[0]) == 3000
+    asked = rng.integers(-40, 40, (40, 8))
+    asked[7] = 0
+    scores = asked @ x.T
+    least = np.sort(scores, axis=1)[:, -6].tolist()
+    for by in (None, 0, 50):
+        got = {q: (found, score) for q, found, score in lists.search(asked, 6, [None if by is None else s - by for s in least])}
+        assert len(got) == 40 and len(got[7][0]) == 3000
+        for q, (found, score) in got.items():
+            assert found.tolist() == np.flatnonzero(scores[q] >= least[q]).tolist() and (score == scores[q][found]).all()
+    assert not list(lists.search(asked, 6, [int(s.max()) + 1 for s in scores])) or all(len(f) == 0 for _, f, _ in lists.search(asked, 6, [int(s.max()) + 1 for s in scores]))
