@@ -120,3 +120,20 @@ def trend_words(text: Column) -> Column:
     """Words (inner hyphens and apostrophes kept) that audience trends are learned on."""
     found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9][a-z0-9'-]{2,})"))
     return F.filter(found, lambda t: ~among(t, TREND_STOPWORDS))
+
+
+#: The vector that ridge models and rankers take, in this order.
+MODEL_FEATURES = ("duration_seconds", "word_count", "sentence_count", *FEATURES)
+SENTENCE_STOP = r"[.!?][\"'”’)]*(?:\s|$)"
+
+
+def model_vector(text: Column, tok: Column, duration: Column, word_count: Column, sentence_count: Column) -> Column:
+    """The 15 features of a candidate, whose words and sentences were counted when it was cut."""
+    f = transcript_features(text, tok, duration, word_count, sentence_count)
+    return F.array(*[c.cast("double") for c in (duration, word_count, sentence_count)], *[f[name].cast("double") for name in FEATURES])
+
+
+def queue_vector(text: Column, tok: Column, duration: Column) -> Column:
+    """The same features where only a queue's text is left: words are its tokens, sentences its stops, one at least. Null without a text."""
+    stops = F.greatest(F.lit(1), F.regexp_count(text, F.lit(SENTENCE_STOP)))
+    return F.when(F.length(F.trim(text)) > 0, model_vector(text, tok, duration, F.size(tok), stops))
