@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipsift.functions.scalars import clamp, shrink, six
-from clipsift.operators.ranking import centred_percentile
+from clipsift.operators.order import centred_percentile, quantiles, with_ranks
 
 #: What an editorial decision says about a clip.
 EDITORIAL_WEIGHTS = {"download_original": 1.0, "download_edited": 1.0, "custom_created": 1.0, "historical_selected": 1.0, "review_closed_unselected": -0.35, "reject": -1.0}
@@ -57,8 +57,8 @@ def long_form(df: DataFrame, keys: Sequence[str], values: dict[str, Column], nam
 def numeric_summaries(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Count, extremes, exact quartiles (interpolated) and mean of each metric; missing and non-finite values are left out."""
     rows = long_form(df, [], {m: F.col(m) for m in metrics}, "metric", "v").where(~F.isnan("v") & (F.abs("v") != float("inf")))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = rows.groupBy("metric").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("m"), q.alias("q"))
+    found = rows.groupBy("metric").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("m"))
+    found = found.join(quantiles(rows, ["metric"], "v", [0.25, 0.5, 0.75]), "metric")
     return found.select("metric", "n", six(F.col("lo")).alias("minimum"), *[six(F.col("q")[k]).alias(a) for k, a in enumerate(("p25", "median", "p75"))], six(F.col("m")).alias("mean"), six(F.col("hi")).alias("maximum"))
 
 
@@ -93,8 +93,7 @@ def outcome_components(reports: DataFrame) -> DataFrame:
 def outcome_targets(components: DataFrame) -> DataFrame:
     """(creator, clip, target): the mean of a clip's centred percentiles among the creator's clips, over components that two clips have."""
     keys = ["creator", "component"]
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ranked = components.withColumns({"n": n, "p": centred_percentile("value", keys)})
+    ranked = with_ranks(components, keys, {"at": "value"}).withColumns({"n": F.col("at.rows"), "p": centred_percentile("at")})
     return ranked.where("n >= 2").groupBy("creator", "clip").agg(F.avg("p").alias("target"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsift.functions.scalars import six
-from clipsift.operators.ranking import average_rank
+from clipsift.operators.order import average_rank, pair_counts, with_ranks  # noqa: F401
 
 
 def safe_corr(x: str, y: str) -> Column:
@@ -19,23 +19,11 @@ def safe_corr(x: str, y: str) -> Column:
 
 def regression_metrics(df: DataFrame, keys: list[str], actual: str, predicted: str) -> DataFrame:
     """n, mean absolute and root mean squared error, Spearman's correlation of each group."""
-    ranked = df.withColumns({"_ra": average_rank(actual, keys), "_rp": average_rank(predicted, keys)})
+    ranked = with_ranks(df, keys, {"_pa": actual, "_pp": predicted}).withColumns({"_ra": average_rank("_pa"), "_rp": average_rank("_pp")})
     gap = F.col(actual) - F.col(predicted)
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), six(F.avg(F.abs(gap))).alias("mae"), six(F.sqrt(F.avg(gap * gap))).alias("rmse"), six(safe_corr("_ra", "_rp")).alias("spearman"))
 
 
-def pair_counts(df: DataFrame, keys: list[str], actual: str, predicted: str) -> DataFrame:
-    """Comparable pairs of each group and how many the prediction orders rightly, ties counting half.
-
-    Pairs of rows are never made: rows are counted by their two values first, and the few distinct values of a rating scale meet.
-    """
-    cells = df.groupBy(*keys, actual, predicted).agg(F.count(F.lit(1)).alias("n"))
-    grid = cells.alias("a").join(cells.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(actual).alias("_a"), F.col(predicted).alias("_p"), F.col("n").alias("_n")).alias("b"), [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_a") < F.col(actual)])
-    weight = F.col("n") * F.col("_n")
-    right = F.when(F.col(predicted) > F.col("_p"), 1.0).when(F.col(predicted) == F.col("_p"), 0.5).otherwise(0.0)
-    return grid.groupBy(*keys).agg(F.sum(weight).alias("pairs"), F.sum(weight * right).alias("right"))
-
-
 def top_choice(df: DataFrame, keys: list[str], key: str, actual: str, predicted: str, tolerance: float = 1e-9) -> DataFrame:
     """Whether the best predicted row of each group is one of the best rated, and how much it lies below; ties go to the smaller id."""
     found = df.groupBy(*keys).agg(F.max_by(actual, F.struct(F.col(predicted), -F.col(key))).alias("got"), F.max(actual).alias("best"), F.count(F.lit(1)).alias("n"))
@@ -54,7 +42,7 @@ def random_expectation(df: DataFrame, keys: list[str], actual: str, k: int = 3)
 
 def roc_auc(df: DataFrame, keys: list[str], positive: Column, score: str) -> DataFrame:
     """Area under the curve from rank sums, ties counting half; null without both classes."""
-    ranked = df.withColumns({"_r": average_rank(score, keys), "_y": positive.cast("int")})
+    ranked = with_ranks(df, keys, {"_ps": score}).withColumns({"_r": average_rank("_ps"), "_y": positive.cast("int")})
     g = ranked.groupBy(*keys).agg(F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("q"), F.sum(F.col("_r") * F.col("_y")).alias("s"))
     area = F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0, F.col("p") * F.col("q"))
     return g.select(*keys, six(area).alias("auc"))

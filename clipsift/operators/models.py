@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.operators.ranking import top_k
+from clipsift.operators.ranking import positions, top_k
 from clipsift.operators.vectors import block_products
 
 
@@ -170,25 +170,48 @@ def choice_ranker(options: DataFrame, query: str, option: str, x: str, distance:
     return options.sparkSession.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(weights)], "feature int, coefficient double")
 
 
-def cluster_bootstrap(stats: DataFrame, group: str, iterations: int, seed: int) -> DataFrame:
-    """Difference of two models' pairwise accuracy with a 95 % interval: groups are drawn with replacement.
+#: Groups of a block of draws.
+DRAWN = 1024
 
-    ``stats`` has (group, pairs, reference, challenger) counts. Each group's number of draws in an iteration is Poisson with mean
-    1, from a hash of (seed, iteration, group): groups stay where they are and only one row an iteration is summed.
+
+def cluster_bootstrap(stats: DataFrame, group: str, measures: Mapping[str, tuple[str, str, str, bool]], iterations: int = 10_000, seed: int = 42, block: int = DRAWN) -> DataFrame:
+    """(measure, estimate, low, high, improved): two models' difference in each measure, with a 95 % interval from groups drawn with replacement.
+
+    ``measures`` maps a name to columns of ``stats`` (a row for each group): sums for the reference and for the challenger, the sum
+    that both are divided by, and whether lower is better. ``improved`` is the share of draws in which the challenger is better.
+
+    As many groups are drawn in each iteration as there are, as one multinomial draw that is split: groups are numbered and dealt to
+    blocks, every task draws the same numbers for the blocks from the iteration's seed, and a block deals its own number out to its
+    groups. So no draw and no group leaves its task but as sums, and every iteration's draws come to the number of groups exactly.
     """
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "iteration", group), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cumulative, term, times = 0.0, float(np.exp(-1)), F.lit(0)
-    for k in range(12):
-        cumulative += term
-        times = times + (F.col("u") > cumulative).cast("int")
-        term /= k + 1
-    drawn = stats.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations)))).withColumn("u", uniform)
-    drawn = drawn.withColumn("k", F.when(F.col("iteration") == 0, 1).otherwise(times))  # iteration 0 takes every group once
-    per = drawn.groupBy("iteration").agg(*[F.sum(F.col("k") * F.col(c)).alias(c) for c in ("pairs", "reference", "challenger")])
-    delta = per.where("pairs > 0").select("iteration", ((F.col("challenger") - F.col("reference")) / F.col("pairs")).alias("d"))
+    columns = sorted({c for m in measures.values() for c in m[:3]})
+    hashed = F.pmod(F.xxhash64(F.lit(seed), F.col(group).cast("string")), F.lit(1 << 61))
+    rows = positions(stats.select(hashed.alias("_h"), *[F.col(c).cast("double").alias(c) for c in columns]), [], "_h", "_place", width=1 << 49)
+    dealt = rows.withColumn("_block", F.floor((F.col("_place") - 1) / block)).drop("_h").persist()
+    groups = dealt.count()
+    sizes = np.full(-(-groups // block), block)
+    if groups:
+        sizes[-1] = groups - block * (len(sizes) - 1)
+    share = sizes / max(groups, 1)
+
+    def draw(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
+        k, x = int(key[0]), some.sort_values("_place")[columns].to_numpy()
+        out = np.zeros((iterations + 1, len(columns)))
+        out[0] = x.sum(axis=0)  # iteration 0 takes every group once
+        for i in range(1, iterations + 1):
+            own = np.random.default_rng([seed, i]).multinomial(groups, share)[k]
+            out[i] = np.random.default_rng([seed, i, k]).multinomial(own, np.full(len(x), 1 / len(x))) @ x
+        return pd.DataFrame({"iteration": np.arange(iterations + 1), **{c: out[:, j] for j, c in enumerate(columns)}})
+
+    schema = ", ".join(["iteration int", *[f"`{c}` double" for c in columns]])
+    per = dealt.groupBy("_block").applyInPandas(draw, schema).groupBy("iteration").agg(*[F.sum(c).alias(c) for c in columns])
+    deltas = [F.struct(F.lit(name).alias("measure"), F.try_divide(F.col(cha) - F.col(ref), F.col(by)).alias("d"), F.lit(low).alias("low")) for name, (ref, cha, by, low) in measures.items()]
+    each = per.select("iteration", F.explode(F.array(*deltas)).alias("m")).select("iteration", "m.*").where(F.col("d").isNotNull())
     own = F.when(F.col("iteration") > 0, F.col("d"))
-    found = delta.agg(F.max(F.when(F.col("iteration") == 0, F.col("d"))).alias("estimate"), F.percentile(own, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((own > 0).cast("int")).alias("improved"))
-    return found.select(F.round("estimate", 6).alias("estimate"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"), F.round("improved", 6).alias("improved"))
+    better = F.when(F.col("low"), own < 0).otherwise(own > 0).cast("int")
+    # a row an iteration and measure: their exact quantiles are of one bounded list
+    found = each.groupBy("measure").agg(F.max(F.when(F.col("iteration") == 0, F.col("d"))).alias("estimate"), F.percentile(own, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg(better).alias("improved"))
+    return found.select("measure", F.round("estimate", 6).alias("estimate"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"), F.round("improved", 6).alias("improved"))
 
 
 def balanced_ridge(df: DataFrame, source: str, x: str, target: str, prior: float) -> DataFrame:

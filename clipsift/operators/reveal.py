@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clipsift.functions.scalars import iou, six
 from clipsift.operators.joins import greedy_matches
 from clipsift.operators.metrics import safe_corr
-from clipsift.operators.ranking import average_rank
+from clipsift.operators.order import average_rank, with_ranks
 
 #: Overlap from which a prediction can be matched, and from which it counts as recovered.
 MATCHED, RECOVERED = 0.1, 0.5
@@ -40,7 +40,7 @@ def summary(matches: DataFrame, actuals: DataFrame) -> DataFrame:
     clips = actuals.groupBy("experiment").agg(F.count(F.lit(1)).alias("clips"), F.count_if(known).alias("aligned"))
     found = matches.groupBy("experiment").agg(F.count(F.lit(1)).alias("predictions"), F.countDistinct(F.when(F.col("recovered"), F.col("actual"))).alias("hit"), F.avg("iou").alias("mean_iou"))
     pairs = matches.where(F.col("performance").isNotNull() & F.col("actual").isNotNull() & F.col("estimate").isNotNull())
-    ranked = pairs.withColumns({"_p": average_rank("estimate", ["experiment"]), "_a": average_rank("performance", ["experiment"])})
+    ranked = with_ranks(pairs, ["experiment"], {"_pe": "estimate", "_pp": "performance"}).withColumns({"_p": average_rank("_pe"), "_a": average_rank("_pp")})
     correlation = ranked.groupBy("experiment").agg(F.round(safe_corr("_p", "_a"), 4).alias("rank_correlation"))
     met = found.join(clips, "experiment", "left").join(correlation, "experiment", "left")
     recall = F.when(F.col("aligned") > 0, F.round(F.col("hit") / F.col("aligned"), 4))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipsift.functions.scalars import shrink, six
-from clipsift.operators import learning, ranking
+from clipsift.operators import learning, order, ranking
 from clipsift.plans import bridges as b
 from clipsift.plans.registry import query
 
@@ -99,9 +99,11 @@ def agg11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg12(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.feedback(spark, sf_dir)
     rates = selection_rate(["creator"], e)
-    spans = e.groupBy("creator").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("clip").alias("clips"), six(F.percentile(F.when(F.col("event_type") == "download_edited", F.col("end") - F.col("start")), F.lit(0.5))).alias("median_span"))
+    spans = e.groupBy("creator").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("clip").alias("clips"))
+    edited = e.where("event_type = 'download_edited'").select("creator", (F.col("end") - F.col("start")).alias("span"))
+    middle = order.quantiles(edited, ["creator"], "span", [0.5]).select("creator", six(F.col("q")[0]).alias("median_span"))
     reports = b.performance(spark, sf_dir).groupBy("creator").agg(F.count(F.lit(1)).alias("reports"), six(F.avg("views")).alias("mean_views"))
-    return spans.join(rates, "creator").join(reports, "creator", "left").select("creator", "events", "clips", "presented", "selected", "rate", "median_span", "reports", "mean_views")
+    return spans.join(rates, "creator").join(middle, "creator", "left").join(reports, "creator", "left").select("creator", "events", "clips", "presented", "selected", "rate", "median_span", "reports", "mean_views")
 
 
 @query("agg13_coverage_counters", "SELECT " + "'views' AS metric, count(views) AS present, count(*) - count(views) AS missing FROM {performance}" + "".join(f" UNION ALL SELECT '{m}', count({m}), count(*) - count({m}) FROM {{performance}}" for m in METRICS[1:]))
@@ -112,7 +114,9 @@ def agg13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("agg14_boundary_change", """SELECT event_type, count(*) AS n, round(quantile_cont(abs("start" - event_id % 290) + abs("end" - "start" - 25e0), 0.5), 6) AS median_change FROM {feedback} WHERE event_type LIKE 'download%' GROUP BY 1""")
 def agg14(spark: SparkSession, sf_dir: str) -> DataFrame:
     change = F.abs(F.col("start") - F.col("event_id") % 290) + F.abs(F.col("end") - F.col("start") - 25.0)
-    return b.feedback(spark, sf_dir).where(F.col("event_type").startswith("download")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), six(F.percentile(change, F.lit(0.5))).alias("median_change"))
+    e = b.feedback(spark, sf_dir).where(F.col("event_type").startswith("download")).select("event_type", change.alias("change"))
+    middle = order.quantiles(e, ["event_type"], "change", [0.5]).select("event_type", six(F.col("q")[0]).alias("median_change"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).join(middle, "event_type")
 
 
 @query("agg15_weighted_rate", """SELECT creator, round(sum(average_view_percentage * w) / nullif(sum(w), 0), 6) AS rate FROM (SELECT *, coalesce(nullif(engaged_views, 0), views)::DOUBLE AS w FROM {performance}) GROUP BY 1""")
@@ -173,7 +177,8 @@ def win14(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win15(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.greatest("views", F.lit(1))
     p = b.performance(spark, sf_dir).select("creator", "clip", "views", (F.col("likes").cast("double") / v).alias("lr"), (F.col("comments").cast("double") / v).alias("cr"))
-    share = {c: ranking.mid_percentile(c, ["creator"]) for c in ("views", "lr", "cr")}
+    p = order.with_ranks(p, ["creator"], {f"at_{c}": c for c in ("views", "lr", "cr")})
+    share = {c: order.mid_percentile(f"at_{c}") for c in ("views", "lr", "cr")}
     return p.select("creator", "clip", six(100.0 * (0.5 * share["views"] + 0.3 * share["lr"] + 0.2 * share["cr"])).alias("index100"))
 
 
@@ -233,7 +238,8 @@ def jon28(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mth11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.20 * tanh(z / 2) of a clip's mean against its creator's median, where at least ten points are known."""
     points = b.feedback(spark, sf_dir).groupBy("creator", "clip").agg((F.avg("value") / 50.0).alias("m"))
-    shape = points.groupBy("creator").agg(F.count(F.lit(1)).alias("n"), F.percentile("m", F.lit(0.5)).alias("centre"), F.stddev_pop("m").alias("spread"))
+    shape = points.groupBy("creator").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("m").alias("spread"))
+    shape = shape.join(order.quantiles(points, ["creator"], "m", [0.5]).select("creator", F.col("q")[0].alias("centre")), "creator")
     z = (F.col("m") - F.col("centre")) / F.greatest(F.lit(0.05), F.col("spread"))
     return points.join(shape, "creator").select("creator", "clip", six(F.when(F.col("n") >= 10, 0.2 * (F.exp(z) - 1.0) / (F.exp(z) + 1.0)).otherwise(0.0)).alias("adjustment"))
 

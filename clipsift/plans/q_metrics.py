@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipsift.functions.scalars import six
-from clipsift.operators import metrics, ranking
+from clipsift.operators import metrics, order, ranking
 from clipsift.plans import bridges as b
 from clipsift.plans.registry import query
 
 
 @query("fpct1_avg_rank", "SELECT grp, doc_id, round(ra, 6) AS avg_rank FROM {avgrank}")
 def fpct1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.judged(spark, sf_dir).withColumn("avg_rank", six(ranking.average_rank("actual", ["grp"]))).select("grp", "doc_id", "avg_rank")
+    return order.with_ranks(b.judged(spark, sf_dir), ["grp"], {"at": "actual"}).withColumn("avg_rank", six(order.average_rank("at"))).select("grp", "doc_id", "avg_rank")
 
 
 MID = "CASE WHEN n < 2 OR hi = lo THEN {flat} ELSE {scale} * ((ra - 1) / (n - 1)) + {shift} END"
@@ -22,23 +22,23 @@ MID_SQL = "SELECT grp, doc_id, round(CASE WHEN n < 2 OR hi = lo THEN %s ELSE %s
 
 @query("fpct2_mid_percentile", MID_SQL % ("0.5e0", "(ra - 1) / (n - 1)"))
 def fpct2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.judged(spark, sf_dir).withColumn("percentile", six(ranking.mid_percentile("actual", ["grp"]))).select("grp", "doc_id", "percentile")
+    return order.with_ranks(b.judged(spark, sf_dir), ["grp"], {"at": "actual"}).withColumn("percentile", six(order.mid_percentile("at"))).select("grp", "doc_id", "percentile")
 
 
 @query("fpct3_centred_percentile", MID_SQL % ("0e0", "2 * ((ra - 1) / (n - 1)) - 1"))
 def fpct3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.judged(spark, sf_dir).withColumn("percentile", six(ranking.centred_percentile("actual", ["grp"]))).select("grp", "doc_id", "percentile")
+    return order.with_ranks(b.judged(spark, sf_dir), ["grp"], {"at": "actual"}).withColumn("percentile", six(order.centred_percentile("at"))).select("grp", "doc_id", "percentile")
 
 
 @query("fpct4_strict_percentile", "SELECT grp, doc_id, round(percent_rank() OVER (PARTITION BY grp ORDER BY predicted), 6) AS percentile FROM {judged}")
 def fpct4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.judged(spark, sf_dir).withColumn("percentile", six(ranking.strict_percentile("predicted", ["grp"]))).select("grp", "doc_id", "percentile")
+    return order.with_ranks(b.judged(spark, sf_dir), ["grp"], {"at": "predicted"}).withColumn("percentile", six(order.strict_percentile("at"))).select("grp", "doc_id", "percentile")
 
 
 @query("win16_equal_rank_ensemble", "SELECT grp, doc_id, round((percent_rank() OVER (PARTITION BY grp ORDER BY predicted) + percent_rank() OVER (PARTITION BY grp ORDER BY challenger)) / 2e0, 6) AS ensemble FROM {judged}")
 def win16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = ranking.strict_percentile("predicted", ["grp"]) + ranking.strict_percentile("challenger", ["grp"])
-    return b.judged(spark, sf_dir).withColumn("ensemble", six(both / 2.0)).select("grp", "doc_id", "ensemble")
+    both = order.strict_percentile("p") + order.strict_percentile("c")
+    return order.with_ranks(b.judged(spark, sf_dir), ["grp"], {"p": "predicted", "c": "challenger"}).withColumn("ensemble", six(both / 2.0)).select("grp", "doc_id", "ensemble")
 
 
 @query("agg19_regression_metrics", "SELECT grp, count(*) AS n, round(avg(abs(actual - predicted)), 6) AS mae, round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rp) > 0 THEN round(corr(ra, rp), 6) END AS spearman FROM {avgrank} GROUP BY 1")
@@ -98,7 +98,9 @@ def agg27(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg28(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = b.judged(spark, sf_dir).withColumn("e", F.abs(F.col("actual") - F.col("predicted")))
     within = lambda k: six(F.avg((F.col("e") <= k).cast("int")))
-    return j.groupBy("grp").agg(six(F.avg("e")).alias("mae"), six(F.percentile("e", F.lit(0.5))).alias("median_ae"), within(1).alias("within_1"), within(2).alias("within_2"), six(F.avg(F.when(F.col("actual") != 4, F.col("e")))).alias("adjusted_mae"))
+    middle = order.quantiles(j, ["grp"], "e", [0.5]).select("grp", six(F.col("q")[0]).alias("median_ae"))
+    found = j.groupBy("grp").agg(six(F.avg("e")).alias("mae"), within(1).alias("within_1"), within(2).alias("within_2"), six(F.avg(F.when(F.col("actual") != 4, F.col("e")))).alias("adjusted_mae"))
+    return found.join(middle, "grp")
 
 
 @query("agg29_proposal_gain", "SELECT edge, round(avg(abs(actual - p)), 6) AS mae, round(avg(abs(actual - o)), 6) AS no_change_mae, round(avg(abs(actual - o)) - avg(abs(actual - p)), 6) AS improvement, round(avg((abs(actual - p) <= 2)::INT), 6) AS within_2 FROM (SELECT 'start' AS edge, actual, predicted AS p, 3e0 AS o FROM {judged} UNION ALL SELECT 'end', actual, challenger, 3e0 FROM {judged}) GROUP BY 1")
@@ -184,8 +186,15 @@ def ml07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ml09_cluster_bootstrap")
 def ml09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models' differences in error, pairs, best choice and regret, with intervals from drawn groups of documents."""
     from clipsift.operators.models import cluster_bootstrap
 
-    j = b.judged(spark, sf_dir)
-    ref, cha = (metrics.pair_counts(j, ["grp"], "actual", c).select("grp", "pairs", F.col("right").alias(n)) for c, n in (("predicted", "reference"), ("challenger", "challenger")))
-    return cluster_bootstrap(ref.join(cha.drop("pairs"), "grp"), "grp", iterations=1000, seed=42)
+    j = b.judged(spark, sf_dir).withColumn("grp", F.concat_ws("/", "grp", F.col("doc_id") % 64))
+    stats = j.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("one"), *[F.sum(F.abs(F.col("actual") - F.col(c))).alias(f"error_{c}") for c in ("predicted", "challenger")])
+    for c in ("predicted", "challenger"):
+        pairs = metrics.pair_counts(j, ["grp"], "actual", c).select("grp", F.col("pairs").alias(f"pairs_{c}"), F.col("right").alias(f"right_{c}"))
+        tops = metrics.top_choice(j, ["grp"], "doc_id", "actual", c).select("grp", F.col("hit").alias(f"hit_{c}"), F.col("regret").alias(f"regret_{c}"))
+        stats = stats.join(pairs, "grp", "left").join(tops, "grp")
+    both = lambda m: (f"{m}_predicted", f"{m}_challenger")
+    wanted = {"quality_mae": (*both("error"), "n", True), "pairwise_accuracy": (*both("right"), "pairs_predicted", False), "top_1_hit_rate": (*both("hit"), "one", False), "mean_top_1_regret": (*both("regret"), "one", True)}
+    return cluster_bootstrap(stats.na.fill(0), "grp", wanted, iterations=10_000, seed=42)
