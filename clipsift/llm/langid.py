@@ -6,7 +6,9 @@ Nyström approximation of that kernel; ridge regression on it separates each lan
 the presence vector, landmarks and coefficients fold into one weight for each n-gram and language, and a batch of texts is scored
 by a product of its sparse presence matrix with these weights.
 
-Characters are lower-cased and put into 64 classes: no letter (runs count once), a-z, the Latin-1 letters, and four wide classes.
+Characters are lower-cased. Every letter, and every mark that goes with letters (vowel signs, accents), stands for itself whatever
+its script; all others are one character, and a run of them counts once. An n-gram is hashed to one of ``CODES`` numbers: two that
+share a number count as one, which the few thousand of a text seldom do.
 
 Defined results: ``und`` with score 0 for a null text and for one without a letter, and for all texts if nothing was learned.
 Ties go to the language that sorts first. Repeated rows get equal results. Null ids and languages teach nothing.
@@ -14,6 +16,8 @@ Ties go to the language that sorts first. Repeated rows get equal results. Null
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,9 +28,9 @@ from pyspark.sql import functions as F
 from clipsift.llm._common import fold_of, ids_and_texts, slices, where_text
 
 ORDER = 3
-CLASSES = 64
-#: Numbers of n-grams of one, two and three characters.
-CODES = CLASSES + CLASSES**2 + CLASSES**3
+#: Numbers that n-grams of one, two and three characters are hashed to.
+BITS = 18
+CODES = 1 << BITS
 #: Labelled texts of a language that are learned from, and how many of them are landmarks: the bounds of the sample.
 PER_LANGUAGE, LANDMARKS = 400, 64
 #: Languages that are learned, the most frequent first: the bound of the model where labels are dirty.
@@ -35,37 +39,40 @@ RIDGE = 1e-2
 UNKNOWN = "und"
 
 
-def _character_classes() -> np.ndarray:
-    out = np.zeros(0x110000, dtype=np.int32)
+#: Odd multipliers that mix a character's code point, the characters of an n-gram, and an n-gram's length.
+_MIX, _STEP, _SPREAD = 0x9E3779B1, 0x85EBCA6B, (0xC2B2AE35, 0x27D4EB2F, 0x165667B1)
+
+
+@functools.cache
+def _character_codes() -> np.ndarray:
+    """A 32-bit number for each letter (odd) and mark (even, not 0), 0 for all other characters."""
+    out = np.zeros(0x110000, dtype=np.uint32)
     for c in range(0x110000):
-        if not (0xD800 <= c < 0xE000) and chr(c).isalpha():
-            out[c] = 60 if c < 0x250 else 61 if c < 0x590 else 62 if c < 0x2E80 else 63
-    for c in range(26):
-        out[ord("a") + c] = 1 + c
-    for c in range(0xDF, 0x100):
-        if chr(c).isalpha():
-            out[c] = 27 + c - 0xDF
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
+            mixed = (c * _MIX ^ (c * _MIX & 0xFFFFFFFF) >> 15) & 0xFFFFFFFE
+            out[c] = mixed | 1 if kind == "L" else mixed or 2
     return out
 
 
 class Grams:
-    """The distinct n-grams of a text, as ascending numbers."""
+    """The distinct n-grams of a text, as ascending numbers; none for a text without a letter."""
 
     def __init__(self) -> None:
-        self._classes = _character_classes()
+        self._codes = _character_codes()
         self._seen = np.zeros(CODES, dtype=bool)
 
     def __call__(self, text: str) -> np.ndarray:
-        c = self._classes[np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)]
-        if not c.any():
+        c = self._codes[np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)]
+        if not (c & 1).any():
             return np.zeros(0, dtype=np.int64)
         c = c[(c != 0) | np.append(True, c[:-1] != 0)]
-        seen, base, code = self._seen, 0, c
+        seen, code = self._seen, c
         for n in range(1, ORDER + 1):
             if n > 1:
-                code = code[:-1] * CLASSES + c[n - 1 :]
-            seen[code + base] = True
-            base += CLASSES**n
+                code = (code[:-1] ^ code[:-1] >> np.uint32(13)) * np.uint32(_STEP) + c[n - 1 :]
+            mixed = (code + np.uint32(n)) * np.uint32(_SPREAD[n - 1])
+            seen[(mixed ^ mixed >> np.uint32(16)) * np.uint32(_MIX) >> np.uint32(32 - BITS)] = True
         found = np.flatnonzero(seen)
         seen[found] = False
         return found

@@ -508,6 +508,44 @@ def test_languages(spark, sf, local):
     assert (got.lang_pred == local.lang)[got.held_out].mean() > 0.95 and got.score.between(0, 1).all()
 
 
+SCRIPTS = {  # frequent words; languages without spaces are written without
+    "ru": "и в не на что он был это как она по но они к из у за то все так его же от для мы вы если когда только ещё был были",
+    "uk": "і в не на що він був це як вона по але вони до з у за то всі так його ж від для ми ви якщо коли тільки ще було були",
+    "bg": "и в не на че той беше това как тя по но те към от у за то всички така неговия също за нас вие ако когато само още бяха съм",
+    "el": "και το να του η της με που την από για είναι στο των σε ο οι στην θα τα δεν τον τη τις αυτό ένα μας μου ότι αν",
+    "zh": "的 一 是 不 了 在 人 有 我 他 这 中 大 来 上 国 个 到 说 们 为 子 和 你 地 出 道 也 时 年 学生 老师 中国 今天 天气 很好 我们 他们 喜欢 电影",
+    "ja": "の に は を た が で て と し れ さ ある いる も する から な こと として い や など なっ ない この ため その 学生 先生 日本 今日 天気 です ます 私たち 好き 映画",
+    "ko": "이 그 저 것 수 등 들 및 에서 하는 있는 그리고 하지만 나는 너는 우리는 학생 선생님 한국 오늘 날씨 좋다 좋아한다 영화 있다 없다 했다 한다 에게 으로",
+    "ar": "في من على إلى أن هذا التي الذي كان عن مع هو هي ما لا كل بعد قد بين أو حتى إذا عند منذ ذلك هذه لم كما أي غير",
+    "fa": "در از به که این را با است برای آن یک خود تا کرد بر هم نیز گفت می شود شد اما باید دارد هر پس چه اگر همه ما شما",
+    "hi": "के है में की से को और का यह पर हैं नहीं ने एक कि था लिए भी कर हो तो जो इस हम वह या गया दिया साथ कुछ",
+    "th": "ที่ และ ใน เป็น ของ ได้ มี การ ไม่ จะ ให้ ว่า ไป มา กับ ความ จาก คน นี้ แต่ ก็ อยู่ แล้ว หรือ เขา เรา ประเทศ วันนี้ อากาศ ดี",
+    "en": "the of and to in a is that it was for on are as with his they at be this from have or by one had not but what all",
+}
+
+
+def test_languages_of_all_scripts():
+    """Neighbours in script are told apart: Cyrillic, Greek, Han with kana or alone, Hangul, Arabic letters, Devanagari, Thai."""
+    rng = np.random.default_rng(12)
+    grams = langid.Grams()
+
+    def text(lang):
+        return ("" if lang in ("zh", "ja", "th") else " ").join(rng.choice(SCRIPTS[lang].split(), rng.integers(6, 14)))
+
+    names, weights, cut = langid.fit([(lang, grams(text(lang))) for lang in SCRIPTS for _ in range(60)], landmarks=30)
+    for lang in SCRIPTS:
+        best, _ = langid.score([grams(text(lang)) for _ in range(60)], weights, cut)
+        assert np.mean([names[b] == lang for b in best]) > 0.95, lang
+
+
+def test_grams_of_scripts_differ():
+    grams = langid.Grams()
+    one = ["中国", "日本", "한국", "ไทย", "عرب", "рус", "укр", "ελλ", "abc", "é", "हिन्दी"]
+    assert len({tuple(grams(t)) for t in one}) == len(one) and all(len(grams(t)) for t in one)
+    assert grams("ABC Ж").tolist() == grams("abc  ж").tolist() and len(grams("\u0301 12 ! \u093f")) == 0
+    assert len(grams("ab1cd2ef ")) > len(grams("ab1"))
+
+
 def test_kernel_weights_fold_exactly():
     """Scores are those of ridge regression on Nystr\u00f6m features, formed from kernel values between texts and landmarks alone."""
     grams = langid.Grams()
