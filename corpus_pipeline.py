@@ -35,8 +35,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts alike in 0.8 or more of their five-word shingles, as SimHash groups propose them, the row with the smallest id."""
-    return simhash.representatives(docs, shingle=5, similarity=0.8, radius=8)
+    """Of each group of texts alike in 0.8 or more of their five-word shingles, as SimHash proposes them, the row with the smallest id."""
+    return simhash.representatives(docs, shingle=5, similarity=0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
