@@ -560,6 +560,26 @@ def _alike_links(members: DataFrame, shingle: int, similarity: float, within: in
     return dealt.repartition("component", "pair").sortWithinPartitions("component", "pair", "row").mapInArrow(run, "a long, b long")
 
 
+def _joined_by(links: list[DataFrame]) -> DataFrame:
+    """(node, root) of what all ``links`` join. The first join most of a group; of the others only those go on whose ends these leave apart,
+    so that a large group isn't carried through the rounds once for each of them."""
+    first = cut(components(links[0]), "roots")
+    if len(links) == 1:
+        return first
+    rest = links[1]
+    for more in links[2:]:
+        rest = rest.unionByName(more)
+    for end in ("a", "b"):
+        known = first.select(F.col("node").alias(end), "root")
+        rest = rest.join(known, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    over = cut(components(rest.where("a <> b").distinct()), "roots")
+    again = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = first.join(again, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    out = cut(moved.unionByName(over), "roots")
+    drop_cut(first, over)
+    return out
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, prints: int = PRINTS) -> DataFrame:
     """One row of each group of near copies, all columns as they are: the one with the smallest id (null after all others).
 
@@ -585,20 +605,20 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = [f"p{k}" for k in range(prints)]
     texts = cut(found.groupBy("digest").agg(F.min(order).alias("first"), *[F.min(c).alias(c) for c in (*every, "size")]).drop("digest").withColumn("row", F.col("first")["row"]), "texts")
     drop_cut(found)
-    proposed = None
+    met = []
     for k in range(prints):
         w0, w1 = every[(k + 1) % prints], every[(k + 2) % prints]
-        some = hamming_links(texts.select(F.col(every[k]).alias("fp"), F.col("row").alias("node"), F.col(w0).alias("w0"), F.col(w1).alias("w1")), 3, "node", ("w0", "w1"), NEAR)
-        proposed = some if proposed is None else proposed.unionByName(some)
-    roots = cut(components(proposed), "roots")
+        met.append(hamming_links(texts.select(F.col(every[k]).alias("fp"), F.col("row").alias("node"), F.col(w0).alias("w0"), F.col(w1).alias("w1")), 3, "node", ("w0", "w1"), NEAR))
+    roots = _joined_by(met)
+    drop_cut(*met)
     grouped = texts.join(roots, texts["row"] == roots["node"], "left").select("row", "size", F.col(every[0]).alias("w0"), F.col(every[1 % prints]).alias("w1"), F.coalesce("root", "row").alias("component"))
     grouped = cut(grouped, "grouped")
     sizes = cut(grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1"), "sizes")
     cells = F.ceil(F.greatest(F.col("n") / CELL, F.col("total") / CELL_SHINGLES)).cast("int")
     members = join_by_share(grouped, sizes, "component", grouped.count(), keep=True).withColumn("cells", cells)
     members = members.select(F.col("row").alias(key), "component", "cells", F.pmod(F.xxhash64("row"), F.col("cells")).cast("int").alias("cell"), "w0", "w1")
-    met = rows.select(key, F.col(f"`{text_col}`").cast("string").alias("text")).join(members, key).select("text", "component", "cells", "cell", F.col(key).alias("row"), "w0", "w1")
-    alike = cut(_alike_links(met, shingle, similarity, NEAR + 8).distinct(), "alike")
+    words = rows.select(key, F.col(f"`{text_col}`").cast("string").alias("text")).join(members, key).select("text", "component", "cells", "cell", F.col(key).alias("row"), "w0", "w1")
+    alike = cut(_alike_links(words, shingle, similarity, NEAR + 8).distinct(), "alike")
     drop_cut(grouped, sizes, roots)
     joined = components(alike)
     joined = cut(joined.unionByName(joined.select(F.col("root").alias("node"), "root")).distinct(), "joined")
