@@ -12,28 +12,28 @@ from clipsift.sources import snapshots
 from clipsift.streaming import leases
 
 _UPDATES = "CASE event_type WHEN 'presented' THEN 'upload' WHEN 'download_original' THEN 'align' WHEN 'download_edited' THEN 'doubt' WHEN 'reject' THEN 'correct' ELSE 'comment' END"
-_GUARDED = f"""WITH RECURSIVE o AS (SELECT creator, event_id, {_UPDATES} AS kind, row_number() OVER (PARTITION BY creator ORDER BY event_id) AS i FROM {{feedback}}),
-  w AS (SELECT creator, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS kind, NULL::BOOLEAN AS accepted, 'awaiting_upload' AS state FROM o GROUP BY 1
-    UNION ALL SELECT o.creator, o.i, o.event_id, o.kind, (o.kind = 'upload' AND state = 'awaiting_upload') OR (o.kind IN ('align', 'doubt') AND state IN ('uploaded', 'needs_review')) OR (o.kind = 'correct' AND state <> 'awaiting_upload'),
+_GUARDED = f"""WITH RECURSIVE o AS (SELECT clip, event_id, {_UPDATES} AS kind, row_number() OVER (PARTITION BY clip ORDER BY event_id) AS i FROM {{feedback}}),
+  w AS (SELECT clip, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS kind, NULL::BOOLEAN AS accepted, 'awaiting_upload' AS state FROM o GROUP BY 1
+    UNION ALL SELECT o.clip, o.i, o.event_id, o.kind, (o.kind = 'upload' AND state = 'awaiting_upload') OR (o.kind IN ('align', 'doubt') AND state IN ('uploaded', 'needs_review')) OR (o.kind = 'correct' AND state <> 'awaiting_upload'),
       CASE WHEN o.kind = 'upload' AND state = 'awaiting_upload' THEN 'uploaded' WHEN o.kind = 'align' AND state IN ('uploaded', 'needs_review') THEN 'aligned' WHEN o.kind = 'doubt' AND state IN ('uploaded', 'needs_review') THEN 'needs_review'
-        WHEN o.kind = 'correct' AND state <> 'awaiting_upload' THEN 'manually_aligned' ELSE state END FROM w JOIN o ON o.creator = w.creator AND o.i = w.i + 1)"""
+        WHEN o.kind = 'correct' AND state <> 'awaiting_upload' THEN 'manually_aligned' ELSE state END FROM w JOIN o ON o.clip = w.clip AND o.i = w.i + 1)"""
 
 
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_type")
     kind = F.when(e == "presented", "upload").when(e == "download_original", "align").when(e == "download_edited", "doubt").when(e == "reject", "correct").otherwise("comment")
-    return transitions.replay(b.feedback(spark, sf_dir).select("creator", "event_id", kind.alias("kind")), "creator", "event_id", "kind", transitions.ACTUAL_CLIP, width=1 << 12)
+    return transitions.replay(b.feedback(spark, sf_dir).select("clip", "event_id", kind.alias("kind")), "clip", "event_id", "kind", transitions.ACTUAL_CLIP, width=1 << 12)
 
 
-@query("oth11_guarded_updates", f"{_GUARDED} SELECT creator, event_id, kind, accepted, state FROM w WHERE i > 0")
+@query("oth11_guarded_updates", f"{_GUARDED} SELECT clip, event_id, kind, accepted, state FROM w WHERE i > 0")
 def oth11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _updates(spark, sf_dir)
 
 
-@query("oth12_pending", f"{_GUARDED} SELECT creator, state, refused FROM (SELECT creator, arg_max(state, i) AS state, count(*) FILTER (i > 0 AND NOT accepted) AS refused FROM w GROUP BY 1) WHERE state IN ('uploaded', 'needs_review')")
+@query("oth12_pending", f"{_GUARDED} SELECT clip, state, refused FROM (SELECT clip, arg_max(state, i) AS state, count(*) FILTER (i > 0 AND NOT accepted) AS refused FROM w GROUP BY 1) WHERE state IN ('uploaded', 'needs_review')")
 def oth12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revealed clips that wait for alignment after their log, with the updates that were refused on the way."""
-    last = transitions.final_states(_updates(spark, sf_dir), "creator", "event_id")
+    last = transitions.final_states(_updates(spark, sf_dir), "clip", "event_id")
     return last.where(transitions.pending(F.col("state")))
 
 
