@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from clipsift.plans import q_clips, q_extra, q_feedback, q_joins, q_metrics, q_models, q_more, q_sequence, q_sources, q_state, q_text, q_vectors  # noqa: F401
+    from clipsift.plans import q_clips, q_extra, q_feedback, q_joins, q_metrics, q_models, q_more, q_scores, q_sequence, q_sources, q_state, q_text, q_vectors  # noqa: F401
 
 
 load()
