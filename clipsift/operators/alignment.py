@@ -35,7 +35,8 @@ def align(points: DataFrame, templates: DataFrame, key: str, longest: int, apart
         for batch in batches:
             for k, b, s, t in zip(batch[key], batch["block"], batch["signal"], batch["template"]):
                 c = correlate(np.asarray(s, dtype=float), np.asarray(t, dtype=float))[:block]  # later windows are the next block's
-                yield pd.DataFrame({key: [k] * len(c), "offset": b * block + np.arange(len(c)), "score": c})
+                if len(c):  # a frame without rows has no type for its keys
+                    yield pd.DataFrame({key: [k] * len(c), "offset": b * block + np.arange(len(c)), "score": c})
 
     reached = F.sequence(F.greatest(F.floor((F.col("pos") - (longest - 1)) / block), F.lit(0)), F.floor(F.col("pos") / block))
     dealt = points.select(key, F.explode(reached).alias("block"), F.struct("pos", "value").alias("point"))

@@ -122,12 +122,17 @@ def top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ml14_alignment")
 def ml14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates start at a hashed place. Even creators look for their own, scaled and shifted; odd ones for that of the odd creator
+    after them, which their signal doesn't hold, so the place is open and the score low."""
     from clipsift.operators.alignment import align
 
     order = Window.partitionBy("creator").orderBy("event_id", "value")
     points = b.feedback(spark, sf_dir).select("creator", (F.row_number().over(order) - 1).cast("long").alias("pos"), "value")
     part = F.array_sort(F.collect_list(F.struct("pos", "value")))
-    templates = points.where("pos between 10 and 25").groupBy("creator").agg(F.transform(part, lambda x: x["value"]).alias("template"))
+    start = F.pmod(F.xxhash64("creator"), F.lit(24))
+    cut = points.where((F.col("pos") >= start) & (F.col("pos") < start + 16)).groupBy("creator").agg(F.transform(part, lambda x: x["value"]).alias("template"))
+    odd = F.col("creator") % 2 == 1
+    templates = cut.select(F.when(odd, F.col("creator") - 2).otherwise(F.col("creator")).alias("creator"), F.when(odd, F.col("template")).otherwise(F.transform("template", lambda x: 3.0 * x + 7.0)).alias("template"))
     return align(points, templates, "creator", longest=16)
 
 
