@@ -51,6 +51,17 @@ def str19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("video", "cue", six(F.col("start")).alias("start"), six(F.col("end")).alias("end"), "words")
 
 
+@query("str19_timed_captions", """SELECT video, (row_number() OVER (PARTITION BY video ORDER BY s) - 1)::INT AS cue, round(s, 6) AS "start", round(e, 6) AS "end", n::INT AS words FROM (
+  SELECT video, min("start") AS s, max("end") AS e, count(*) AS n FROM (SELECT *, (row_number() OVER (PARTITION BY video, sent ORDER BY pos) - 1) // CASE WHEN video % 2 = 0 THEN 6 ELSE 7 END AS part FROM (
+    SELECT *, coalesce(sum(regexp_matches(word, '{sentence_end!}')::INT) OVER (PARTITION BY video ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM {word_rows})) GROUP BY video, sent, part)""")
+def str19_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even videos are spoken slower, so that the sixth word passes the bound of 2.4 s; others twice as fast, so that the count of seven decides."""
+    even = F.col("video") % 2 == 0
+    pace = F.when(even, 1.2).otherwise(0.5)
+    c = sequence.captions(b.word_rows(spark, sf_dir).withColumns({"start": F.col("start") * pace, "end": F.col("end") * pace}), 7, 2.4)
+    return c.select("video", "cue", *[six(F.col(x) / pace).alias(x) for x in ("start", "end")], "words")
+
+
 @query("win08_word_gaps", """SELECT video, pos, round(greatest(0e0, coalesce("start" - lag("end") OVER w, 0e0)), 6) AS gap_before, round(greatest(0e0, coalesce(lead("start") OVER w - "end", 0e0)), 6) AS gap_after FROM {word_rows} WINDOW w AS (PARTITION BY video ORDER BY pos)""")
 def win08(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("video").orderBy("pos")
