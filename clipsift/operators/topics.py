@@ -65,8 +65,11 @@ def term_trends(examples: DataFrame, group: str, text: str, outcome: str, limit:
 
 
 def truncated(text: Column, limit: int) -> Column:
-    """At most ``limit`` characters, cut before the last word that doesn't fit whole, with an ellipsis."""
-    cut = F.concat(F.regexp_replace(F.substring(text, 1, limit - 1), r"\s\S*$", ""), F.lit("…"))
+    """At most ``limit`` characters, cut before the last word that doesn't fit whole, with an ellipsis.
+
+    The end is that of the cut itself: ``$`` would also be before a line break that the cut ends in.
+    """
+    cut = F.concat(F.regexp_replace(F.substring(text, 1, limit - 1), r"\s\S*\z", ""), F.lit("…"))
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
