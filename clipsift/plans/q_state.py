@@ -123,16 +123,19 @@ _REVEALED = f"""WITH RECURSIVE r AS ({_RECOMMENDED}), a AS ({_ACTUALS}),
 
 def _revealed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Evaluated matches and clips of all videos, once corrections of some were taken in."""
-    predictions = _recommended(spark, sf_dir).withColumnRenamed("video", "experiment")
+    # tables that several later steps read are written once, so that no plan repeats those before it
+    predictions = snapshots.written(_recommended(spark, sf_dir).withColumnRenamed("video", "experiment"))
     l = b.labels_iv(spark, sf_dir).select(F.col("video").alias("experiment"), F.explode(F.array(F.lit(0), F.lit(1))).alias("actual"), "start").withColumn("s", F.col("start") + 40.0 * F.col("actual"))
     place = F.array(F.struct(F.col("s").alias("start"), (F.col("s") + 30.0).alias("end")))
     actuals = l.select("experiment", "actual", place.alias("segments"), (F.col("actual") + F.col("experiment") % 7).alias("performance"))
+    actuals = snapshots.written(actuals)
     first = reveal.evaluate(predictions, actuals)
     # of some videos a clip is moved: beyond its source (400 s) for some, twice for others
     late = l.where("experiment % 4 = 0 AND actual = 1").select("experiment", "actual", F.lit(1).alias("seq"), (F.col("s") + 45.0).alias("start"), (F.col("s") + 75.0).alias("end"))
     twice = l.where("experiment % 4 = 1 AND actual = 0").select("experiment", "actual", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), "s")
     twice = twice.select("experiment", "actual", "seq", (F.col("s") + 5.0 - 2.5 * (F.col("seq") - 1)).alias("start"), (F.col("s") + 35.0 - 2.5 * (F.col("seq") - 1)).alias("end"))
     after, changed, _ = reveal.corrected(actuals, late.unionByName(twice).withColumn("duration", F.lit(400.0)))
+    after, changed = snapshots.written(after), snapshots.written(changed)
     return reveal.refreshed(first, predictions, after, changed), after
 
 
@@ -147,4 +150,4 @@ def oth18(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM f LEFT JOIN (SELECT experiment, CASE WHEN count(*) > 1 AND stddev_pop(rp) > 0 AND stddev_pop(ra) > 0 THEN round(corr(rp, ra), 4) END AS c FROM k GROUP BY 1) USING (experiment) GROUP BY 1""")
 def oth18_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches, after = _revealed(spark, sf_dir)
-    return reveal.summary(matches, after)
+    return reveal.summary(snapshots.written(matches), after)
