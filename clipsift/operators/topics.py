@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipsift.functions.scalars import six
 from clipsift.functions.text import topic_words, trend_words, with_next
 from clipsift.operators.ranking import top_k
+from clipsift.sources.snapshots import written
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -20,28 +27,103 @@ def ngrams(words: Column, n: int) -> Column:
 FAVOURED, DISFAVOURED = 1.35, 0.75
 
 
-def topics(docs: DataFrame, group: str, key: str, text: str, limit: int, trends: DataFrame | None = None) -> DataFrame:
+#: Terms of most texts, of which documents' frequencies are known where their terms are first seen.
+COMMON = 1 << 17
+
+
+def document_frequencies(docs: DataFrame, group: str, text: str) -> DataFrame:
+    """(group, term, df), written: in how many of a group's texts a term is, for terms of two texts or more; most terms are in one."""
+    terms = docs.withColumn("_w", topic_words(F.col(text))).select(group, F.explode(F.array_distinct(with_next(F.col("_w")))).alias("term"))
+    return written(terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+
+
+def _contenders(docs: DataFrame, group: str, key: str, text: str, counts: DataFrame, n: DataFrame, trends: DataFrame | None, used: int, common: int) -> tuple[DataFrame, int]:
+    """((group, key, n, term, tf, df, favoured), rare): of each text the terms that can be taken, and a frequency.
+
+    The most frequent terms of all groups, at most ``common``, are known to every task; others are in fewer than ``rare`` texts of
+    their group (df is null). So a term's score lies between two bounds. Before the last choice at most ``used`` words are used; of
+    ``used + 1`` terms that share no word, one has none of these. So once all of them were passed, all choices are made, and a term
+    whose upper bound is below the lower bounds of such terms can't be taken.
+    """
+    many, rare = 0, 2
+    for df, k in counts.groupBy(F.least("df", F.lit(1 << 16)).alias("df")).count().orderBy(F.desc("df")).collect():
+        many += k
+        if many > common:
+            rare = df + 1
+            break
+    held = counts.where(F.col("df") >= rare).join(n, group)
+    held = held.withColumn("favoured", F.lit(None).cast("boolean")) if trends is None else held.join(trends.select(group, "term", "favoured"), [group, "term"], "left")
+    factor = F.when(F.col("favoured"), FAVOURED).when(~F.col("favoured"), DISFAVOURED).otherwise(1.0)
+    rows = held.select(F.col(group).alias("g"), "term", "df", "favoured", ((F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0) * factor).alias("v")).collect()
+    places: dict = {}
+    for i, r in enumerate(rows):
+        places.setdefault(r.g, {})[r.term] = i
+    known = docs.sparkSession.sparkContext.broadcast((places, np.array([r.v for r in rows] + [np.nan]), [r.df for r in rows] + [None], [r.favoured for r in rows] + [None]))
+    low, high = (1.0, 1.0) if trends is None else (DISFAVOURED, FAVOURED)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places, values, dfs, favoured = known.value
+        for batch in batches:
+            out: list[tuple] = []
+            for g, k, n, words in zip(batch[group], batch[key], batch["n"], batch["_w"]):
+                words = list(words)
+                tf = Counter(words)
+                tf.update(f"{a} {b}" for a, b in zip(words, words[1:]))
+                terms, own = list(tf), places.get(g, {})
+                at = [own.get(t, -1) for t in terms]
+                chosen = range(len(terms))
+                if len(terms) > used:
+                    v, unit = values[at], np.array([tf[t] * (1.15 if " " in t else 1.0) for t in terms])
+                    least = np.where(np.isnan(v), low * (math.log((n + 1) / rare) + 1.0), v) * unit
+                    most = np.where(np.isnan(v), high * (math.log((n + 1) / 2) + 1.0), v) * unit
+                    seen: set[str] = set()
+                    bar, apart = -math.inf, 0
+                    for i in np.argsort(-least, kind="stable"):
+                        own_words = terms[i].split(" ")
+                        if seen.isdisjoint(own_words):
+                            seen.update(own_words)
+                            apart += 1
+                            if apart > used:
+                                bar = least[i]
+                                break
+                    chosen = np.flatnonzero(most * (1 + 1e-9) + 4e-6 >= bar)  # scores are rounded to six decimals
+                out += [(g, k, n, terms[i], tf[terms[i]], dfs[at[i]], favoured[at[i]]) for i in chosen]
+                if len(out) > 1 << 16:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    names = [group, key, "n", "term", "tf", "df", "favoured"]
+    kinds = [docs.schema[c].dataType.simpleString() for c in (group, key)]
+    words = docs.select(group, key, topic_words(F.col(text)).alias("_w")).join(n, group).select(group, key, "n", "_w")
+    return words.mapInPandas(keep, f"`{group}` {kinds[0]}, `{key}` {kinds[1]}, n long, term string, tf long, df long, favoured boolean"), rare
+
+
+def topics(docs: DataFrame, group: str, key: str, text: str, limit: int, trends: DataFrame | None = None, counts: DataFrame | None = None, common: int = COMMON) -> DataFrame:
     """(key, term, score, rank): a text's best terms by TF-IDF among its group's texts, none made of words already used.
 
     ``trends`` (group, term, favoured boolean, each term once a group) weighs terms up or down; the result then also has
-    favoured, null for terms that no trend names.
+    favoured, null for terms that no trend names. ``counts`` are the group's ``document_frequencies``, if these are at hand.
+    A key is one text.
 
     Before the last choice at most ``limit - 1`` terms of two words are taken, so no more than the terms made of these words can be
-    passed over: the best terms of each text up to that number decide, and the greedy choice folds an array of no more.
+    passed over: the best terms of each text up to that number decide, and the greedy choice folds an array of no more. Terms are
+    counted inside their text, and only those that can be taken leave it.
     """
     used = 2 * (limit - 1)
     pool = used * (used + 1) + limit
-    terms = docs.withColumn("_w", topic_words(F.col(text))).select(group, key, F.explode(with_next(F.col("_w"))).alias("term"))
-    tf = terms.groupBy(group, key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    counts = document_frequencies(docs, group, text) if counts is None else counts
+    n = written(docs.groupBy(group).agg(F.count(F.lit(1)).alias("n")))
+    found, rare = _contenders(docs, group, key, text, counts, n, trends, used, common)
+    others = counts.where(F.col("df") < rare).select(group, "term", F.col("df").alias("_df"))
+    if trends is not None:
+        others = others.join(trends.select(group, "term", F.col("favoured").alias("_f")), [group, "term"], "full")
+    rated = found.join(others, [group, "term"], "left")
+    rated = rated.withColumn("df", F.coalesce("df", "_df", F.lit(1)))
+    if trends is not None:
+        rated = rated.withColumn("favoured", F.coalesce("favoured", "_f"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0
     bonus = F.when(F.contains("term", F.lit(" ")), 1.15).otherwise(1.0)
-    rated = tf.join(df, [group, "term"]).join(n, group)
-    if trends is None:
-        rated = rated.withColumn("favoured", F.lit(None).cast("boolean"))
-    else:
-        rated = rated.join(trends.select(group, "term", "favoured"), [group, "term"], "left")
     factor = F.when(F.col("favoured"), FAVOURED).when(~F.col("favoured"), DISFAVOURED).otherwise(1.0)
     scored = rated.select(key, "term", "favoured", six(F.col("tf") * idf * factor * bonus).alias("score"))
     best = top_k(scored, [key], [F.desc("score"), F.desc(F.length("term")), F.col("term")], pool, "i")
