@@ -11,8 +11,8 @@ from clipsift.functions.scalars import iou
 
 
 def average_rank(x: str, keys: Sequence[str]) -> Column:
-    """1-based rank, ties sharing their mean."""
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
+    """1-based rank, ties sharing their mean. Peers are a range of the window that ranks, so both take one sort."""
+    peers = F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(x).rangeBetween(Window.currentRow, Window.currentRow))
     return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (peers - 1) / 2.0
 
 

@@ -195,7 +195,7 @@ def win11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("win13_delivery_norm", """SELECT video, clip, round((u1 + u2 + (1e0 - u3)) / 3e0, 6) AS urgency, round((e1 + e2) / 2e0, 6) AS excitement FROM (SELECT video, clip, """ + ", ".join(f"""CASE WHEN count(*) OVER w < 2 OR max({c}) OVER w = min({c}) OVER w THEN 0.5e0 ELSE (rank() OVER (PARTITION BY video ORDER BY {c}) - 1 + (count(*) OVER (PARTITION BY video, {c}) - 1) / 2e0) / (count(*) OVER w - 1) END AS {a}""" for a, c in (("u1", "urgency"), ("u2", "hook"), ("u3", "payoff"), ("e1", "excitement"), ("e2", "clarity"))) + " FROM {clips} WINDOW w AS (PARTITION BY video))")
 def win13(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = lambda c: ranking.mid_percentile(c, ["video"])
-    c = b.clips(spark, sf_dir).select("video", "clip", *[p(x).alias(f"p_{x}") for x in ("urgency", "hook", "payoff", "excitement", "clarity")])
+    c = b.clips(spark, sf_dir, by_video=True).select("video", "clip", *[p(x).alias(f"p_{x}") for x in ("urgency", "hook", "payoff", "excitement", "clarity")])
     return c.select("video", "clip", six((F.col("p_urgency") + F.col("p_hook") + (1.0 - F.col("p_payoff"))) / 3.0).alias("urgency"), six((F.col("p_excitement") + F.col("p_clarity")) / 2.0).alias("excitement"))
 
 
