@@ -19,8 +19,8 @@ def slot_schedule(slots: int, seed: int, video: str) -> list[tuple[float, float]
     return [((k + 0.5) / slots, lengths[k]) for k in range(slots)]
 
 
-def slot_samples(clips: DataFrame, video: str, clip: str, slots: int, seed: int, bands: int = 3) -> DataFrame:
-    """(video, slot, clip, band): for each slot in turn the clip nearest to its place and length that doesn't overlap earlier picks.
+def slot_samples(clips: DataFrame, video: str, clip: str, slots: int, seed: int, bands: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
+    """(video, slot, clip, band, *more): for each slot in turn the clip nearest to its place and length that doesn't overlap earlier picks.
 
     Distance is |middle - slot's| over the video's end plus a quarter of |length - target| over 55. Each slot is one window on the
     partitioning that all slots share; only the schedule, a function of the video's name, comes from Python.
@@ -40,7 +40,7 @@ def slot_samples(clips: DataFrame, video: str, clip: str, slots: int, seed: int,
         own = F.col(clip) == F.col("_best.c")
         apart = iou(F.col("start"), F.col("end"), F.col("_best.s"), F.col("_best.e")) <= 0
         out = out.where(F.col("slot").isNotNull() | own | apart).withColumn("slot", F.when(F.col("slot").isNull() & own, F.lit(k)).otherwise(F.col("slot")))
-    return out.where("slot is not null").select(video, "slot", clip, "band")
+    return out.where("slot is not null").select(video, "slot", clip, "band", *more)
 
 
 def annotation_queue(clips: DataFrame, done: DataFrame, video: str, clip: str, slots: int = 6, seed: int = 42) -> DataFrame:
@@ -49,6 +49,6 @@ def annotation_queue(clips: DataFrame, done: DataFrame, video: str, clip: str, s
     A queue takes the first of every video, then the second, and so on: its order is (round, video), left to whoever reads it.
     """
     open_ = clips.join(done.select(video).distinct(), video, "left_anti")
-    taken = slot_samples(open_, video, clip, slots, seed).join(open_.select(video, clip, "start"), [video, clip])
+    taken = slot_samples(open_, video, clip, slots, seed, more=("start",))
     n = F.row_number().over(Window.partitionBy(video).orderBy("start", clip))
     return taken.withColumn("round", n).select(F.format_string("%s_sample_%02d", F.col(video).cast("string"), "round").alias("annotation_id"), video, clip, "round", "band")
