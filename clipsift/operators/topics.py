@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsift.functions.scalars import six
+from clipsift.functions.scalars import let, six
 from clipsift.functions.text import topic_words, trend_words, with_next
 from clipsift.operators.ranking import top_k
 from clipsift.sources.snapshots import written
@@ -23,6 +23,12 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
+def run_lengths(ordered: Column) -> Column:
+    """How often each value of an ordered array that isn't empty is there. ``ordered`` should be bound by ``let``: it is read for every place."""
+    places = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+    return let(places, lambda p: F.transform(p, lambda i, k: F.coalesce(F.get(p, k + 1), F.size(ordered)) - i))
+
+
 #: What a term's score is multiplied by where the audience's trends favour it, and where they don't.
 FAVOURED, DISFAVOURED = 1.35, 0.75
 
