@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipsift.functions.scalars import clamp
+from clipsift.functions.scalars import clamp, let
 from clipsift.functions.text import DANGLING, REFINEMENT_OPENERS, REFINEMENT_PHRASES, SENTENCE_END
 from clipsift.operators.joins import earliest_after, latest_before
 
@@ -39,6 +41,39 @@ def word_features(words: DataFrame) -> DataFrame:
     )
 
 
+def featured_words(w: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """``word_features`` of a text's timed words as an array, in place of ``w`` (pos, start, end, word); of the ``wanted`` words if given.
+
+    Features of a word come from its neighbours in the array, so that no word leaves its text. Phrases are looked for around single
+    words only in texts that have one.
+    """
+    flag = lambda c: c.cast("int").cast("double")
+    phrases = "|".join(REFINEMENT_PHRASES)
+    joined = lambda ws: F.lower(F.array_join(F.transform(ws, lambda x: x["word"]), " "))
+
+    def features(w: Column, told: Column, x: Column, i: Column) -> Column:
+        before, after, first = F.get(w, i - 1), F.get(w, i + 1), F.greatest(i - WORD_BEFORE, F.lit(0))
+        near = F.transform(F.sequence(first, i + WORD_AFTER), lambda k: F.get(w, k))  # a slice reads the whole array; joining leaves nulls out
+        around = F.when(told, flag(joined(near).rlike(phrases))).otherwise(0.0)
+        return F.struct(
+            x["pos"].alias("pos"), x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word"),
+            F.least(F.lit(5.0), F.greatest(F.lit(0.0), x["start"] - F.coalesce(before["end"], x["start"]))).alias("gap_before"),
+            F.least(F.lit(5.0), F.greatest(F.lit(0.0), F.coalesce(after["start"], x["end"]) - x["end"])).alias("gap_after"),
+            flag(F.coalesce(before["word"].rlike(SENTENCE_END), F.lit(False))).alias("previous_ends"),
+            flag(x["word"].rlike(SENTENCE_END)).alias("ends"),
+            flag(plain(x["word"]).isin(list(REFINEMENT_OPENERS))).alias("opener"),
+            flag(plain(x["word"]).isin([*DANGLING, "if"])).alias("dangling"),
+            around.alias("intro_or_ad"),
+        )
+
+    def found(w: Column, told: Column) -> Column:
+        if wanted is None:
+            return F.transform(w, lambda x, i: features(w, told, x, i))
+        return F.transform(F.filter(F.transform(w, lambda x, i: F.when(wanted(x), F.struct(i.alias("i"), x.alias("x")))), lambda y: y.isNotNull()), lambda y: features(w, told, y["x"], y["i"]))
+
+    return let(w, lambda w: let(joined(w).rlike(phrases), lambda told: found(w, told)))
+
+
 def heuristic_score(kind: str, offset: Column, energy: Column) -> Column:
     """Fixed weights of an option to begin (or end) at a word."""
     pause, sentence, penalty = (F.col("gap_before"), F.col("previous_ends"), F.col("opener")) if kind == "start" else (F.col("gap_after"), F.col("ends"), F.col("dangling"))
