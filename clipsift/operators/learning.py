@@ -24,12 +24,17 @@ def editorial_weight(event_type: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in EDITORIAL_WEIGHTS.items() for x in pair]), event_type)
 
 
-def append_events(log: DataFrame, new: DataFrame, clips: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The log with the new decisions about known clips, and the new rows that are refused, with ``reason``."""
+def judged_events(new: DataFrame, clips: DataFrame) -> DataFrame:
+    """New decisions with ``reason``: why one is refused, or null. Clips that were dealt by ``clip`` aren't dealt again."""
     seen = clips.select(F.col("clip").alias("_clip")).distinct()
     reason = F.when(editorial_weight(F.col("event_type")).isNull(), "event type").when(F.col("_clip").isNull(), "unknown clip")
-    judged = new.join(seen, F.col("clip") == F.col("_clip"), "left").withColumn("reason", reason)
-    return log.unionByName(judged.where("reason is null").select(*log.columns)), judged.where("reason is not null").drop("_clip")
+    return new.join(seen, F.col("clip") == F.col("_clip"), "left").withColumn("reason", reason).drop("_clip")
+
+
+def append_events(log: DataFrame, new: DataFrame, clips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log with the new decisions about known clips, and the new rows that are refused, with ``reason``."""
+    judged = judged_events(new, clips)
+    return log.unionByName(judged.where("reason is null").select(*log.columns)), judged.where("reason is not null")
 
 
 #: What a calibration needs, and how far it goes.
