@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -158,7 +159,11 @@ LIVE = StructType([StructField("token", LongType()), StructField("account", Long
 
 
 class Sessions(StatefulProcessor):
-    """Live sessions of an account: a map of tokens to their ends, from which those that ended go with every write and by timers."""
+    """Live sessions of an account: a map of tokens to their ends, from which those that ended go with every write and by timers.
+
+    A call of the state store takes longer than an event, so the map is read once for all events of a batch, and only what they
+    changed in the end is written. An account has one timer, at its earliest end.
+    """
 
     def __init__(self, seconds: int = SESSION_SECONDS):
         self.span = seconds * MICRO
@@ -167,33 +172,57 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.ends = handle.getMapState("ends", "token long", "until long")
 
-    def _purge(self, account: int, at: int) -> Iterator[Row]:
-        over = sorted((v[0], k[0]) for k, v in self.ends.iterator() if v[0] <= at) if self.ends.exists() else []
-        for until, token in over:
+    def _read(self) -> dict[int, int]:
+        return {k[0]: v[0] for k, v in self.ends.iterator()} if self.ends.exists() else {}
+
+    def _write(self, old: dict[int, int], ends: dict[int, int], fired: bool = False) -> None:
+        for token in old.keys() - ends.keys():
             self.ends.removeKey((token,))
-            yield Row(token=token, account=account, at=until, change="expired")
+        for token, until in ends.items():
+            if old.get(token) != until:
+                self.ends.updateValue((token,), (until,))
+        was, due = (-(-min(x.values()) // 1000) if x else None for x in (old, ends))
+        if was != due and was is not None and not fired:
+            self.handle.deleteTimer(was)
+        if was != due and due is not None:
+            self.handle.registerTimer(due)
+
+    @staticmethod
+    def _purge(account: int, ends: dict[int, int], queue: list[tuple[int, int]], at: int) -> Iterator[Row]:
+        """Sessions that ended by ``at`` leave ``ends``; ``queue`` is a heap of (end, token), also of sessions that were closed or renewed since."""
+        while queue and queue[0][0] <= at:
+            until, token = heapq.heappop(queue)
+            if ends.get(token) == until:
+                del ends[token]
+                yield Row(token=token, account=account, at=until, change="expired")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = self._read()
+        ends, queue = dict(old), sorted((until, token) for token, until in old.items())
         for at, token, event in sorted((r["at"], r["token"], r["event"]) for r in rows):
-            yield from self._purge(key[0], at)
+            yield from self._purge(key[0], ends, queue, at)
             if event == "login":
-                self.ends.updateValue((token,), (at + self.span,))
-                self.handle.registerTimer(-(-(at + self.span) // 1000))
+                ends[token] = at + self.span
+                heapq.heappush(queue, (at + self.span, token))
                 yield Row(token=token, account=key[0], at=at, change="opened")
-            elif event == "logout" and self.ends.containsKey((token,)):
-                self.ends.removeKey((token,))
+            elif event == "logout" and ends.pop(token, None) is not None:
                 yield Row(token=token, account=key[0], at=at, change="closed")
+        self._write(old, ends)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._purge(key[0], expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        old = self._read()
+        ends, queue = dict(old), sorted((until, token) for token, until in old.items())
+        yield from self._purge(key[0], ends, queue, max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000)
+        self._write(old, ends, fired=True)
 
     def close(self) -> None:
         pass
 
 
 def session_changes(events: DataFrame, seconds: int = SESSION_SECONDS, delay: str = "0 seconds") -> DataFrame:
-    """(token, account, at, change: opened, closed or expired) of a stream of (account, token, ts, event: login or logout)."""
+    """(token, account, at, change: opened, closed or expired) of a stream of (account, token, ts, event: login or logout); other events only let time pass."""
     timed = events.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    timed = timed.where(F.col("event").isin("login", "logout") | F.col("ts").isNull())  # as it names the time, Spark leaves it above the watermark, which every event moves
     return timed.groupBy("account").transformWithState(statefulProcessor=Sessions(seconds), outputStructType=LIVE, outputMode="Append", timeMode="EventTime")
 
 
