@@ -16,6 +16,7 @@ from clipsift.operators.metrics import pair_counts, top_choice
 from clipsift.operators.models import solve_ridge
 from clipsift.operators.ranking import positions, top_k
 from clipsift.operators.vectors import block_products
+from clipsift.sources.snapshots import written
 
 
 def dealt_folds(df: DataFrame, group: str, folds: int, seed: int) -> DataFrame:
@@ -74,11 +75,12 @@ def ablation(df: DataFrame, group: str, key: str, blocks: Sequence[str], variant
     targets by fold; each variant of each fold is solved from a principal submatrix of the total less the fold's own, and one more
     pass predicts them all. The variant ``fold_train_mean`` predicts the training mean.
     """
-    widths = {b: len(df.select(b).where(F.col(b).isNotNull()).head()[0]) for b in blocks}
+    rows = dealt_folds(df, group, folds, seed).select(group, key, "fold", *blocks, F.array(*[F.col(t).cast("double") for t in targets]).alias("_y"))
+    rows = written(rows)  # whatever the features cost, they are found once
+    widths = {b: len(rows.select(b).where(F.col(b).isNotNull()).head()[0]) for b in blocks}
     starts = dict(zip(blocks, np.cumsum([0, *widths.values()])[:-1].tolist()))
     places = {name: np.concatenate([np.arange(starts[b], starts[b] + widths[b]) for b in wanted]) for name, wanted in variants.items()}
-    width, dealt = sum(widths.values()), dealt_folds(df, group, folds, seed)
-    full = dealt.withColumns({"_x": F.concat(*blocks), "_y": F.array(*[F.col(t).cast("double") for t in targets])})
+    width, full = sum(widths.values()), rows.withColumn("_x", F.concat(*blocks))
 
     def products(_: int, parts: list[np.ndarray]) -> np.ndarray:
         every = np.concatenate([np.ones((len(parts[0]), 1)), *parts], axis=1)
@@ -120,11 +122,12 @@ def ablation_report(predictions: DataFrame, group: str, key: str, contest: Seque
 
     The rule: most groups whose best row is found, then least regret, then most pairs ordered rightly, then the first named.
     """
+    predictions = written(predictions.select("variant", group, key, "actual", "predicted"))
     by = ["variant", group]
     tops = top_choice(predictions, by, key, "actual", "predicted").groupBy("variant").agg(F.avg("hit").alias("hit_rate"), F.avg("regret").alias("regret"))
     pairs = pair_counts(predictions, by, "actual", "predicted").groupBy("variant").agg(F.try_divide(F.sum("right"), F.sum("pairs")).alias("pairwise"))
     errors = predictions.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("mae"))
-    found = errors.join(tops, "variant").join(pairs, "variant", "left").select("variant", "n", *[six(F.col(c)).alias(c) for c in ("mae", "hit_rate", "regret", "pairwise")])
+    found = written(errors.join(tops, "variant").join(pairs, "variant", "left").select("variant", "n", *[six(F.col(c)).alias(c) for c in ("mae", "hit_rate", "regret", "pairwise")]))
     place = F.struct("hit_rate", -F.col("regret"), F.coalesce("pairwise", F.lit(0.0)), -F.array_position(F.array(*map(F.lit, contest)), F.col("variant")))
     winner = found.where(F.col("variant").isin(*contest)).agg(F.max_by("variant", place).alias("winner"))
     return found.join(F.broadcast(winner)).withColumn("selected", F.col("variant") == F.col("winner")).drop("winner")  # one row

@@ -74,13 +74,14 @@ def seq17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _represented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents in groups of one source and language, with handcrafted, semantic and delivery features and two targets."""
-    c = b.candidates(spark, sf_dir).withColumn("tok", T.tokens(F.col("text")))
-    c = c.select("doc_id", "source", "lang", T.model_vector(F.col("text"), F.col("tok"), F.col("duration"), F.col("word_count"), F.col("sentence_count")).alias("handcrafted"))
+    # texts meet their labels before their features are found, as most have none
+    j = b.judged(spark, sf_dir).select("doc_id", "actual", "predicted", "challenger")
+    c = b.candidates(spark, sf_dir).join(j, "doc_id").withColumn("tok", T.tokens(F.col("text")))
+    c = c.withColumn("handcrafted", T.model_vector(F.col("text"), F.col("tok"), F.col("duration"), F.col("word_count"), F.col("sentence_count"))).drop("text", "tok")
     vectors = b.vectors(spark, sf_dir).select("vec_id", F.col("v").alias("semantic"))
     n = vectors.agg(F.max("vec_id")).head()[0] + 1
-    j = b.judged(spark, sf_dir).select("doc_id", "actual", "predicted", "challenger")
     group = F.concat_ws("/", "source", "lang", (F.col("doc_id") % 16).cast("string"))
-    met = c.join(j, "doc_id").withColumn("vec_id", F.col("doc_id") % n).join(vectors, "vec_id")
+    met = c.withColumn("vec_id", F.col("doc_id") % n).join(vectors, "vec_id")
     return met.select("doc_id", group.alias("grp"), "handcrafted", "semantic", F.array("predicted", "challenger", F.col("predicted") * F.col("challenger")).alias("delivery"), "actual", (6.0 - F.col("actual") + F.col("doc_id") % 2).alias("second"))
 
 
