@@ -112,6 +112,51 @@ def _newton(measure: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]
     return w
 
 
+#: Rows of a block of preferences, pairs of which a task holds at once, and ratings up to which rows with the same features are merged.
+PREFERRED, PAIRS, LEVELS = 1 << 13, 1 << 18, 64
+
+
+def _pairs(rows: pd.DataFrame, near: pd.DataFrame, x: str, target: str) -> tuple[np.ndarray, np.ndarray, Callable[[slice], np.ndarray]]:
+    """Features of both sides, and of a slice of the left ones the number of pairs with each of the right in which the left is rated higher."""
+    a, b, y, z, n, m = np.stack(rows[x]), np.stack(near[x]), rows[target].to_numpy(), near[target].to_numpy(), rows["n"].to_numpy(float), near["n"].to_numpy(float)
+    levels = np.unique(np.concatenate([y, z]))
+    if len(levels) > LEVELS:
+        return a, b, lambda part: np.outer(n[part], m) * (y[part][:, None] > z[None, :])
+    (a, i), (b, j) = (np.unique(v, axis=0, return_inverse=True) for v in (a, b))
+    above, below = np.zeros((len(a), len(levels))), np.zeros((len(b), len(levels)))
+    np.add.at(above, (i.ravel(), np.searchsorted(levels, y)), n)
+    np.add.at(below, (j.ravel(), np.searchsorted(levels, z)), m)
+    below = np.cumsum(below, axis=1) - below
+    return a, b, lambda part: above[part] @ below.T
+
+
+def preference_sums(rows: pd.DataFrame, near: pd.DataFrame, x: str, target: str, models: Sequence[tuple[np.ndarray, np.ndarray] | None], width: int) -> np.ndarray:
+    """Of each model (scales, weights) the pairs in which one of ``rows`` is rated higher than one of ``near``, their loss, gradient and Hessian.
+
+    Rows of few ratings meet once for all rows with their features; no more than about ``PAIRS`` pairs are held at once.
+    """
+    out = np.zeros((len(models), 2 + width + width * width))
+    rows, near = rows[rows[target].notna()], near[near[target].notna()]
+    if rows.empty or near.empty:
+        return out
+    every, others, counted = _pairs(rows, near, x, target)
+    step = max(1, PAIRS // len(others))
+    for part in (slice(i, i + step) for i in range(0, len(every), step)):
+        pairs = counted(part)
+        for s, model in zip(out, models):
+            if model is None:
+                continue
+            scale, w = model
+            a, b = every[part] / scale, others / scale
+            z = (a @ w)[:, None] - (b @ w)[None, :]
+            p = np.exp(-np.logaddexp(0.0, z))  # of being mistaken
+            g, c = pairs * p, pairs * p * (1.0 - p)
+            across = a.T @ c @ b
+            h = (a * c.sum(1)[:, None]).T @ a + (b * c.sum(0)[:, None]).T @ b - across - across.T
+            s += [pairs.sum(), (pairs * np.logaddexp(0.0, -z)).sum(), *(g.sum(0) @ b - g.sum(1) @ a), *h.ravel()]
+    return out
+
+
 def pairwise_logistic(df: DataFrame, group: str, x: str, target: str, l2: float) -> DataFrame:
     """(feature, coefficient) of a model of which of two rows of a group is rated higher, on standardised features.
 
@@ -122,18 +167,10 @@ def pairwise_logistic(df: DataFrame, group: str, x: str, target: str, l2: float)
     width = len(df.head()[x])
 
     def measure(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        def judge(_: np.ndarray, rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-            a, b = np.stack(rows[x]), np.stack(near[x])
-            z = (a @ w)[:, None] - (b @ w)[None, :]
-            pairs = np.outer(rows["n"], near["n"]) * (rows[target].to_numpy()[:, None] > near[target].to_numpy()[None, :])
-            p = np.exp(-np.logaddexp(0.0, z))  # of being mistaken
-            g, c = pairs * p, pairs * p * (1.0 - p)
-            across = a.T @ c @ b
-            h = (a * c.sum(1)[:, None]).T @ a + (b * c.sum(0)[:, None]).T @ b - across - across.T
-            s = [pairs.sum(), (pairs * np.logaddexp(0.0, -z)).sum(), *(g.sum(0) @ b - g.sum(1) @ a), *h.ravel()]
-            return pd.DataFrame({"s": [s]})
+        def judge(_: None, rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"s": [preference_sums(rows, near, x, target, [(np.ones(width), w)], width)[0]]})
 
-        parts = block_products(cells, cells, "cell", x, group, judge, "s array<double>")
+        parts = block_products(cells, cells, "cell", None, group, judge, "s array<double>", PREFERRED)
         s = np.array(parts.agg(*[F.coalesce(F.sum(F.get("s", F.lit(i))), F.lit(0.0)) for i in range(2 + width + width * width)]).head())
         n = s[0] or 1.0
         return s[1] / n, s[2 : 2 + width] / n, s[2 + width :].reshape(width, width) / n

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from clipsift.functions.scalars import six
 from clipsift.operators.metrics import pair_counts, top_choice
-from clipsift.operators.models import solve_ridge
+from clipsift.operators.models import PREFERRED, preference_sums, solve_ridge
 from clipsift.operators.ranking import positions, top_k
 from clipsift.operators.vectors import block_products
 from clipsift.sources.snapshots import written
@@ -241,22 +241,11 @@ def preference_folds(df: DataFrame, group: str, key: str, x: str, target: str, f
     size = folds * (2 + width + width * width)
 
     def measure(w: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        def judge(_: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out, fold = np.zeros((folds, 2 + width + width * width)), int(left["fold"].iloc[0])
-            pairs = np.outer(left["n"], right["n"]) * (left["_y"].to_numpy()[:, None] > right["_y"].to_numpy()[None, :])
-            raw_a, raw_b = np.stack(left["_x"]), np.stack(right["_x"])
-            for k in range(folds):
-                if k != fold:
-                    a, b = raw_a / scales[k], raw_b / scales[k]
-                    z = (a @ w[k])[:, None] - (b @ w[k])[None, :]
-                    p = np.exp(-np.logaddexp(0.0, z))
-                    g, c = pairs * p, pairs * p * (1.0 - p)
-                    across = a.T @ c @ b
-                    h = (a * c.sum(1)[:, None]).T @ a + (b * c.sum(0)[:, None]).T @ b - across - across.T
-                    out[k] = [pairs.sum(), (pairs * np.logaddexp(0.0, -z)).sum(), *(g.sum(0) @ b - g.sum(1) @ a), *h.ravel()]
-            return pd.DataFrame({"s": [out.ravel()]})
-
-        parts = block_products(cells, cells, "cell", "_x", group, judge, "s array<double>")
+        def judge(_: None, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            fold = int(left["fold"].iloc[0])
+            return pd.DataFrame({"s": [preference_sums(left, right, "_x", "_y", [None if k == fold else (scales[k], w[k]) for k in range(folds)], width).ravel()]})
+
+        parts = block_products(cells, cells, "cell", None, group, judge, "s array<double>", PREFERRED)
         total = np.zeros(size)
         for s in fold_sums(parts.withColumn("fold", F.lit(0)), lambda _, p: p[0].sum(axis=0), ["s"]).values():
             total = total + s
