@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipsift.functions.scalars import let, six
-from clipsift.functions.text import topic_words, trend_words, with_next
+from clipsift.functions.text import TOPIC_STOPWORDS, trend_words, with_next
 from clipsift.operators.ranking import top_k
 from clipsift.sources.snapshots import written
 
@@ -35,21 +38,114 @@ FAVOURED, DISFAVOURED = 1.35, 0.75
 
 #: Terms of most texts, of which documents' frequencies are known where their terms are first seen.
 COMMON = 1 << 17
+#: Terms that a task counts before it sends them on, and the most bits that tell of a term whether it may be in two texts.
+COUNTED, BITS = 1 << 20, 1 << 28
+_TOKEN = re.compile("[a-zA-Z0-9']+")
+_STOP = frozenset(TOPIC_STOPWORDS)
 
 
-def document_frequencies(docs: DataFrame, group: str, text: str) -> DataFrame:
-    """(group, term, df), written: in how many of a group's texts a term is, for terms of two texts or more; most terms are in one."""
-    terms = docs.withColumn("_w", topic_words(F.col(text))).select(group, F.explode(F.array_distinct(with_next(F.col("_w")))).alias("term"))
-    return written(terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+def _words(text: str) -> list[str]:
+    """``topic_words`` where a task reads texts itself. Tokens are lower-cased and not the text, of which other letters could become ASCII."""
+    return [w for w in " ".join(_TOKEN.findall(text)).lower().split() if len(w) > 2 and w not in _STOP]
 
 
-def _contenders(docs: DataFrame, group: str, key: str, text: str, counts: DataFrame, n: DataFrame, trends: DataFrame | None, used: int, common: int) -> tuple[DataFrame, int]:
+def _pairs(words: list[str]) -> Iterator[str]:
+    return map(" ".join, zip(words, words[1:]))
+
+
+def document_frequencies(docs: DataFrame, group: str, text: str, counted: int = COUNTED) -> DataFrame:
+    """(group, term, df), written: in how many of a group's texts a term is, for terms of two texts or more; most terms are in one.
+
+    Tasks count the terms of many texts and send them on sorted, packed, and dealt by their first word: terms that begin alike take a few
+    bytes each.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema[group].dataType.simpleString()
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        size = 0
+
+        def packed() -> pd.DataFrame:
+            out = []
+            for g, counts in held.items():
+                dealt: dict[int, list[str]] = {}
+                places: dict[str, list[str]] = {}
+                for t in sorted(counts):
+                    first = t.partition(" ")[0]
+                    if (own := places.get(first)) is None:
+                        own = places[first] = dealt.setdefault(zlib.crc32(first.encode()) % (8 * tasks), [])
+                    own.append(t)
+                out += [(k, g, zlib.compress("\n".join(terms).encode(), 1), zlib.compress(np.fromiter(map(counts.__getitem__, terms), "<i4", len(terms)).tobytes(), 1)) for k, terms in dealt.items()]
+            return pd.DataFrame(out, columns=["_part", "g", "terms", "counts"])
+
+        for batch in batches:
+            for g, t in zip(batch[group], batch[text]):
+                own = held.setdefault(g, Counter())
+                size -= len(own)
+                words = _words(t)
+                own.update({*words, *_pairs(words)})
+                size += len(own)
+                if size > counted:
+                    yield packed()
+                    held, size = {}, 0
+        yield packed()
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for g, rows in part.groupby("g"):
+            total: Counter = Counter()
+            for terms, counts in zip(rows["terms"], rows["counts"]):
+                terms, more = zlib.decompress(terms).decode().split("\n"), np.frombuffer(zlib.decompress(counts), dtype="<i4")
+                total.update(terms)
+                for i in np.flatnonzero(more > 1):
+                    total[terms[i]] += int(more[i]) - 1
+            out += [(g, t, n) for t, n in total.items() if n > 1]
+        return pd.DataFrame(out, columns=[group, "term", "df"])
+
+    known = docs.select(group, text).where(F.col(group).isNotNull() & F.col(text).isNotNull())
+    parts = known.mapInPandas(pack, f"_part int, g {kind}, terms binary, counts binary")
+    return written(parts.repartition(tasks, "_part").groupBy("_part").applyInPandas(merge, f"`{group}` {kind}, term string, df long"))
+
+
+def _places(group: object, terms: list[str], bits: int) -> np.ndarray:
+    own = pd.util.hash_array(np.array([str(group)], dtype=object), categorize=False)[0]
+    return (pd.util.hash_array(np.array(terms, dtype=object), categorize=False) ^ own) % np.uint64(bits)
+
+
+def _seen(terms: DataFrame, group: str, most: int) -> np.ndarray:
+    """Bits of which those of all ``terms`` (group, term) are set: a term whose bit isn't set is none of them."""
+    bits = min(most, max(1 << 13, 1 << (16 * terms.count()).bit_length()))
+    width = max(bits >> 4, 1 << 13)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, rows in batch.groupby(group):
+                at = np.unique(_places(g, rows["term"].tolist(), bits)).astype("int64")
+                yield pd.DataFrame({"at": at, "part": (at // width).astype("int32")})
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, rows in batch.groupby("part"):
+                held.setdefault(k, np.zeros(width, dtype=bool))[rows["at"].to_numpy() % width] = True
+        yield pd.DataFrame([(k, np.packbits(b).tobytes()) for k, b in held.items()], columns=["part", "bits"])
+
+    found = terms.select(group, "term").where(F.col(group).isNotNull()).mapInPandas(placed, "at long, part int").repartition(16, "part").mapInPandas(packed, "part int, bits binary").collect()
+    out = np.zeros(bits // 8, dtype="uint8")
+    for r in found:
+        out[r.part * width // 8 : (r.part + 1) * width // 8] = np.frombuffer(r.bits, dtype="uint8")
+    return out
+
+
+def _contenders(docs: DataFrame, group: str, key: str, text: str, counts: DataFrame, n: DataFrame, trends: DataFrame | None, used: int, common: int, most: int = BITS) -> tuple[DataFrame, int]:
     """((group, key, n, term, tf, df, favoured), rare): of each text the terms that can be taken, and a frequency.
 
     The most frequent terms of all groups, at most ``common``, are known to every task; others are in fewer than ``rare`` texts of
-    their group (df is null). So a term's score lies between two bounds. Before the last choice at most ``used`` words are used; of
+    their group (df is null), and most are in this text alone, as their bit says (at most ``most`` bits tell of the terms of ``counts`` and
+    ``trends``). So a term's score lies between two bounds. Before the last choice at most ``used`` words are used; of
     ``used + 1`` terms that share no word, one has none of these. So once all of them were passed, all choices are made, and a term
-    whose upper bound is below the lower bounds of such terms can't be taken.
+    whose upper bound is below the lower bounds of such terms can't be taken; nor can one of the same score that comes after them.
     """
     many, rare = 0, 2
     for df, k in counts.groupBy(F.least("df", F.lit(1 << 16)).alias("df")).count().orderBy(F.desc("df")).collect():
@@ -64,36 +160,55 @@ def _contenders(docs: DataFrame, group: str, key: str, text: str, counts: DataFr
     places: dict = {}
     for i, r in enumerate(rows):
         places.setdefault(r.g, {})[r.term] = i
-    known = docs.sparkSession.sparkContext.broadcast((places, np.array([r.v for r in rows] + [np.nan]), [r.df for r in rows] + [None], [r.favoured for r in rows] + [None]))
+    several = counts.select(group, "term") if trends is None else counts.select(group, "term").union(trends.select(group, "term"))
+    known = docs.sparkSession.sparkContext.broadcast((places, np.array([r.v for r in rows] + [np.nan]), [r.df for r in rows] + [None], [r.favoured for r in rows] + [None], _seen(several, group, most)))
     low, high = (1.0, 1.0) if trends is None else (DISFAVOURED, FAVOURED)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places, values, dfs, favoured = known.value
+        places, values, dfs, favoured, bits = known.value
         for batch in batches:
             out: list[tuple] = []
-            for g, k, n, words in zip(batch[group], batch[key], batch["n"], batch["_w"]):
-                words = list(words)
+            for g, k, n, said in zip(batch[group], batch[key], batch["n"], batch["_text"]):
+                words, own = _words(said), places.get(g, {})
                 tf = Counter(words)
-                tf.update(f"{a} {b}" for a, b in zip(words, words[1:]))
-                terms, own = list(tf), places.get(g, {})
-                at = [own.get(t, -1) for t in terms]
-                chosen = range(len(terms))
+                pairs_from = len(tf)
+                tf.update(_pairs(words))
+                terms = list(tf)
+                at = np.fromiter((own.get(t, -1) for t in terms), int, len(terms))
+                chosen, single = range(len(terms)), np.zeros(len(terms), dtype=bool)
                 if len(terms) > used:
-                    v, unit = values[at], np.array([tf[t] * (1.15 if " " in t else 1.0) for t in terms])
-                    least = np.where(np.isnan(v), low * (math.log((n + 1) / rare) + 1.0), v) * unit
-                    most = np.where(np.isnan(v), high * (math.log((n + 1) / 2) + 1.0), v) * unit
+                    place = _places(g, terms, 8 * len(bits))
+                    single = (bits[(place >> np.uint64(3)).astype("int64")] >> (7 - (place & np.uint64(7)).astype("uint8"))) & 1 == 0
+                    times, pair = np.fromiter(tf.values(), int, len(terms)), np.arange(len(terms)) >= pairs_from
+                    v, unit, alone = values[at], times * np.where(pair, 1.15, 1.0), math.log((n + 1) / 2) + 1.0
+                    least = np.where(single, alone, np.where(np.isnan(v), low * (math.log((n + 1) / rare) + 1.0), v)) * unit
+                    most = np.where(single, alone, np.where(np.isnan(v), high * alone, v)) * unit
+                    size = np.fromiter(map(len, terms), int, len(terms))
                     seen: set[str] = set()
-                    bar, apart = -math.inf, 0
-                    for i in np.argsort(-least, kind="stable"):
-                        own_words = terms[i].split(" ")
-                        if seen.isdisjoint(own_words):
-                            seen.update(own_words)
-                            apart += 1
-                            if apart > used:
-                                bar = least[i]
-                                break
-                    chosen = np.flatnonzero(most * (1 + 1e-9) + 4e-6 >= bar)  # scores are rounded to six decimals
-                out += [(g, k, n, terms[i], tf[terms[i]], dfs[at[i]], favoured[at[i]]) for i in chosen]
+                    passed: list[int] = []
+                    for _, tied in itertools.groupby(np.lexsort((-size, -least)).tolist(), lambda i: (least[i], size[i])):
+                        for i in sorted(tied, key=terms.__getitem__):
+                            own_words = terms[i].split(" ")
+                            if seen.isdisjoint(own_words):
+                                seen.update(own_words)
+                                passed.append(i)
+                                if len(passed) > used:
+                                    break
+                        if len(passed) > used:
+                            break
+                    if len(passed) > used:
+                        bar = least[passed[-1]]
+                        fits = most * (1 + 1e-9) + 4e-6 >= bar  # scores are rounded to six decimals
+                        alike = lambda i: single[i] & (times[i] == times[passed[-1]]) & (pair[i] == pair[passed[-1]])  # noqa: B023, E731
+                        even = [i for i in passed if least[i] <= bar * (1 + 1e-9) + 4e-6]
+                        if all(alike(i) for i in even):
+                            last = max((-size[i], terms[i]) for i in even)
+                            later = alike(np.arange(len(terms))) & (size <= -last[0])
+                            for i in np.flatnonzero(later & (size == -last[0])):
+                                later[i] = terms[i] > last[1]
+                            fits &= ~later
+                        chosen = np.flatnonzero(fits)
+                out += [(g, k, n, terms[i], tf[terms[i]], 1 if single[i] else dfs[at[i]], favoured[at[i]]) for i in chosen]
                 if len(out) > 1 << 16:
                     yield pd.DataFrame(out, columns=names)
                     out = []
@@ -101,8 +216,8 @@ def _contenders(docs: DataFrame, group: str, key: str, text: str, counts: DataFr
 
     names = [group, key, "n", "term", "tf", "df", "favoured"]
     kinds = [docs.schema[c].dataType.simpleString() for c in (group, key)]
-    words = docs.select(group, key, topic_words(F.col(text)).alias("_w")).join(n, group).select(group, key, "n", "_w")
-    return words.mapInPandas(keep, f"`{group}` {kinds[0]}, `{key}` {kinds[1]}, n long, term string, tf long, df long, favoured boolean"), rare
+    texts = docs.select(group, key, F.coalesce(text, F.lit("")).alias("_text")).join(n, group).select(group, key, "n", "_text")
+    return texts.mapInPandas(keep, f"`{group}` {kinds[0]}, `{key}` {kinds[1]}, n long, term string, tf long, df long, favoured boolean"), rare
 
 
 def topics(docs: DataFrame, group: str, key: str, text: str, limit: int, trends: DataFrame | None = None, counts: DataFrame | None = None, common: int = COMMON) -> DataFrame:
