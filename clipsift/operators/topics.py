@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,69 +37,88 @@ FAVOURED, DISFAVOURED = 1.35, 0.75
 
 #: Terms of most texts, of which documents' frequencies are known where their terms are first seen.
 COMMON = 1 << 17
-#: Terms that a task counts before it sends them on, and the most bits that tell of a term whether it may be in two texts.
-COUNTED, BITS = 1 << 20, 1 << 28
-_TOKEN = re.compile("[a-zA-Z0-9']+")
+#: Terms of texts that a task holds before it counts and sends them on, words that it knows by number, and the most bits that tell of
+#: a term whether it may be in two texts.
+COUNTED, WORDS, BITS = 1 << 22, 1 << 20, 1 << 28
+#: Bytes of tokens, in lower case; all others are blanks.
+_TOKEN = bytes(ord(c.lower()) if (c := chr(i)) == "'" or c.isascii() and c.isalnum() else 32 for i in range(256))
 _STOP = frozenset(TOPIC_STOPWORDS)
+_LOW = (1 << 32) - 1
 
 
 def _words(text: str) -> list[str]:
-    """``topic_words`` where a task reads texts itself. Tokens are lower-cased and not the text, of which other letters could become ASCII."""
-    return [w for w in " ".join(_TOKEN.findall(text)).lower().split() if len(w) > 2 and w not in _STOP]
+    """``topic_words`` where a task reads texts itself. Bytes are lower-cased and not characters, of which others could become ASCII."""
+    return [w for w in text.encode("utf-8", "surrogatepass").translate(_TOKEN).decode("ascii").split() if len(w) > 2 and w not in _STOP]
 
 
-def _pairs(words: list[str]) -> Iterator[str]:
-    return map(" ".join, zip(words, words[1:]))
+def _numbers(words: Iterable[str] = ()) -> defaultdict[str, int]:
+    """Numbers of words, from 1 in the order they come; 0 is no word."""
+    ids: defaultdict[str, int] = defaultdict()
+    ids.default_factory = ids.__len__
+    for w in ("", *words):
+        ids[w]
+    return ids
+
+
+def _codes(words: list[str], ids: defaultdict[str, int]) -> np.ndarray:
+    """Words and their neighbouring pairs, repeats included: the number of the first word above that of the second."""
+    own = np.fromiter(map(ids.__getitem__, words), "int64", len(words))
+    return np.concatenate([own << 32, own[:-1] << 32 | own[1:]])
 
 
 def document_frequencies(docs: DataFrame, group: str, text: str, counted: int = COUNTED) -> DataFrame:
     """(group, term, df), written: in how many of a group's texts a term is, for terms of two texts or more; most terms are in one.
 
-    Tasks count the terms of many texts and send them on sorted, packed, and dealt by their first word: terms that begin alike take a few
-    bytes each.
+    Tasks count the terms of many texts by the numbers of their words, and send them on as lines, a first word and all that follow it,
+    packed and dealt by the first word: a term takes a few bytes.
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[group].dataType.simpleString()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
-        size = 0
+        ids, held, size = _numbers(), {}, 0
 
         def packed() -> pd.DataFrame:
-            out = []
-            for g, counts in held.items():
-                dealt: dict[int, list[str]] = {}
-                places: dict[str, list[str]] = {}
-                for t in sorted(counts):
-                    first = t.partition(" ")[0]
-                    if (own := places.get(first)) is None:
-                        own = places[first] = dealt.setdefault(zlib.crc32(first.encode()) % (8 * tasks), [])
-                    own.append(t)
-                out += [(k, g, zlib.compress("\n".join(terms).encode(), 1), zlib.compress(np.fromiter(map(counts.__getitem__, terms), "<i4", len(terms)).tobytes(), 1)) for k, terms in dealt.items()]
+            names, out = np.array(list(ids), dtype=object), []
+            part = [zlib.crc32(w.encode()) % (8 * tasks) for w in ids]
+            for g, found in held.items():
+                codes, n = np.unique(np.concatenate(found), return_counts=True)
+                first, follow = codes >> 32, names[codes & _LOW].tolist()
+                starts = np.flatnonzero(np.diff(first, prepend=-1)).tolist()
+                dealt: dict[int, tuple[list, list]] = {}
+                for a, b in zip(starts, [*starts[1:], len(codes)]):
+                    lines, counts = dealt.setdefault(part[first[a]], ([], []))
+                    lines.append(names[first[a]] + " " + " ".join(follow[a:b]))
+                    counts.append(n[a:b])
+                out += [(k, g, zlib.compress("\n".join(lines).encode(), 1), zlib.compress(np.concatenate(counts).astype("<i4").tobytes(), 1)) for k, (lines, counts) in dealt.items()]
             return pd.DataFrame(out, columns=["_part", "g", "terms", "counts"])
 
         for batch in batches:
             for g, t in zip(batch[group], batch[text]):
-                own = held.setdefault(g, Counter())
-                size -= len(own)
-                words = _words(t)
-                own.update({*words, *_pairs(words)})
-                size += len(own)
+                found = np.unique(_codes(_words(t), ids))
+                if len(found):
+                    held.setdefault(g, []).append(found)
+                    size += len(found)
                 if size > counted:
                     yield packed()
-                    held, size = {}, 0
+                    ids, held, size = _numbers(), {}, 0
         yield packed()
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for g, rows in part.groupby("g"):
-            total: Counter = Counter()
-            for terms, counts in zip(rows["terms"], rows["counts"]):
-                terms, more = zlib.decompress(terms).decode().split("\n"), np.frombuffer(zlib.decompress(counts), dtype="<i4")
-                total.update(terms)
-                for i in np.flatnonzero(more > 1):
-                    total[terms[i]] += int(more[i]) - 1
-            out += [(g, t, n) for t, n in total.items() if n > 1]
+            ids, codes = _numbers(), []
+            for terms in rows["terms"]:
+                lines = [line.split(" ") for line in zlib.decompress(terms).decode().split("\n")]
+                sizes = np.fromiter(map(len, lines), int, len(lines))
+                flat = np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(lines)), "int64", sizes.sum())
+                heads = np.cumsum(sizes) - sizes
+                codes.append(np.repeat(flat[heads], sizes - 1) << 32 | np.delete(flat, heads))
+            counts = np.concatenate([np.frombuffer(zlib.decompress(c), dtype="<i4") for c in rows["counts"]])
+            codes, at = np.unique(np.concatenate(codes), return_inverse=True)
+            total = np.bincount(at, weights=counts).astype("int64")
+            names, kept = list(ids), total > 1
+            out += [(g, f"{names[c >> 32]} {names[c & _LOW]}" if c & _LOW else names[c >> 32], n) for c, n in zip(codes[kept].tolist(), total[kept].tolist())]
         return pd.DataFrame(out, columns=[group, "term", "df"])
 
     known = docs.select(group, text).where(F.col(group).isNotNull() & F.col(text).isNotNull())
@@ -108,9 +126,14 @@ def document_frequencies(docs: DataFrame, group: str, text: str, counted: int =
     return written(parts.repartition(tasks, "_part").groupBy("_part").applyInPandas(merge, f"`{group}` {kind}, term string, df long"))
 
 
-def _places(group: object, terms: list[str], bits: int) -> np.ndarray:
-    own = pd.util.hash_array(np.array([str(group)], dtype=object), categorize=False)[0]
-    return (pd.util.hash_array(np.array(terms, dtype=object), categorize=False) ^ own) % np.uint64(bits)
+def _hashes(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+
+
+def _places(group: object, first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of terms, by the hashes of their words, that of no word where there is one."""
+    x = (first * np.uint64(0x9E3779B97F4A7C15) + (second ^ _hashes([str(group)])[0])) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(32))) & np.uint64(bits - 1)).astype("int64")
 
 
 def _seen(terms: DataFrame, group: str, most: int) -> np.ndarray:
@@ -121,7 +144,8 @@ def _seen(terms: DataFrame, group: str, most: int) -> np.ndarray:
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for g, rows in batch.groupby(group):
-                at = np.unique(_places(g, rows["term"].tolist(), bits)).astype("int64")
+                words = [t.partition(" ") for t in rows["term"]]
+                at = np.unique(_places(g, _hashes([w[0] for w in words]), _hashes([w[2] for w in words]), bits))
                 yield pd.DataFrame({"at": at, "part": (at // width).astype("int32")})
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,38 +181,54 @@ def _contenders(docs: DataFrame, group: str, key: str, text: str, counts: DataFr
     held = held.withColumn("favoured", F.lit(None).cast("boolean")) if trends is None else held.join(trends.select(group, "term", "favoured"), [group, "term"], "left")
     factor = F.when(F.col("favoured"), FAVOURED).when(~F.col("favoured"), DISFAVOURED).otherwise(1.0)
     rows = held.select(F.col(group).alias("g"), "term", "df", "favoured", ((F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0) * factor).alias("v")).collect()
-    places: dict = {}
+    ids, of_group = _numbers(), {}
     for i, r in enumerate(rows):
-        places.setdefault(r.g, {})[r.term] = i
+        first, _, second = r.term.partition(" ")
+        of_group.setdefault(r.g, []).append((ids[first] << 32 | ids[second], i))
+    of_group = {g: np.array(sorted(found), dtype="int64").T for g, found in of_group.items()}
     several = counts.select(group, "term") if trends is None else counts.select(group, "term").union(trends.select(group, "term"))
-    known = docs.sparkSession.sparkContext.broadcast((places, np.array([r.v for r in rows] + [np.nan]), [r.df for r in rows] + [None], [r.favoured for r in rows] + [None], _seen(several, group, most)))
+    known = docs.sparkSession.sparkContext.broadcast((list(ids)[1:], of_group, np.array([r.v for r in rows] + [np.nan]), np.array([r.df for r in rows] + [np.nan], dtype=float), np.array([r.favoured for r in rows] + [None], dtype=object), _seen(several, group, most)))
     low, high = (1.0, 1.0) if trends is None else (DISFAVOURED, FAVOURED)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places, values, dfs, favoured, bits = known.value
+        common_words, of_group, values, dfs, favoured, bits = known.value
+        ids, told, hashes, sizes = None, [], np.zeros(0, dtype="uint64"), np.zeros(0, dtype=int)
+        nothing = np.zeros((2, 0), dtype="int64")
         for batch in batches:
             out: list[tuple] = []
+            many = 0
             for g, k, n, said in zip(batch[group], batch[key], batch["n"], batch["_text"]):
-                words, own = _words(said), places.get(g, {})
-                tf = Counter(words)
-                pairs_from = len(tf)
-                tf.update(_pairs(words))
-                terms = list(tf)
-                at = np.fromiter((own.get(t, -1) for t in terms), int, len(terms))
-                chosen, single = range(len(terms)), np.zeros(len(terms), dtype=bool)
-                if len(terms) > used:
-                    place = _places(g, terms, 8 * len(bits))
-                    single = (bits[(place >> np.uint64(3)).astype("int64")] >> (7 - (place & np.uint64(7)).astype("uint8"))) & 1 == 0
-                    times, pair = np.fromiter(tf.values(), int, len(terms)), np.arange(len(terms)) >= pairs_from
+                if ids is None or len(ids) > WORDS + len(common_words):
+                    ids, told, hashes, sizes = _numbers(common_words), [], hashes[:0], sizes[:0]
+                codes, times = np.unique(_codes(_words(said), ids), return_counts=True)
+                if len(ids) > len(told):
+                    new = list(itertools.islice(reversed(ids), len(ids) - len(told)))[::-1]
+                    told += new
+                if len(ids) > len(hashes):
+                    hashes = np.concatenate([hashes, _hashes(told[len(hashes) :])])
+                    sizes = np.concatenate([sizes, np.fromiter(map(len, told[len(sizes) :]), int)])
+                first, second = codes >> 32, codes & _LOW
+                firsts, seconds = first.tolist(), second.tolist()
+                term = lambda i: f"{told[firsts[i]]} {told[seconds[i]]}" if seconds[i] else told[firsts[i]]  # noqa: B023, E731
+                own, index = of_group.get(g, nothing)
+                at = np.full(len(codes), -1)
+                if len(own):
+                    near = np.minimum(np.searchsorted(own, codes), len(own) - 1)
+                    at = np.where(own[near] == codes, index[near], -1)
+                chosen, single = range(len(codes)), np.zeros(len(codes), dtype=bool)
+                if len(codes) > used:
+                    place = _places(g, hashes[first], hashes[second], 8 * len(bits))
+                    single = (bits[place >> 3] >> (7 - (place & 7)).astype("uint8")) & 1 == 0
+                    pair = second > 0
                     v, unit, alone = values[at], times * np.where(pair, 1.15, 1.0), math.log((n + 1) / 2) + 1.0
                     least = np.where(single, alone, np.where(np.isnan(v), low * (math.log((n + 1) / rare) + 1.0), v)) * unit
                     most = np.where(single, alone, np.where(np.isnan(v), high * alone, v)) * unit
-                    size = np.fromiter(map(len, terms), int, len(terms))
-                    seen: set[str] = set()
+                    size = sizes[first] + np.where(pair, sizes[second] + 1, 0)
+                    seen: set[int] = set()
                     passed: list[int] = []
                     for _, tied in itertools.groupby(np.lexsort((-size, -least)).tolist(), lambda i: (least[i], size[i])):
-                        for i in sorted(tied, key=terms.__getitem__):
-                            own_words = terms[i].split(" ")
+                        for i in sorted(tied, key=term):
+                            own_words = (firsts[i], seconds[i]) if seconds[i] else (firsts[i],)
                             if seen.isdisjoint(own_words):
                                 seen.update(own_words)
                                 passed.append(i)
@@ -202,17 +242,25 @@ def _contenders(docs: DataFrame, group: str, key: str, text: str, counts: DataFr
                         alike = lambda i: single[i] & (times[i] == times[passed[-1]]) & (pair[i] == pair[passed[-1]])  # noqa: B023, E731
                         even = [i for i in passed if least[i] <= bar * (1 + 1e-9) + 4e-6]
                         if all(alike(i) for i in even):
-                            last = max((-size[i], terms[i]) for i in even)
-                            later = alike(np.arange(len(terms))) & (size <= -last[0])
+                            last = max((-size[i], term(i)) for i in even)
+                            later = alike(np.arange(len(codes))) & (size <= -last[0])
                             for i in np.flatnonzero(later & (size == -last[0])):
-                                later[i] = terms[i] > last[1]
+                                later[i] = term(i) > last[1]
                             fits &= ~later
                         chosen = np.flatnonzero(fits)
-                out += [(g, k, n, terms[i], tf[terms[i]], 1 if single[i] else dfs[at[i]], favoured[at[i]]) for i in chosen]
-                if len(out) > 1 << 16:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-            yield pd.DataFrame(out, columns=names)
+                chosen = np.asarray(chosen, dtype=int)
+                out.append((g, k, n, [term(i) for i in chosen.tolist()], times[chosen], np.where(single, 1.0, dfs[at])[chosen], favoured[at[chosen]]))
+                many += len(chosen)
+                if many > 1 << 16:
+                    yield table(out)
+                    out, many = [], 0
+            if out:
+                yield table(out)
+
+    def table(out: list[tuple]) -> pd.DataFrame:
+        sizes = [len(r[3]) for r in out]
+        once = [pd.Series([r[i] for r in out]).repeat(sizes).reset_index(drop=True) for i in range(3)]
+        return pd.DataFrame(dict(zip(names, [*once, list(itertools.chain.from_iterable(r[3] for r in out)), *[np.concatenate([r[i] for r in out]) for i in (4, 5, 6)]])))
 
     names = [group, key, "n", "term", "tf", "df", "favoured"]
     kinds = [docs.schema[c].dataType.simpleString() for c in (group, key)]
