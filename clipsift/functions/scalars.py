mth15_boundary_features: word features are plain columns beside their neighbours

Symptom: mth15_boundary_features took 1457 CPU seconds a GB over the small input (0.10 GB), nearly all in the JVM, without shuffle or spill.
Evidence: Samples of the JVM showed 52 % of its time in one interpreted expression over arrays that found all features of a word, 25 % in deep copies of words and structs between nested transforms, and about a tenth in decimal numbers made to round two gaps of each word.
Fix: A text's words and the same arrays moved by one place are zipped and exploded, so gaps, sentence ends and word lists are compiled columns; phrases around single words are still looked for only in texts that have one. The gaps are rounded as whole millionths, and by decimals where a value is large or near a tie. mth16_boundary_heuristic takes its wanted words from the same rows, filtered before they are exploded.
Effect: at 1 GB of input CPU 4468 -> 2200 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.97 GB, longest task 448 -> 204 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 23328 -> 12834 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 5.89 -> 5.89 GB, longest task 557 -> 424 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 1015 -> 648 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 99 -> 56 s, most memory of a task 0 -> 0 MB.

@@ -81,6 +81,16 @@ def six(x: Column) -> Column:
     return F.round(x.cast("double"), 6) + F.lit(0.0)
 
 
+def six_plain(x: Column) -> Column:
+    """``six`` of a double without its decimal digits: whole millionths over a million, but for what is large or lies near a tie.
+
+    Rounding a double takes Spark a decimal number each time, which costs more than most of what is rounded.
+    """
+    millionths = x * 1e6
+    whole = F.rint(millionths)
+    return F.when((F.abs(x) < 1e6) & (F.abs(millionths - whole) < 0.49), whole / 1e6 + F.lit(0.0)).otherwise(six(x))
+
+
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
     """``f`` of ``x``, which is found once a row. A plain column can be replaced by its expression wherever a lambda names it, and is then found for each element."""
     return F.element_at(F.transform(F.array(x), f), 1)

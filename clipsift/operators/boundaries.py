@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipsift.functions.scalars import clamp, let
+from clipsift.functions.scalars import clamp
 from clipsift.functions.text import DANGLING, REFINEMENT_OPENERS, REFINEMENT_PHRASES, SENTENCE_END
 from clipsift.operators.joins import earliest_after, latest_before
 
@@ -41,37 +41,38 @@ def word_features(words: DataFrame) -> DataFrame:
     )
 
 
-def featured_words(w: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
-    """``word_features`` of a text's timed words as an array, in place of ``w`` (pos, start, end, word); of the ``wanted`` words if given.
+def featured_words(texts: DataFrame, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``word_features`` of the words of ``texts`` (w: timed words in order as an array of (pos, start, end, word), ...), a row each with
+    the other columns in place of ``w``; of the ``wanted`` words if given.
 
-    Features of a word come from its neighbours in the array, so that no word leaves its text. Phrases are looked for around single
-    words only in texts that have one.
+    A word meets its neighbours as arrays moved by one place, so that no word leaves its text and the features are plain columns.
+    Phrases are looked for around single words only in texts that have one.
     """
+    w, rest = F.col("w"), [c for c in texts.columns if c != "w"]
     flag = lambda c: c.cast("int").cast("double")
     phrases = "|".join(REFINEMENT_PHRASES)
-    joined = lambda ws: F.lower(F.array_join(F.transform(ws, lambda x: x["word"]), " "))
-
-    def features(w: Column, told: Column, x: Column, i: Column) -> Column:
-        before, after, first = F.get(w, i - 1), F.get(w, i + 1), F.greatest(i - WORD_BEFORE, F.lit(0))
-        near = F.transform(F.sequence(first, i + WORD_AFTER), lambda k: F.get(w, k))  # a slice reads the whole array; joining leaves nulls out
-        around = F.when(told, flag(joined(near).rlike(phrases))).otherwise(0.0)
-        return F.struct(
-            x["pos"].alias("pos"), x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word"),
-            F.least(F.lit(5.0), F.greatest(F.lit(0.0), x["start"] - F.coalesce(before["end"], x["start"]))).alias("gap_before"),
-            F.least(F.lit(5.0), F.greatest(F.lit(0.0), F.coalesce(after["start"], x["end"]) - x["end"])).alias("gap_after"),
-            flag(F.coalesce(before["word"].rlike(SENTENCE_END), F.lit(False))).alias("previous_ends"),
-            flag(x["word"].rlike(SENTENCE_END)).alias("ends"),
-            flag(plain(x["word"]).isin(list(REFINEMENT_OPENERS))).alias("opener"),
-            flag(plain(x["word"]).isin([*DANGLING, "if"])).alias("dangling"),
-            around.alias("intro_or_ad"),
-        )
-
-    def found(w: Column, told: Column) -> Column:
-        if wanted is None:
-            return F.transform(w, lambda x, i: features(w, told, x, i))
-        return F.transform(F.filter(F.transform(w, lambda x, i: F.when(wanted(x), F.struct(i.alias("i"), x.alias("x")))), lambda y: y.isNotNull()), lambda y: features(w, told, y["x"], y["i"]))
-
-    return let(w, lambda w: let(joined(w).rlike(phrases), lambda told: found(w, told)))
+    joined = lambda words: F.lower(F.array_join(words, " "))
+    near = lambda i: F.transform(F.sequence(F.greatest(i - WORD_BEFORE, F.lit(0)), i + WORD_AFTER), lambda k: F.get(w, k)["word"])  # noqa: E731; a slice reads the whole array; joining leaves nulls out
+    asked = lambda x, told: told if wanted is None else F.when(wanted(x), told)
+    told = F.when(joined(w["word"]).rlike(phrases), F.transform(w, lambda x, i: asked(x, joined(near(i)).rlike(phrases))))
+    before = lambda name, kind: F.concat(F.array(F.lit(None).cast(kind)), w[name])
+    told_texts = texts.select(*rest, "w", F.coalesce(told, F.array().cast("array<boolean>")).alias("_told"))
+    places = F.arrays_zip(
+        *[w[c].alias(c) for c in ("pos", "start", "end", "word")], before("end", "double").alias("_end_before"), before("word", "string").alias("_word_before"),
+        F.slice(w["start"], 2, F.size(w)).alias("_start_after"), F.col("_told"),
+    )
+    # the outer generator keeps Spark from asking first whether there are words, which would find them twice
+    words = told_texts.select(*rest, F.inline_outer(places if wanted is None else F.filter(places, wanted))).where("pos IS NOT NULL")
+    return words.select(
+        *rest, "pos", "start", "end", "word",
+        F.least(F.lit(5.0), F.greatest(F.lit(0.0), F.col("start") - F.coalesce(F.col("_end_before"), F.col("start")))).alias("gap_before"),
+        F.least(F.lit(5.0), F.greatest(F.lit(0.0), F.coalesce(F.col("_start_after"), F.col("end")) - F.col("end"))).alias("gap_after"),
+        flag(F.coalesce(F.col("_word_before").rlike(SENTENCE_END), F.lit(False))).alias("previous_ends"),
+        flag(F.col("word").rlike(SENTENCE_END)).alias("ends"),
+        flag(plain(F.col("word")).isin(list(REFINEMENT_OPENERS))).alias("opener"),
+        flag(plain(F.col("word")).isin([*DANGLING, "if"])).alias("dangling"),
+        flag(F.coalesce(F.col("_told"), F.lit(False))).alias("intro_or_ad"),
+    )
 
 
 def heuristic_score(kind: str, offset: Column, energy: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipsift.functions import text as T
-from clipsift.functions.scalars import iou, six
+from clipsift.functions.scalars import iou, six, six_plain
 from clipsift.operators import boundaries, learning, ranking, topics
 from clipsift.plans import bridges as b
 from clipsift.plans.q_clips import _nms_sql
@@ -25,15 +25,14 @@ WORD_FEATURES = f"""SELECT video, pos, "start", "end", least(5e0, greatest(0e0,
 
 @query("mth15_boundary_features", f"SELECT video, pos, round(gap_before, 6) AS gap_before, round(gap_after, 6) AS gap_after, previous_ends::DOUBLE AS previous_ends, ends::DOUBLE AS ends, opener::DOUBLE AS opener, dangling::DOUBLE AS dangling, intro_or_ad::DOUBLE AS intro_or_ad FROM ({WORD_FEATURES})")
 def mth15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = b.timed_texts(spark, sf_dir).select("video", F.inline_outer(boundaries.featured_words(F.col("w")))).where("pos IS NOT NULL")
-    return f.select("video", "pos", six(F.col("gap_before")).alias("gap_before"), six(F.col("gap_after")).alias("gap_after"), "previous_ends", "ends", "opener", "dangling", "intro_or_ad")
+    f = boundaries.featured_words(b.timed_texts(spark, sf_dir))
+    return f.select("video", "pos", six_plain(F.col("gap_before")).alias("gap_before"), six_plain(F.col("gap_after")).alias("gap_after"), "previous_ends", "ends", "opener", "dangling", "intro_or_ad")
 
 
 @query("mth16_boundary_heuristic", f"""SELECT video, pos, round(0.9e0 * least(gap_before / 1.5e0, 1e0) + 1.2e0 * previous_ends - 0.8e0 * opener - 0.035e0 * abs("start" - t) - 1.2e0 * intro_or_ad, 6) AS score FROM ({WORD_FEATURES}) JOIN {{asked}} USING (video) WHERE "start" - t BETWEEN -3.5e0 AND 3.5e0""")
 def mth16(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = b.timed(b.texts(spark, sf_dir).join(b.asked(spark, sf_dir).select("video", "t"), "video"))
-    near = boundaries.featured_words(F.col("w"), lambda x: (x["start"] - F.col("t")).between(-3.5, 3.5))
-    met = texts.select("video", "t", F.inline_outer(near)).where("pos IS NOT NULL")
+    met = boundaries.featured_words(texts, lambda x: (x["start"] - F.col("t")).between(-3.5, 3.5))
     return met.select("video", "pos", six(boundaries.heuristic_score("start", F.col("start") - F.col("t"), F.lit(0.0))).alias("score"))
 
 
