@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsift.functions.scalars import iou, six
@@ -20,6 +20,9 @@ def evaluate(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
     ``predictions``: (experiment, rank, clip, start, end, estimate). ``actuals``: (experiment, actual, segments, performance), where
     segments are the places (start, end) of a revealed clip in its source, null or empty while they aren't known. Predictions and
     clips are matched one to one, best overlap first (of several segments the best counts), from ``MATCHED`` on.
+
+    The few rows that were matched get the facts of their clips first, so predictions meet them once, in place where they are dealt
+    by their experiment.
     """
     places = actuals.select("experiment", "actual", F.explode("segments").alias("g"))
     met = predictions.select("experiment", "rank", "start", "end").join(places, "experiment")
@@ -27,7 +30,13 @@ def evaluate(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
     pairs = met.groupBy("experiment", "rank", "actual").agg(F.max("iou").alias("iou")).where(F.col("iou") >= MATCHED)
     taken = greedy_matches(pairs, "experiment", "rank", "actual", "iou")
     known = actuals.select("experiment", "actual", F.array_min(F.transform("segments", lambda g: g["start"])).alias("s"), F.array_max(F.transform("segments", lambda g: g["end"])).alias("e"), "performance")
-    found = predictions.join(taken, ["experiment", "rank"], "left").join(known, ["experiment", "actual"], "left")
+    facts = taken.join(known, ["experiment", "actual"], "left").groupBy("experiment", "rank").agg(F.collect_list(F.struct("actual", "iou", "s", "e", "performance")).alias("_facts"))
+    # a left join by experiment and rank as a window: a join by both would deal all predictions anew, and so would what follows by experiment
+    rows = predictions.repartition("experiment").withColumns({"_facts": F.lit(None).cast(facts.schema["_facts"].dataType), "_given": F.lit(False)})
+    both = rows.unionByName(facts.repartition("experiment").withColumn("_given", F.lit(True)), allowMissingColumns=True)
+    given = F.max_by("_facts", F.when(F.col("_given"), True)).over(Window.partitionBy("experiment", "rank"))
+    met = both.withColumn("_facts", F.when(F.col("experiment").isNotNull() & F.col("rank").isNotNull(), given)).where(~F.col("_given"))
+    found = met.select(*predictions.columns, F.explode_outer("_facts").alias("_f")).select(*predictions.columns, "_f.*")
     return found.select(
         "experiment", "rank", "clip", "estimate", "actual", F.round(F.coalesce("iou", F.lit(0.0)), 4).alias("iou"), F.coalesce(F.col("iou") >= RECOVERED, F.lit(False)).alias("recovered"),
         F.round(F.col("start") - F.col("s"), 3).alias("start_error"), F.round(F.col("end") - F.col("e"), 3).alias("end_error"), "performance",
@@ -61,7 +70,8 @@ def corrected(actuals: DataFrame, corrections: DataFrame) -> tuple[DataFrame, Da
     reason = F.when(F.col("named").isNull(), "no such clip").when(~F.col("ok"), "outside the source")
     refused = judged.where(F.col("named").isNull() | ~F.col("ok")).select("experiment", "actual", "seq", reason.alias("reason"))
     place = F.array(F.struct(F.round("start", 3).alias("start"), F.round("end", 3).alias("end")))
-    last = judged.where("ok and named").groupBy("experiment", "actual").agg(F.max_by(place, "seq").alias("_new"))
+    # one that names no clip meets none below
+    last = corrections.where(ok).groupBy("experiment", "actual").agg(F.max_by(place, "seq").alias("_new"))
     met = actuals.join(last, ["experiment", "actual"], "left").withColumn("_moved", F.col("_new").isNotNull() & ~F.col("segments").eqNullSafe(F.col("_new")))
     changed = met.where("_moved").select("experiment").distinct()
     after = met.withColumn("segments", F.coalesce("_new", "segments")).select(actuals.columns)
